@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.queries import history
+from lodestone.queries import history, structure, traversal
 
 ALL: dict = {}
-for _module in (history,):
+for _module in (history, structure, traversal):
     ALL.update(_module.QUERIES)

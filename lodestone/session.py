@@ -26,6 +26,7 @@ def local_session(cores: str = "*", app: str = "lodestone", shuffle_partitions:
         .appName(app)
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in ADAPTIVE_CONF.items():
