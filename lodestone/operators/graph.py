@@ -273,8 +273,8 @@ def find_paths(pairs: DataFrame, edges: DataFrame, relationships: list[str] | No
     """
     links = cut_lineage(_path_edges(edges, relationships, upstream=False))
     useful = _hops_to_goal(pairs, links, max_depth)
-    open_paths = _first_level(pairs.where(F.col("start") != F.col("goal"))
-                              .select(*KEYS, "start", "goal")).join(pairs, [*KEYS, "start"])
+    wanted = pairs.where(F.col("start") != F.col("goal")).select(*KEYS, "start", "goal").distinct()
+    open_paths = _first_level(wanted.select(*KEYS, "start").distinct()).join(wanted, [*KEYS, "start"])
     hits = []
     for depth in range(1, max_depth + 1):
         grown = (open_paths.join(links, [*KEYS, "end"])

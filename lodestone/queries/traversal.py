@@ -17,7 +17,7 @@ FOCUS = ("nation:3", "part:7", "customer:11", "order:5")
 
 def _impact(spark: SparkSession, sf: str, direction: str) -> DataFrame:
     out = GR.impact(W.start_nodes(spark, *FOCUS), W.schema_graph(spark, sf), direction, max_depth=5)
-    return out.select("start", "node", "distance", "category")
+    return out.select("start", "node", "distance", "category", "resolution")
 
 
 def impact_upstream(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,11 +31,14 @@ def impact_downstream(spark: SparkSession, sf: str) -> DataFrame:
 def _bfs_sql(near: str, far: str) -> str:
     starts = ", ".join(f"('{f}')" for f in FOCUS)
     return f"""WITH RECURSIVE {S.schema_graph()}, nb AS (SELECT {near} AS n, {far} AS x, min(rnk) AS rnk FROM graph GROUP BY ALL),
- r AS (SELECT f AS start, f AS node, 0 AS depth, 0 AS rnk FROM (VALUES {starts}) t(f)
-  UNION SELECT r.start, nb.x, r.depth + 1, nb.rnk FROM r JOIN nb ON nb.n = r.node WHERE r.depth < 5 AND r.rnk < 2 AND nb.x <> r.start),
- b AS (SELECT start, node, min(depth) AS distance FROM r WHERE depth > 0 GROUP BY 1, 2)
-SELECT b.start, b.node, b.distance, CASE WHEN min(r.rnk) = 2 THEN 'unresolved' WHEN b.distance = 1 THEN 'direct' ELSE 'indirect' END AS category
-FROM b JOIN r ON r.start = b.start AND r.node = b.node AND r.depth = b.distance GROUP BY b.start, b.node, b.distance"""
+ r AS (SELECT f AS start, f AS node, 0 AS depth, 0 AS rnk, 0 AS weak, '' AS trail FROM (VALUES {starts}) t(f)
+  UNION ALL SELECT r.start, nb.x, r.depth + 1, nb.rnk, greatest(r.weak, nb.rnk), concat(r.trail, nb.rnk, nb.x, chr(1))
+  FROM r JOIN nb ON nb.n = r.node WHERE r.depth < 5 AND r.rnk < 2 AND nb.x <> r.start),
+ b AS (SELECT start, node, min(depth) AS distance FROM r WHERE depth > 0 GROUP BY 1, 2),
+ c AS (SELECT b.start, b.node, b.distance, arg_min(r.rnk, r.trail) AS rnk, arg_min(r.weak, r.trail) AS weak
+  FROM b JOIN r ON r.start = b.start AND r.node = b.node AND r.depth = b.distance GROUP BY ALL)
+SELECT start, node, distance, CASE WHEN rnk = 2 THEN 'unresolved' WHEN distance = 1 THEN 'direct' ELSE 'indirect' END AS category,
+ CASE weak WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'unresolved' END AS resolution FROM c"""
 
 
 TRADE_FOCUS = ("nation:3", "region:1", "supplier:4", "customer:11")
