@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from lodestone import vocab
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``, instead of repeating its code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def confidence_rank(resolution: Column) -> Column:
     """exact 0, inferred 1, unresolved 2; a missing resolution counts as exact."""
     rank = F.when(resolution == "inferred", 1).when(resolution == "unresolved", 2)
@@ -73,7 +78,7 @@ def transition_allowed(source_layer: Column, target_layer: Column) -> Column:
 def http_path(path: Column) -> Column:
     """Collapse repeated slashes, force a leading slash, drop a trailing one."""
     collapsed = F.regexp_replace(F.trim(path), "/+", "/")
-    rooted = F.when(collapsed.startswith("/"), collapsed).otherwise(F.concat(F.lit("/"), collapsed))
+    rooted = F.regexp_replace(collapsed, "^(?!/)", "/")
     return F.regexp_replace(rooted, "(.)/$", "$1")
 
 
