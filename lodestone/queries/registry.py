@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.queries import findings, history, lookup, structure, traversal
+from lodestone.queries import code, findings, history, lookup, structure, traversal
 
 ALL: dict = {}
-for _module in (history, structure, traversal, findings, lookup):
+for _module in (history, structure, traversal, findings, lookup, code):
     ALL.update(_module.QUERIES)
