@@ -132,7 +132,7 @@ def _regression(df: DataFrame, kind: str, regression_id: Column, severity: Colum
 
 
 def new_cycles(baseline: DataFrame, target: DataFrame) -> DataFrame:
-    fresh = target.join(baseline.select(*PAIR, "cycle_id").distinct(), [*PAIR, "cycle_id"], "left_anti")
+    fresh = target.join(baseline.select(*PAIR, "cycle_id").distinct(), ["cycle_id", *PAIR], "left_anti")
     path = F.array_join(F.concat("members", F.array(F.element_at("members", 1))), " -> ")
     return _regression(
         fresh, "new_cycle", _text("new_cycle:", F.col("cycle_id")), F.col("severity"), F.element_at("members", 1),
@@ -152,7 +152,7 @@ def new_violations(baseline: DataFrame, target: DataFrame) -> DataFrame:
 
 def hotspot_growth(baseline: DataFrame, target: DataFrame, fan_in_delta: int = 2, fan_out_delta: int = 2) -> DataFrame:
     old = baseline.select(*PAIR, "qualified_name", F.col("fan_in").alias("_in"), F.col("fan_out").alias("_out"))
-    joined = target.join(old, [*PAIR, "qualified_name"], "left").na.fill(0, ["_in", "_out"])
+    joined = target.join(old, ["qualified_name", *PAIR], "left").na.fill(0, ["_in", "_out"])
     d_in, d_out = F.col("fan_in") - F.col("_in"), F.col("fan_out") - F.col("_out")
     grown = joined.where((d_in >= fan_in_delta) | (d_out >= fan_out_delta))
     name = F.col("qualified_name")
@@ -181,7 +181,7 @@ def dependency_growth(relationships: DataFrame, delta: int = 2) -> DataFrame:
 
 
 def newly_orphaned(baseline: DataFrame, target: DataFrame) -> DataFrame:
-    fresh = target.join(baseline.select(*PAIR, "qualified_name").distinct(), [*PAIR, "qualified_name"], "left_anti")
+    fresh = target.join(baseline.select(*PAIR, "qualified_name").distinct(), ["qualified_name", *PAIR], "left_anti")
     name = F.col("qualified_name")
     return _regression(
         fresh, "newly_orphaned_candidate", _text("newly_orphaned:", name), F.lit("low"), name,
@@ -222,18 +222,19 @@ def change_impact(entities: DataFrame, relationships: DataFrame, max_depth: int
     """Blast radius of every changed entity on the target edges, both directions, few hops."""
     keyed = {c: PAIR[i] for i, c in enumerate(PAIR)}
     snap = F.concat_ws("\u0001", keyed["baseline_snapshot_id"], keyed["target_snapshot_id"]).alias(vocab.SNAP)
-    live = relationships.where("in_target").select(vocab.REPO, snap, "source_id", "target_id").distinct()
+    # Both inputs are read several times below; the diffs behind them are not repeated.
+    live = graph.cut_lineage(relationships.where("in_target").select(vocab.REPO, snap, "source_id", "target_id").distinct())
     links = (live.select(*vocab.KEYS, F.col("source_id").alias("node"), F.col("target_id").alias("neighbour"))
              .unionByName(live.select(*vocab.KEYS, F.col("target_id").alias("node"),
                                       F.col("source_id").alias("neighbour"))).distinct())
-    changed = entities.where(F.col("change_type") != "unchanged")
+    changed = graph.cut_lineage(entities.where(F.col("change_type") != "unchanged").select(*PAIR, "qualified_name", "change_type"))
     starts = changed.select(vocab.REPO, snap, F.col("qualified_name").alias("start"))
     pairs = graph.reachable_pairs(starts, graph.cut_lineage(links), max_depth)
     reach = pairs.groupBy(*vocab.KEYS, "start").agg(F.count(F.lit(1)).alias("transitive_impacted"))
     into = live.groupBy(*vocab.KEYS, F.col("target_id").alias("start")).agg(F.count(F.lit(1)).alias("direct_dependents"))
     out = live.groupBy(*vocab.KEYS, F.col("source_id").alias("start")).agg(
         F.count(F.lit(1)).alias("direct_dependencies"))
-    keys = [*vocab.KEYS, "start"]
+    keys = ["start", *vocab.KEYS]
     joined = (changed.select(*PAIR, snap, F.col("qualified_name").alias("start"), "change_type")
               .join(into, keys, "left").join(out, keys, "left").join(reach, keys, "left")
               .na.fill(0, ["direct_dependents", "direct_dependencies", "transitive_impacted"]))
@@ -295,7 +296,7 @@ def change_risk(entities: DataFrame, relationships: DataFrame, regression_facts:
 def removed_dependents(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """Removed entities with at least two dependents in the baseline."""
     gone = entities.where(F.col("change_type") == "removed").select(*PAIR, F.col("qualified_name").alias("target_id"))
-    return (relationships.where("in_baseline").join(gone, [*PAIR, "target_id"], "left_semi")
+    return (relationships.where("in_baseline").join(gone, ["target_id", *PAIR], "left_semi")
             .groupBy(*PAIR, "target_id").agg(F.count(F.lit(1)).alias("baseline_dependents"))
             .where(F.col("baseline_dependents") >= 2))
 
@@ -317,7 +318,7 @@ def metric_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
         F.when(~F.col("t"), "REMOVED").when(~F.col("b"), "ADDED").when(F.col("same"), "UNCHANGED")
         .otherwise("MODIFIED").alias("state"))
     delta = new - old
-    return both.join(state, [*PAIR, "entity_type", "entity_name"]).select(
+    return both.join(state, ["entity_type", "entity_name", *PAIR]).select(
         *PAIR, *keys, "state", old.alias("previous_value"), new.alias("current_value"), delta.alias("delta"),
         F.when(old != 0, delta / F.abs(old)).alias("percentage_change"))
 
@@ -347,7 +348,7 @@ def drift_high(metric_changes: DataFrame, edge_changes: DataFrame) -> DataFrame:
     gained = edge_changes.where((F.col("state") == "ADDED") & F.col("relationship").isin("IMPORTS", "DEPENDS_ON"))
     targets = gained.groupBy(*PAIR, F.col("source_id").alias("entity_name")).agg(
         F.count(F.lit(1)).alias("gained_dependencies"), F.min("target_id").alias("first_target"))
-    return risen.join(targets, [*PAIR, "entity_name"]).select(
+    return risen.join(targets, ["entity_name", *PAIR]).select(
         *PAIR, F.lit("HIGH").alias("severity"), "entity_name", "entity_type", "gained_dependencies", "first_target",
         F.concat(F.lit("Gained new dependencies and risk increased significantly (+"),
                  F.format_string("%.1f", F.col("percentage_change") * 100), F.lit("%).")).alias("reason"))
@@ -356,6 +357,6 @@ def drift_high(metric_changes: DataFrame, edge_changes: DataFrame) -> DataFrame:
 def drift_moderate(baseline_cycles: DataFrame, target_cycles: DataFrame) -> DataFrame:
     """Entities on a dependency cycle in the target only. Inputs carry ``start`` per comparison."""
     fresh = (target_cycles.select(*PAIR, "start").distinct()
-             .join(baseline_cycles.select(*PAIR, "start").distinct(), [*PAIR, "start"], "left_anti"))
+             .join(baseline_cycles.select(*PAIR, "start").distinct(), ["start", *PAIR], "left_anti"))
     return fresh.select(*PAIR, F.lit("MODERATE").alias("severity"), F.col("start").alias("entity_name"),
                         F.lit("A new circular dependency was introduced involving this module.").alias("reason"))

@@ -34,9 +34,9 @@ def classify_changes(numstat: DataFrame, name_status: DataFrame, commits: DataFr
     """
     parents = commits.select(*KEYS, "commit_sha", "parent_count", "parent_missing")
     return (
-        numstat.join(parents, [*KEYS, "commit_sha"])
+        numstat.join(parents, ["commit_sha", *KEYS])
         .where(~F.col("parent_missing"))
-        .join(name_status, [*KEYS, "commit_sha", "file_path"], "left")
+        .join(name_status, ["commit_sha", "file_path", *KEYS], "left")
         .withColumn("change_type", F.coalesce(
             "change_type", F.when(F.col("parent_count") == 0, F.lit("A")).otherwise(F.lit("M"))))
         .select(*KEYS, "commit_sha", "file_path", "change_type", "insertions", "deletions")
@@ -61,7 +61,7 @@ def file_churn(file_changes: DataFrame, commits: DataFrame | None = None) -> Dat
     if commits is not None:
         # groupBy first: the commit table must be unique on its key
         stamps = commits.groupBy(*KEYS, "commit_sha").agg(F.max("committed_at").alias("committed_at"))
-        per_commit = per_commit.join(stamps, [*KEYS, "commit_sha"], "left")
+        per_commit = per_commit.join(stamps, ["commit_sha", *KEYS], "left")
         times = [F.min("committed_at").alias("first_changed_at"), F.max("committed_at").alias("last_changed_at")]
     churn = per_commit.groupBy(*KEYS, "file_path").agg(
         F.count(F.lit(1)).alias("commit_count"),
@@ -80,10 +80,10 @@ def contributors(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
         F.min("committed_at").alias("first_commit_at"),
         F.max("committed_at").alias("last_commit_at"),
     )
-    authors = commits.select(*KEYS, "commit_sha", "author_email").dropDuplicates([*KEYS, "commit_sha"])
+    authors = commits.select(*KEYS, "commit_sha", "author_email").dropDuplicates(["commit_sha", *KEYS])
     # One row per (author, file) before the count, so a busy author never sits in one task.
     touched = (
-        file_changes.join(authors, [*KEYS, "commit_sha"])
+        file_changes.join(authors, ["commit_sha", *KEYS])
         .groupBy(*KEYS, "author_email", "file_path")
         .agg(F.sum(F.col("insertions").cast("bigint")).alias("insertions"),
              F.sum(F.col("deletions").cast("bigint")).alias("deletions"))
@@ -93,7 +93,7 @@ def contributors(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
              F.sum("deletions").alias("total_deletions"))
     )
     zero = F.lit(0).cast("bigint")
-    return activity.join(touched, [*KEYS, "author_email"], "left").select(
+    return activity.join(touched, ["author_email", *KEYS], "left").select(
         *KEYS, "author_email", "author_name", "commit_count",
         F.coalesce("files_touched", zero).alias("files_touched"),
         F.coalesce("total_insertions", zero).alias("total_insertions"),
@@ -109,7 +109,7 @@ def recent_commits_per_file(file_changes: DataFrame, commits: DataFrame, limit:
     Spark pushes the rank limit below the shuffle, so at most ``limit`` rows per file and
     map task are moved.
     """
-    joined = file_changes.join(commits, [*KEYS, "commit_sha"])
+    joined = file_changes.join(commits, ["commit_sha", *KEYS])
     order = [F.col("committed_at").desc(), F.col("commit_sha"), *[F.col(c) for c in tie_break]]
     w = Window.partitionBy(*KEYS, "file_path").orderBy(*order)
     return joined.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= limit)
@@ -134,7 +134,7 @@ def complexity_by_file(function_metrics: DataFrame, contains: DataFrame | None =
         .groupBy(*KEYS, "entity_name").agg(F.avg("metric_value").alias("mean_complexity"))
     )
     if contains is not None:
-        placed = per_function.join(contains, [*KEYS, "entity_name"])
+        placed = per_function.join(contains, ["entity_name", *KEYS])
     else:
         path = F.concat(F.translate(C.owner_of(F.col("entity_name")), ".", "/"), F.lit(".py"))
         placed = per_function.withColumn("file_path", path).where(F.col("file_path").isNotNull())
@@ -150,10 +150,10 @@ def file_risk(complexity: DataFrame, churn: DataFrame, coupling: DataFrame) -> D
     weights = vocab.RISK_WEIGHTS
     zero = F.lit(0.0)
     signals = complexity.select(*KEYS, "file_path", "normalized_complexity").join(
-        churn.select(*KEYS, "file_path", "normalized_churn"), [*KEYS, "file_path"], "full_outer")
+        churn.select(*KEYS, "file_path", "normalized_churn"), ["file_path", *KEYS], "full_outer")
     keyed = signals.withColumn(
         "module_key", F.replace(F.translate("file_path", "/", "."), F.lit(".py"), F.lit("")))
-    joined = keyed.join(coupling.select(*KEYS, "module_key", "normalized_coupling"), [*KEYS, "module_key"], "left")
+    joined = keyed.join(coupling.select(*KEYS, "module_key", "normalized_coupling"), ["module_key", *KEYS], "left")
     score = (
         F.lit(weights["complexity"]) * F.coalesce("normalized_complexity", zero)
         + F.lit(weights["coupling"]) * F.coalesce("normalized_coupling", zero)

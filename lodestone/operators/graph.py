@@ -48,7 +48,7 @@ def _unite(frames: list[DataFrame]) -> DataFrame:
 def containment_pairs(contains: DataFrame) -> DataFrame:
     """(ancestor, member) pairs one or two CONTAINS hops apart."""
     one = contains.select(*KEYS, F.col("source_id").alias("ancestor"), F.col("target_id").alias("member"))
-    two = (one.join(contains.select(*KEYS, F.col("source_id").alias("member"), "target_id"), [*KEYS, "member"])
+    two = (one.join(contains.select(*KEYS, F.col("source_id").alias("member"), "target_id"), ["member", *KEYS])
            .select(*KEYS, "ancestor", F.col("target_id").alias("member")))
     return one.unionByName(two).distinct()
 
@@ -63,7 +63,7 @@ def impact_neighbours(edges: DataFrame, direction: str) -> DataFrame:
     lifted = (
         edges.where(F.col("relationship").isin(vocab.MEMBER_IMPACT_RELATIONSHIPS))
         .select(*KEYS, F.col(near).alias("member"), F.col(far).alias("neighbour"), rank)
-        .join(members, [*KEYS, "member"])
+        .join(members, ["member", *KEYS])
         .where((F.col("neighbour") != F.col("ancestor")) & (F.col("neighbour") != F.col("member")))
         .select(*KEYS, F.col("ancestor").alias("node"), "neighbour", "rank")
     )
@@ -87,12 +87,12 @@ def breadth_first(starts: DataFrame, neighbours: DataFrame, max_depth: int = 5)
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):
         step = (
-            frontier.join(neighbours, [*KEYS, "node"])
+            frontier.join(neighbours, ["node", *KEYS])
             .select(*KEYS, "start", F.col("neighbour").alias("node"), F.col("rank").alias("edge_rank"),
                     F.greatest("path_rank", "rank").alias("path_rank"),
                     F.concat("trail", F.array(F.struct(F.col("rank").cast("int").alias("rank"),
                                                        F.col("neighbour").alias("node")))).alias("trail"))
-            .join(visited, [*KEYS, "start", "node"], "left_anti")
+            .join(visited, ["start", "node", *KEYS], "left_anti")
             .groupBy(*KEYS, "start", "node")
             .agg(F.min_by(F.struct("edge_rank", "path_rank", "trail"), "trail").alias("first"))
             .select(*KEYS, "start", "node", F.lit(depth).alias("distance"), "first.*")
@@ -135,13 +135,13 @@ def impact_containers(impacted: DataFrame, nodes: DataFrame, edges: DataFrame) -
         *KEYS, F.col("id").alias("container"), F.lower("label").alias("container_kind"))
     around = containment_pairs(edges.where(F.col("relationship") == "CONTAINS")).select(
         *KEYS, F.col("ancestor").alias("container"), F.col("member").alias("node"))
-    outer = ids.join(around, [*KEYS, "node"]).select(*KEYS, "start", "node", "container")
-    enclosed = outer.join(kinds, [*KEYS, "container"])
-    own = ids.select(*KEYS, "start", "node", F.col("node").alias("container")).join(kinds, [*KEYS, "container"])
+    outer = ids.join(around, ["node", *KEYS]).select(*KEYS, "start", "node", "container")
+    enclosed = outer.join(kinds, ["container", *KEYS])
+    own = ids.select(*KEYS, "start", "node", F.col("node").alias("container")).join(kinds, ["container", *KEYS])
     # A node that is itself a container counts only where no container of that kind encloses it.
     alone = own.join(enclosed.select(*KEYS, "start", "node", "container_kind").distinct(),
-                     [*KEYS, "start", "node", "container_kind"], "left_anti")
-    columns = [*KEYS, "start", "container_kind", "container"]
+                     ["start", "node", "container_kind", *KEYS], "left_anti")
+    columns = ["start", "container_kind", "container", *KEYS]
     return enclosed.select(*columns).unionByName(alone.select(*columns)).distinct()
 
 
@@ -168,7 +168,7 @@ def impact_summary(impacted: DataFrame, containers: DataFrame, max_nodes: int =
     affected = containers.groupBy(*KEYS, "start").agg(
         *[F.count_if(F.col("container_kind") == kind).alias(name)
           for kind, name in (("file", "affected_files"), ("module", "affected_modules"), ("class", "affected_classes"))])
-    joined = counts.join(unresolved, [*KEYS, "start"], "left").join(affected, [*KEYS, "start"], "left")
+    joined = counts.join(unresolved, ["start", *KEYS], "left").join(affected, ["start", *KEYS], "left")
     filled = joined.na.fill(0, ["unresolved_references", "affected_files", "affected_modules", "affected_classes"])
     return filled.withColumn("nodes_visited", F.col("_up") + F.col("_down") + F.lit(directions)).withColumn(
         "truncated", (F.col("_up") + 1 >= max_nodes) | (F.col("_down") + 1 >= max_nodes)).drop("_up", "_down")
@@ -188,9 +188,9 @@ def reachable_pairs(starts: DataFrame, links: DataFrame, max_depth: int | None =
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = (delta.join(links, [*KEYS, "node"])
+        step = (delta.join(links, ["node", *KEYS])
                 .select(*KEYS, "start", F.col("neighbour").alias("node")).distinct()
-                .join(seen, [*KEYS, "start", "node"], "left_anti"))
+                .join(seen, ["start", "node", *KEYS], "left_anti"))
         delta = cut_lineage(step)
         if delta.isEmpty():
             break
@@ -222,7 +222,7 @@ def _path_edges(edges: DataFrame, relationships: list[str] | None, upstream: boo
 
 
 def _extend(level: DataFrame, links: DataFrame) -> DataFrame:
-    return (level.join(links, [*KEYS, "end"])
+    return (level.join(links, ["end", *KEYS])
             .where(~F.array_contains("nodes", F.col("_next")))
             .select(*KEYS, "start", F.col("_next").alias("end"),
                     F.concat("nodes", F.array("_next")).alias("nodes"),
@@ -274,16 +274,16 @@ def find_paths(pairs: DataFrame, edges: DataFrame, relationships: list[str] | No
     links = cut_lineage(_path_edges(edges, relationships, upstream=False))
     useful = _hops_to_goal(pairs, links, max_depth)
     wanted = pairs.where(F.col("start") != F.col("goal")).select(*KEYS, "start", "goal").distinct()
-    open_paths = _first_level(wanted.select(*KEYS, "start").distinct()).join(wanted, [*KEYS, "start"])
+    open_paths = _first_level(wanted.select(*KEYS, "start").distinct()).join(wanted, ["start", *KEYS])
     hits = []
     for depth in range(1, max_depth + 1):
-        grown = (open_paths.join(links, [*KEYS, "end"])
+        grown = (open_paths.join(links, ["end", *KEYS])
                  .where(~F.array_contains("nodes", F.col("_next")))
                  .select(*KEYS, "start", "goal", F.col("_next").alias("end"),
                          F.concat("nodes", F.array("_next")).alias("nodes"),
                          F.concat("steps", F.array("_step")).alias("steps")))
         grown = grown.join(useful.where(F.col("hops") <= max_depth - depth).select(*KEYS, "goal", "end"),
-                           [*KEYS, "goal", "end"], "left_semi")
+                           ["goal", "end", *KEYS], "left_semi")
         level = cut_lineage(grown)
         if level.isEmpty():
             break
@@ -301,9 +301,9 @@ def _hops_to_goal(pairs: DataFrame, links: DataFrame, max_depth: int) -> DataFra
     for hop in range(1, max_depth):
         seen = _unite(reached).select(*KEYS, "goal", "end")
         level = cut_lineage(
-            level.join(backward, [*KEYS, "end"])
+            level.join(backward, ["end", *KEYS])
             .select(*KEYS, "goal", F.col("previous").alias("end"), F.lit(hop).alias("hops")).distinct()
-            .join(seen, [*KEYS, "goal", "end"], "left_anti"))
+            .join(seen, ["goal", "end", *KEYS], "left_anti"))
         if level.isEmpty():
             break
         reached.append(level)
@@ -325,7 +325,7 @@ def http_chains(starts: DataFrame, edges: DataFrame, max_depth: int = 5) -> Data
         if level.isEmpty():
             break
         if depth >= 2:
-            chains.append(level.join(sources, [*KEYS, "end"], "left_anti"))
+            chains.append(level.join(sources, ["end", *KEYS], "left_anti"))
     if not chains:
         return _finish(_first_level(starts).limit(0))
     return _finish(_unite(chains))
@@ -342,8 +342,8 @@ def cyclic_core(edges: DataFrame, rounds: int = 3) -> DataFrame:
     for _ in range(rounds):
         entered = core.select(*KEYS, F.col("target_id").alias("source_id")).distinct()
         left = core.select(*KEYS, F.col("source_id").alias("target_id")).distinct()
-        core = cut_lineage(core.join(entered, [*KEYS, "source_id"], "left_semi")
-                           .join(left, [*KEYS, "target_id"], "left_semi"))
+        core = cut_lineage(core.join(entered, ["source_id", *KEYS], "left_semi")
+                           .join(left, ["target_id", *KEYS], "left_semi"))
     return core
 
 
@@ -366,7 +366,7 @@ def cycles(edges: DataFrame, max_length: int | None = 5) -> DataFrame:
     length = 2
     while True:
         step = cut_lineage(
-            level.join(links, [*KEYS, "end"])
+            level.join(links, ["end", *KEYS])
             .where((F.col("_next") == F.col("start"))
                    | ((F.col("_next") > F.col("start")) & ~F.array_contains("members", F.col("_next"))))
             .select(*KEYS, "start", F.col("_next").alias("end"), "members",
@@ -401,7 +401,7 @@ def closed_trails(edges: DataFrame, max_length: int = 5) -> DataFrame:
     counts = [level.where(F.col("start") == F.col("end")).groupBy(*KEYS, "start").agg(F.count(F.lit(1)).alias("n"))]
     for length in range(2, max_length + 1):
         edge = F.struct(F.col("end").alias("s"), F.col("_next").alias("t"))
-        grown = level.join(links, [*KEYS, "end"]).where(~F.array_contains("used", edge))
+        grown = level.join(links, ["end", *KEYS]).where(~F.array_contains("used", edge))
         if length == max_length:
             # The last hop only has to close, so it needs no materialised paths.
             closing = grown.where(F.col("_next") == F.col("start"))
@@ -418,11 +418,11 @@ def closed_trails(edges: DataFrame, max_length: int = 5) -> DataFrame:
 def overview_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Top-level nodes and the edges between them; a node without such edges appears once."""
     top = nodes.where(F.col("label").isin(vocab.OVERVIEW_LABELS)).select(*KEYS, "id", "label")
-    between = (edges.join(top.select(*KEYS, F.col("id").alias("target_id")), [*KEYS, "target_id"], "left_semi")
+    between = (edges.join(top.select(*KEYS, F.col("id").alias("target_id")), ["target_id", *KEYS], "left_semi")
                .select(*KEYS, F.col("source_id").alias("id"), "relationship", "target_id",
                        F.coalesce("resolution", F.lit("exact")).alias("resolution"))
-               .dropDuplicates([*KEYS, "id", "relationship", "target_id"]))
-    return top.join(between, [*KEYS, "id"], "left")
+               .dropDuplicates(["id", "relationship", "target_id", *KEYS]))
+    return top.join(between, ["id", *KEYS], "left")
 
 
 def neighbourhood(focus: DataFrame, edges: DataFrame, relationships: list[str] | None = None) -> DataFrame:
@@ -431,11 +431,11 @@ def neighbourhood(focus: DataFrame, edges: DataFrame, relationships: list[str] |
     kept = kept.select(*KEYS, "source_id", "relationship", "target_id",
                        F.coalesce("resolution", F.lit("exact")).alias("resolution"))
     ids = focus.select(*KEYS, F.col("start").alias("focus"))
-    outgoing = kept.join(ids.withColumn("source_id", F.col("focus")), [*KEYS, "source_id"])
-    incoming = kept.join(ids.withColumn("target_id", F.col("focus")), [*KEYS, "target_id"])
-    columns = [*KEYS, "focus", "source_id", "relationship", "target_id", "resolution"]
+    outgoing = kept.join(ids.withColumn("source_id", F.col("focus")), ["source_id", *KEYS])
+    incoming = kept.join(ids.withColumn("target_id", F.col("focus")), ["target_id", *KEYS])
+    columns = ["focus", "source_id", "relationship", "target_id", "resolution", *KEYS]
     return outgoing.select(*columns).unionByName(incoming.select(*columns)).dropDuplicates(
-        [*KEYS, "focus", "source_id", "relationship", "target_id"])
+        ["focus", "source_id", "relationship", "target_id", *KEYS])
 
 
 def relation_whitelist(requested: list[str] | None) -> list[str]:
@@ -447,5 +447,5 @@ def filter_subgraph(nodes: DataFrame, edges: DataFrame, labels: list[str], relat
     """Edges of the chosen types whose both ends have one of the chosen labels."""
     kept = nodes.where(F.col("label").isin(labels)).select(*KEYS, "id")
     return (edges.where(F.col("relationship").isin(relationships))
-            .join(kept.withColumnRenamed("id", "source_id"), [*KEYS, "source_id"], "left_semi")
-            .join(kept.withColumnRenamed("id", "target_id"), [*KEYS, "target_id"], "left_semi"))
+            .join(kept.withColumnRenamed("id", "source_id"), ["source_id", *KEYS], "left_semi")
+            .join(kept.withColumnRenamed("id", "target_id"), ["target_id", *KEYS], "left_semi"))

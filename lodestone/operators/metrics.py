@@ -10,7 +10,7 @@ from lodestone.functions import columns as C
 from lodestone.operators import graph
 
 KEYS = vocab.KEYS
-METRIC_COLUMNS = [*KEYS, "entity_type", "entity_name", "metric_name", "metric_value", "metric_source"]
+METRIC_COLUMNS = ["entity_type", "entity_name", "metric_name", "metric_value", "metric_source", *KEYS]
 
 
 def degrees(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def degrees(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     fan_out = pairs.groupBy(*KEYS, F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("fan_out"))
     fan_in = pairs.groupBy(*KEYS, F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"))
     zero = F.lit(0).cast("bigint")
-    return (nodes.join(fan_out, [*KEYS, "id"], "left").join(fan_in, [*KEYS, "id"], "left")
+    return (nodes.join(fan_out, ["id", *KEYS], "left").join(fan_in, ["id", *KEYS], "left")
             .withColumn("fan_out", F.coalesce("fan_out", zero))
             .withColumn("fan_in", F.coalesce("fan_in", zero)))
 
@@ -31,8 +31,8 @@ def fan_in_out(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct confirmed callers and callees of every function; both ends must be functions."""
     ids = functions.select(*KEYS, "id")
     pairs = graph.distinct_edges(edges, ["CALLS"], vocab.CONFIRMED, drop_loops=False)
-    inside = (pairs.join(ids.withColumnRenamed("id", "source_id"), [*KEYS, "source_id"], "left_semi")
-              .join(ids.withColumnRenamed("id", "target_id"), [*KEYS, "target_id"], "left_semi"))
+    inside = (pairs.join(ids.withColumnRenamed("id", "source_id"), ["source_id", *KEYS], "left_semi")
+              .join(ids.withColumnRenamed("id", "target_id"), ["target_id", *KEYS], "left_semi"))
     return degrees(functions, inside)
 
 
@@ -40,8 +40,8 @@ def module_coupling(modules: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct importing and imported modules, the module itself excluded."""
     pairs = graph.distinct_edges(edges, ["IMPORTS"])
     ids = modules.select(*KEYS, "id")
-    inside = (pairs.join(ids.withColumnRenamed("id", "source_id"), [*KEYS, "source_id"], "left_semi")
-              .join(ids.withColumnRenamed("id", "target_id"), [*KEYS, "target_id"], "left_semi"))
+    inside = (pairs.join(ids.withColumnRenamed("id", "source_id"), ["source_id", *KEYS], "left_semi")
+              .join(ids.withColumnRenamed("id", "target_id"), ["target_id", *KEYS], "left_semi"))
     return (degrees(ids, inside).withColumnRenamed("fan_in", "incoming_coupling")
             .withColumnRenamed("fan_out", "outgoing_coupling"))
 
@@ -65,7 +65,7 @@ def static_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     fans = C.max_normalised(fan_in_out(functions, edges), "cyclomatic_complexity", "normalized_complexity", KEYS)
     coupling = C.max_normalised(module_coupling(modules, edges), "outgoing_coupling", "normalized_coupling", KEYS)
     trails = graph.closed_trails(edges.where(F.col("relationship") == "IMPORTS")).withColumnRenamed("start", "id")
-    on_cycle = trails.join(modules, [*KEYS, "id"], "left_semi")
+    on_cycle = trails.join(modules, ["id", *KEYS], "left_semi")
     return (
         _long(fans, "Function", ["fan_out", "fan_in", "cyclomatic_complexity", "normalized_complexity"], "deterministic")
         .unionByName(_long(coupling, "Module", ["incoming_coupling", "outgoing_coupling", "normalized_coupling"],

@@ -96,7 +96,7 @@ def entity_candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
     e = entities.select(*KEYS, "qualified_name", "file_path", "module_name")
 
     def stage(number: int, left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, [*KEYS, "key"]).select(*KEYS, "query", F.lit(number).alias("stage"), "qualified_name")
+        return left.join(right, ["key", *KEYS]).select(*KEYS, "query", F.lit(number).alias("stage"), "qualified_name")
 
     names = e.select(*KEYS, F.col("qualified_name").alias("key"), "qualified_name")
     exact = stage(1, q.withColumn("key", F.col("clean")), names)
@@ -124,7 +124,7 @@ def resolve_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("qualified_name").alias("name"))
     first = per_stage.groupBy(*KEYS, "query").agg(
         F.min("stage").alias("stage"), F.min_by(F.struct("n", "name"), "stage").alias("best"))
-    joined = queries.select(*KEYS, "query").distinct().join(first, [*KEYS, "query"], "left")
+    joined = queries.select(*KEYS, "query").distinct().join(first, ["query", *KEYS], "left")
     n = F.coalesce("best.n", F.lit(0).cast("bigint"))
     status = F.when(n == 0, "not_found").when(n == 1, "resolved").otherwise("ambiguous")
     message = (

@@ -19,9 +19,9 @@ def locate(nodes: DataFrame, edges: DataFrame, entity: str) -> DataFrame:
     order = F.when(F.col("id") == entity, 0).when(F.col("qualified_name") == entity, 1).when(F.col("name") == entity, 2).otherwise(3)
     node = nodes.where(hit).orderBy(order, "label", "id").limit(1)
     inside = GR.containment_pairs(edges.where(F.col("relationship") == "CONTAINS")).join(
-        nodes.where(F.col("label") == "File").select(*KEYS, F.col("id").alias("ancestor"), F.col("path").alias("file_path")), [*KEYS, "ancestor"])
+        nodes.where(F.col("label") == "File").select(*KEYS, F.col("id").alias("ancestor"), F.col("path").alias("file_path")), ["ancestor", *KEYS])
     places = inside.groupBy(*KEYS, F.col("member").alias("id")).agg(F.min("file_path").alias("file_path"))
-    return node.join(places, [*KEYS, "id"], "left").withColumn("file_path", F.coalesce("path", "file_path"))
+    return node.join(places, ["id", *KEYS], "left").withColumn("file_path", F.coalesce("path", "file_path"))
 
 
 def overview(node: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def overview(node: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFrame
     kept = edges.where(F.col("relationship").isin(OVERVIEW_RELATIONSHIPS)).select(*KEYS, "source_id", "target_id").distinct()
     into = kept.groupBy(*KEYS, F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("graph_in"))
     out = kept.groupBy(*KEYS, F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("graph_out"))
-    joined = node.join(maps, [*KEYS, "id"], "left").join(into, [*KEYS, "id"], "left").join(out, [*KEYS, "id"], "left")
+    joined = node.join(maps, ["id", *KEYS], "left").join(into, ["id", *KEYS], "left").join(out, ["id", *KEYS], "left")
 
     def stored(*names: str):
         return F.coalesce(*[F.try_element_at("m", F.lit(n)) for n in names])
@@ -49,7 +49,7 @@ def entity_code(parsed: DataFrame, sources: DataFrame, entity: str) -> DataFrame
     chosen = parsed.where((F.col("qualified_name") == entity) | (F.col("name") == entity)).select(
         *KEYS, "path", "qualified_name", "start_line", "end_line")
     text = F.array_join(F.slice(F.split("content", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return chosen.join(sources.select(*KEYS, "path", "content"), [*KEYS, "path"]).select(
+    return chosen.join(sources.select(*KEYS, "path", "content"), ["path", *KEYS]).select(
         *KEYS, "path", "qualified_name", "start_line", "end_line", text.alias("source_code"))
 
 
@@ -77,14 +77,14 @@ def git_context(churn: DataFrame, file_changes: DataFrame, commits: DataFrame, f
     near = F.col("file_path").isin(options or [""]) | F.contains(F.lower("file_path"), F.lit(name))
     chosen = churn.where(near).orderBy(rank, "file_path").limit(1)
 
-    touched = file_changes.where(F.col("file_path").isin(options or [""])).join(commits, [*KEYS, "commit_sha"]).select(
+    touched = file_changes.where(F.col("file_path").isin(options or [""])).join(commits, ["commit_sha", *KEYS]).select(
         *KEYS, "commit_sha", "author_name", "message", "committed_at", "insertions", "deletions", "change_type", rank.alias("choice"))
     elsewhere = commits.select(
         *KEYS, "commit_sha", "author_name", "message", "committed_at", F.lit(0).alias("insertions"), F.lit(0).alias("deletions"),
         F.lit("MODIFY").alias("change_type"), F.lit(len(options) + 1).alias("choice"))
     ranked = touched.unionByName(elsewhere).orderBy("choice", F.col("committed_at").desc(), "commit_sha").limit(limit)
     best = ranked.groupBy(*KEYS).agg(F.min("choice").alias("choice"))
-    return {"churn": chosen, "recent_commits": ranked.join(best, [*KEYS, "choice"], "left_semi").drop("choice")}
+    return {"churn": chosen, "recent_commits": ranked.join(best, ["choice", *KEYS], "left_semi").drop("choice")}
 
 
 def dossier(facts: dict[str, DataFrame], start: DataFrame, entity: str, sources: DataFrame | None = None,

@@ -115,5 +115,5 @@ def path_evidence(paths: DataFrame, entities: DataFrame) -> DataFrame:
     for end in ("source", "target"):
         roles = entities.select(*KEYS, F.col("qualified_name").alias(f"{end}_id"),
                                 F.col("architecture_role").alias(f"{end}_role"), F.col("architecture_layer").alias(f"{end}_layer"))
-        steps = steps.join(roles, [*KEYS, f"{end}_id"], "left")
+        steps = steps.join(roles, [f"{end}_id", *KEYS], "left")
     return steps.withColumn("confidence", F.when(F.col("resolution") == "exact", "exact").otherwise("inferred"))

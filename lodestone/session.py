@@ -15,6 +15,9 @@ ADAPTIVE_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpointed levels are rows, not parquet: a compact serialiser and compression matter.
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    "spark.checkpoint.compress": "true",
 }
 
 

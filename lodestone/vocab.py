@@ -5,6 +5,8 @@ from __future__ import annotations
 REPO = "repository_id"
 SNAP = "snapshot_id"
 KEYS = [REPO, SNAP]
+# Join keys are listed with the entity first: a sort-merge join compares the first key by a cached
+# prefix, and repository and snapshot are the same on most rows.
 
 # --- Fixed values: confidence, strongest first -------------------------------------------
 CONFIDENCE = ["exact", "inferred", "unresolved"]
