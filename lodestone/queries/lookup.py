@@ -117,24 +117,20 @@ FROM asked LEFT JOIN f USING (query)"""
 
 
 def semantic_units(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations are modules, their customers classes, orders methods, suppliers functions."""
+    """Nations are modules, parts classes whose name words are methods, suppliers functions."""
     files = W.table(spark, sf, "nation").select(
         *_keys(), F.col("n_nationkey").alias("k"), F.concat(F.lit("geo/"), F.lower("n_name"), F.lit(".py")).alias("path"),
         F.lower("n_name").alias("module_name"),
         F.when(F.col("n_regionkey") > 0, F.concat(F.lit("Region "), F.col("n_regionkey").cast("string"))).alias("docstring"))
+    key = F.col("p_partkey")
+    classes = W.table(spark, sf, "part").select(
+        *_keys(), W.module_path(key).alias("path"), W.module_name(key).alias("module_name"), F.col("p_name").alias("name"),
+        W._id("part", "p_partkey").alias("qualified_name"), "p_brand",
+        F.when(F.col("p_size") > 25, F.array("p_type", "p_brand")).otherwise(F.array().cast("array<string>")).alias("base_classes"),
+        F.split("p_name", " ").alias("method_names"), F.lit(None).cast("string").alias("docstring"))
+    methods = classes.select(*KEYS, "path", "module_name", F.col("name").alias("class_name"), F.explode("method_names").alias("name"),
+                             "qualified_name", F.col("p_brand").alias("docstring"))
     place = files.drop("docstring")
-    orders = W.table(spark, sf, "orders")
-    names = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.concat(
-        F.lit("m"), F.format_string("%08d", "o_orderkey")))).alias("method_names"))
-    customer = W.table(spark, sf, "customer").withColumnRenamed("c_nationkey", "k").join(place, "k")
-    classes = customer.join(names, customer.c_custkey == names.o_custkey, "left").select(
-        *KEYS, "path", "module_name", F.col("c_name").alias("name"), W._id("customer", "c_custkey").alias("qualified_name"),
-        F.when(F.col("c_acctbal") > 0, F.array("c_mktsegment")).otherwise(F.array().cast("array<string>")).alias("base_classes"),
-        F.coalesce("method_names", F.array().cast("array<string>")).alias("method_names"), F.lit(None).cast("string").alias("docstring"))
-    methods = orders.join(customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select(
-        *KEYS, "path", "module_name", F.concat(F.lit("m"), F.format_string("%08d", "o_orderkey")).alias("name"),
-        W._id("order", "o_orderkey").alias("qualified_name"), F.col("c_name").alias("class_name"),
-        F.col("o_orderpriority").alias("docstring"))
     functions = W.table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "k").join(place, "k").select(
         *KEYS, "path", "module_name", F.col("s_name").alias("name"), W._id("supplier", "s_suppkey").alias("qualified_name"),
         F.lit("").alias("docstring"))
@@ -143,12 +139,11 @@ def semantic_units(spark: SparkSession, sf: str) -> DataFrame:
 
 SEMANTIC_UNITS = f"""WITH f AS (SELECT n_nationkey AS k, concat('geo/', lower(n_name), '.py') AS path, lower(n_name) AS m, CASE WHEN n_regionkey > 0 THEN concat('Region ', n_regionkey) END AS doc,
    concat('Module: ', lower(n_name), chr(10), 'File: geo/', lower(n_name), '.py', chr(10)) AS w FROM nation),
- ms AS (SELECT o_custkey, string_agg(concat('m', printf('%08d', o_orderkey)), ', ' ORDER BY o_orderkey) AS names FROM orders GROUP BY 1)
+ p AS (SELECT *, {S.path('p_partkey')} AS path, concat('Module: ', {S.module('p_partkey')}, chr(10), 'File: ', {S.path('p_partkey')}, chr(10)) AS w FROM part)
 SELECT m AS entity_id, 'Module' AS entity_type, path AS file_path, concat(w, chr(10), 'Docstring:', chr(10), coalesce(doc, 'No module docstring provided.')) AS source_text FROM f
-UNION ALL SELECT {S.ident('customer','c_custkey')}, 'Class', path, concat('Class: ', c_name, chr(10), w, CASE WHEN c_acctbal > 0 THEN concat('Inherits from: ', c_mktsegment) ELSE 'No base classes.' END, chr(10),
-  CASE WHEN names IS NULL THEN 'No methods.' ELSE concat('Methods: ', names) END, chr(10), chr(10), 'Docstring:', chr(10), 'No class docstring provided.') FROM customer JOIN f ON k = c_nationkey LEFT JOIN ms ON o_custkey = c_custkey
-UNION ALL SELECT {S.ident('order','o_orderkey')}, 'Method', path, concat('Method: m', printf('%08d', o_orderkey), chr(10), 'Class: ', c_name, chr(10), w, chr(10), 'Docstring:', chr(10), o_orderpriority)
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN f ON k = c_nationkey
+UNION ALL SELECT {S.ident('part','p_partkey')}, 'Class', path, concat('Class: ', p_name, chr(10), w, CASE WHEN p_size > 25 THEN concat('Inherits from: ', p_type, ', ', p_brand) ELSE 'No base classes.' END, chr(10),
+  'Methods: ', replace(p_name, ' ', ', '), chr(10), chr(10), 'Docstring:', chr(10), 'No class docstring provided.') FROM p
+UNION ALL SELECT {S.ident('part','p_partkey')}, 'Method', path, concat('Method: ', word, chr(10), 'Class: ', p_name, chr(10), w, chr(10), 'Docstring:', chr(10), p_brand) FROM (SELECT *, unnest(string_split(p_name, ' ')) AS word FROM p)
 UNION ALL SELECT {S.ident('supplier','s_suppkey')}, 'Function', path, concat('Function: ', s_name, chr(10), w, chr(10), 'Docstring:', chr(10), 'No function docstring provided.') FROM supplier JOIN f ON k = s_nationkey"""
 
 

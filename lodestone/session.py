@@ -6,21 +6,32 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE settings every job relies on: hot join keys are split at run time, and the
-# number of reduce tasks follows the data instead of a fixed guess.
-ADAPTIVE_CONF = {
+# Settings every job relies on, changeable at run time: hot join keys are split even where that
+# costs a shuffle, and the number of reduce tasks follows the data instead of a fixed guess.
+RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Checkpointed levels are rows, not parquet: a compact serialiser and compression matter.
+}
+# Settings of the application. Checkpointed levels are rows, not parquet: a compact serialiser and
+# compression matter, and levels nothing refers to any more are removed.
+APPLICATION_CONF = {
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     "spark.checkpoint.compress": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
+def apply_runtime_conf(spark: SparkSession) -> SparkSession:
+    """Bring a session someone else made to the settings the operators count on."""
+    for key, value in RUNTIME_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str = "*", app: str = "lodestone", shuffle_partitions: int = 8,
                   driver_memory: str = "12g") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own session."""
@@ -32,7 +43,7 @@ def local_session(cores: str = "*", app: str = "lodestone", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for key, value in ADAPTIVE_CONF.items():
+    for key, value in (RUNTIME_CONF | APPLICATION_CONF).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
