@@ -37,7 +37,7 @@ def consecutive_pairs(snapshots: DataFrame) -> DataFrame:
 def _sides(baseline: DataFrame, target: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     b = baseline.select(*PAIR, *keys, F.lit(True).alias("in_baseline"), *[F.col(v).alias(f"old_{v}") for v in values])
     t = target.select(*PAIR, *keys, F.lit(True).alias("in_target"), *[F.col(v).alias(f"new_{v}") for v in values])
-    return b.join(t, [*PAIR, *keys], "full_outer").na.fill(False, ["in_baseline", "in_target"])
+    return b.join(t, [*keys, *PAIR], "full_outer").na.fill(False, ["in_baseline", "in_target"])
 
 
 def entity_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:

@@ -16,15 +16,16 @@ METRIC_COLUMNS = ["entity_type", "entity_name", "metric_name", "metric_value", "
 def degrees(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct in- and out-degree of every node, zero where it has no edge.
 
-    ``pairs`` is already distinct, so each side is a plain map-side combined count, and a hub
-    never gathers its neighbours in one task.
+    ``pairs`` is already distinct, so both degrees are sums of ones over its two ends: one map-side
+    combined aggregate and one join, and a hub never gathers its neighbours in one task.
     """
-    fan_out = pairs.groupBy(*KEYS, F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("fan_out"))
-    fan_in = pairs.groupBy(*KEYS, F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"))
-    zero = F.lit(0).cast("bigint")
-    return (nodes.join(fan_out, ["id", *KEYS], "left").join(fan_in, ["id", *KEYS], "left")
-            .withColumn("fan_out", F.coalesce("fan_out", zero))
-            .withColumn("fan_in", F.coalesce("fan_in", zero)))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    ends = F.array(F.struct(F.col("source_id").alias("id"), one.alias("leaving"), none.alias("entering")),
+                   F.struct(F.col("target_id").alias("id"), none.alias("leaving"), one.alias("entering")))
+    counted = pairs.select(*KEYS, F.explode(ends).alias("e")).groupBy(*KEYS, F.col("e.id").alias("id")).agg(
+        F.sum("e.entering").alias("fan_in"), F.sum("e.leaving").alias("fan_out"))
+    return (nodes.join(counted, ["id", *KEYS], "left")
+            .withColumn("fan_out", F.coalesce("fan_out", none)).withColumn("fan_in", F.coalesce("fan_in", none)))
 
 
 def fan_in_out(functions: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from lodestone import vocab
 from lodestone.operators import explain as X
 from lodestone.operators import graph as GR
 from lodestone.operators import search as SE
+from lodestone.session import small_frame
 
 KEYS = vocab.KEYS
 FINDINGS = {"explain_violation": ("violations", X.explain_violations), "explain_cycle": ("cycles", X.explain_cycles),
@@ -45,8 +46,7 @@ class Questions:
 
     def _asked(self, text: str) -> DataFrame:
         spark = self.facts["entities"].sparkSession
-        return spark.createDataFrame([(self.repository_id, self.snapshot_id, text)],
-                                     "repository_id string, snapshot_id string, query string")
+        return small_frame(spark, [*KEYS, "query"], [(self.repository_id, self.snapshot_id, text)])
 
     def resolve(self, text: str) -> DataFrame:
         return SE.resolve_entities(self._asked(text), self.facts["entities"])

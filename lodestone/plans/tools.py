@@ -13,8 +13,10 @@ from lodestone.operators import git_metrics as G
 from lodestone.operators import graph as GR
 from lodestone.operators import metrics as M
 from lodestone.operators import search as SE
+from lodestone.operators.evolution import PAIR
 from lodestone.plans import comparison as CP
 from lodestone.plans import dossier as D
+from lodestone.session import small_frame
 from lodestone.sources.repository import read_file
 
 KEYS = vocab.KEYS
@@ -42,12 +44,10 @@ class Workspace:
         self.spark = next(iter(facts.values())).sparkSession
 
     def start(self, entity: str) -> DataFrame:
-        return self.spark.createDataFrame([(self.repository_id, self.snapshot_id, entity)],
-                                          "repository_id string, snapshot_id string, start string")
+        return small_frame(self.spark, [*KEYS, "start"], [(self.repository_id, self.snapshot_id, entity)])
 
     def pair(self, previous: str, current: str) -> DataFrame:
-        return self.spark.createDataFrame([(self.repository_id, previous, current)],
-                                          "repository_id string, baseline_snapshot_id string, target_snapshot_id string")
+        return small_frame(self.spark, PAIR, [(self.repository_id, previous, current)])
 
 
 def describe() -> dict[str, dict]:

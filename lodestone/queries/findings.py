@@ -24,7 +24,7 @@ def type_facts(spark: SparkSession, sf: str, snapshot: str = W.HEAD) -> DataFram
     """Components with the role their catalogue type stands for."""
     role = W.role_of_type(F.col("p_type"))
     return W.table(spark, sf, "part").select(
-        F.lit(W.REPOSITORY).alias("repository_id"), F.lit(snapshot).alias("snapshot_id"),
+        *W.keys("p_partkey", snapshot),
         W.module_name(F.col("p_partkey")).alias("qualified_name"), F.lit("Class").alias("node_kind"),
         role.alias("architecture_role"), C.layer_of_role(role).alias("layer"),
         W.module_path(F.col("p_partkey")).alias("file_path"), F.lit("python").alias("language"))
@@ -63,7 +63,7 @@ LAYER_VIOLATIONS = f"WITH {S.EDGES}, {_FACTS}, {_violations_sql()} SELECT * FROM
 def boundary_bypass(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers in debt stand for concrete classes bound to an interface."""
     bindings = W.table(spark, sf, "supplier").where(F.col("s_acctbal") < 0).select(
-        F.lit(W.REPOSITORY).alias("repository_id"), F.lit(W.HEAD).alias("snapshot_id"),
+        *W.keys("s_suppkey"),
         F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("concrete_type"),
         F.concat(F.lit("IGateway"), F.col("s_nationkey").cast("string")).alias("interface_type"))
     return A.boundary_bypasses(W.module_edges(spark, sf), bindings).select(
@@ -94,7 +94,7 @@ def role_classification(spark: SparkSession, sf: str) -> DataFrame:
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
     part = W.table(spark, sf, "part")
-    keys = [F.lit(W.REPOSITORY).alias("repository_id"), F.lit(W.HEAD).alias("snapshot_id")]
+    keys = W.keys("p_partkey")
     key = F.col("p_partkey")
     header = (F.when(F.col("p_type") == "STANDARD", "@RestController\npublic class X")
               .when(F.col("p_type") == "ECONOMY", "@Service\npublic class X")
@@ -117,7 +117,7 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
     target = F.when(F.col("l_returnflag") == "A", W.function_name(F.col("l_suppkey"))).otherwise(
         F.concat(W.module_name(F.col("l_suppkey")), F.lit(".top"), F.col("l_suppkey").cast("string")))
     edges = line.where((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)).select(
-        *keys, source.alias("source_id"), rel.alias("relationship"), target.alias("target_id"))
+        *W.keys("l_partkey"), source.alias("source_id"), rel.alias("relationship"), target.alias("target_id"))
     return A.classify_roles(classes, methods, functions, edges)
 
 
@@ -199,7 +199,7 @@ WINDOWS = {"b": ("1995-01-01", "1999-01-01"), "t": ("1997-01-01", "2001-01-01")}
 
 
 def window_pair(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT '{W.REPOSITORY}' AS repository_id, 'b' AS baseline_snapshot_id, 't' AS target_snapshot_id")
+    return W.pair(spark, "b", "t")
 
 
 def _windowed_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,32 +222,32 @@ def _customer_roles(spark: SparkSession, sf: str) -> DataFrame:
 def window_entities(spark: SparkSession, sf: str) -> DataFrame:
     roles = _customer_roles(spark, sf)
     segment = W.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
-    repo = F.lit(W.REPOSITORY).alias("repository_id")
+    repo = F.when(F.col("o_custkey").isNotNull(), W.REPOSITORY).alias("repository_id")
     customers = roles.join(segment, "o_custkey").select(
-        repo, "snapshot_id", W._id("customer", "o_custkey").alias("qualified_name"), F.lit("Class").alias("entity_kind"),
+        repo, "snapshot_id", W.ident("customer", "o_custkey").alias("qualified_name"), F.lit("Class").alias("entity_kind"),
         F.col("role").alias("architecture_role"), C.layer_of_role(F.col("role")).alias("architecture_layer"),
         F.col("c_mktsegment").alias("file_path"))
     null = F.lit(None).cast("string")
     endpoints = _windowed_orders(spark, sf).select(
-        repo, "snapshot_id", W._id("endpoint:GET:/orders", "o_orderkey").alias("qualified_name"),
+        repo, "snapshot_id", W.ident("endpoint:GET:/orders", "o_orderkey").alias("qualified_name"),
         F.lit("Endpoint").alias("entity_kind"), null.alias("architecture_role"), null.alias("architecture_layer"),
         null.alias("file_path"))
     return customers.unionByName(endpoints)
 
 
 def window_relationships(spark: SparkSession, sf: str, nations: bool = True) -> DataFrame:
-    repo = F.lit(W.REPOSITORY).alias("repository_id")
+    repo = F.when(F.col("o_custkey").isNotNull(), W.REPOSITORY).alias("repository_id")
     status = F.when(F.col("o_orderstatus") == "F", "exact").when(F.col("o_orderstatus") == "O", "inferred").otherwise("unresolved")
     handled = _windowed_orders(spark, sf).select(
-        repo, "snapshot_id", W._id("endpoint:GET:/orders", "o_orderkey").alias("source_id"),
-        F.lit("HANDLED_BY").alias("relationship"), W._id("customer", "o_custkey").alias("target_id"), status.alias("resolution"))
+        repo, "snapshot_id", W.ident("endpoint:GET:/orders", "o_orderkey").alias("source_id"),
+        F.lit("HANDLED_BY").alias("relationship"), W.ident("customer", "o_custkey").alias("target_id"), status.alias("resolution"))
     if not nations:
         return handled
     segment = W.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     level = F.when(F.col("n") >= 6, "exact").when(F.col("n") >= 4, "inferred").otherwise("unresolved")
     member = _customer_roles(spark, sf).join(segment, "o_custkey").select(
-        repo, "snapshot_id", W._id("customer", "o_custkey").alias("source_id"), F.lit("DEPENDS_ON").alias("relationship"),
-        W._id("nation", "c_nationkey").alias("target_id"), level.alias("resolution"))
+        repo, "snapshot_id", W.ident("customer", "o_custkey").alias("source_id"), F.lit("DEPENDS_ON").alias("relationship"),
+        W.ident("nation", "c_nationkey").alias("target_id"), level.alias("resolution"))
     return handled.unionByName(member)
 
 
@@ -409,7 +409,7 @@ SELECT CASE WHEN removed > 0 THEN 'high' WHEN growths + degraded + layers > 0 TH
 # ---------------------------------------------------------- stored metrics, year over year
 
 def _year_pair(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT '{W.REPOSITORY}' AS repository_id, '1997' AS baseline_snapshot_id, '1998' AS target_snapshot_id")
+    return W.pair(spark, "1997", "1998")
 
 
 def metric_diff(spark: SparkSession, sf: str) -> DataFrame:

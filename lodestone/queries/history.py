@@ -74,8 +74,7 @@ def change_types(spark: SparkSession, sf: str) -> DataFrame:
     status = (changes.where(F.col("change_type") != "N").groupBy(*KEYS, "commit_sha", "file_path")
               .agg(F.min("change_type").alias("change_type")))
     orders = W.table(spark, sf, "orders").select(
-        F.lit(W.REPOSITORY).alias("repository_id"), F.lit(W.HEAD).alias("snapshot_id"),
-        F.col("o_orderkey").cast("string").alias("commit_sha"),
+        *W.keys("o_orderkey"), F.col("o_orderkey").cast("string").alias("commit_sha"),
         F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("parent_count"),
         (F.col("o_orderpriority") == "5-LOW").alias("parent_missing"))
     out = G.classify_changes(numstat, status, orders)
@@ -105,7 +104,7 @@ def _risk(spark: SparkSession, sf: str) -> DataFrame:
     churn = G.file_churn(W.file_changes(spark, sf))
     coupling = C.max_normalised(
         W.table(spark, sf, "part").select(
-            F.lit(W.REPOSITORY).alias("repository_id"), F.lit(W.HEAD).alias("snapshot_id"),
+            *W.keys("p_partkey"),
             W.module_name(F.col("p_partkey")).alias("module_key"), "p_retailprice"),
         "p_retailprice", "normalized_coupling", KEYS)
     return G.file_risk(complexity, churn, coupling)
@@ -144,10 +143,9 @@ RISK_HOTSPOTS = f"WITH {_RISK} SELECT * FROM risk WHERE risk_score >= 0.3 ORDER
 
 
 def hotspot_risk_clamped(spark: SparkSession, sf: str) -> DataFrame:
-    line = W.table(spark, sf, "lineitem").select(W.module_path(F.col("l_partkey")).alias("file_path"),
-                                                 "l_linenumber", "l_orderkey", "l_quantity")
-    signals = line.groupBy(
-        F.lit(W.REPOSITORY).alias("repository_id"), F.lit(W.HEAD).alias("snapshot_id"), "file_path").agg(
+    line = W.table(spark, sf, "lineitem").select(*W.keys("l_partkey"),
+                                                 W.module_path(F.col("l_partkey")).alias("file_path"), "l_linenumber", "l_quantity")
+    signals = line.groupBy(*KEYS, "file_path").agg(
         F.max(F.col("l_quantity").cast("int")).alias("complexity"), F.max("l_linenumber").alias("fan_in"),
         F.min("l_linenumber").alias("fan_out"), F.count(F.lit(1)).alias("churn"))
     return G.clamped_hotspot_risk(signals).drop(*KEYS)

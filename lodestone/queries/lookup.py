@@ -13,13 +13,9 @@ from lodestone.sources import warehouse as W
 KEYS = ["repository_id", "snapshot_id"]
 
 
-def _keys() -> list:
-    return [F.lit(W.REPOSITORY).alias("repository_id"), F.lit(W.HEAD).alias("snapshot_id")]
-
-
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return W.table(spark, sf, "embeddings").select(
-        *_keys(), F.format_string("%08d", "vec_id").alias("entity_id"),
+        *W.keys("vec_id"), F.format_string("%08d", "vec_id").alias("entity_id"),
         F.when(F.col("label") % 2 == 0, "Function").otherwise("Class").alias("entity_type"), "embedding")
 
 
@@ -51,7 +47,7 @@ SELECT label, count(*) AS units, round(max(c), 6) AS best, round(avg(c), 6) AS m
 
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
     units = W.table(spark, sf, "documents").select(
-        *_keys(), F.concat(F.col("source"), F.lit("."), F.col("doc_id").cast("string")).alias("entity_id"),
+        *W.keys("doc_id"), F.concat(F.col("source"), F.lit("."), F.col("doc_id").cast("string")).alias("entity_id"),
         F.col("lang").alias("entity_type"), F.col("text").alias("source_text"))
     return SE.text_matches(units, "LICENSE", ["en", "de"]).select("entity_id", "entity_type", "similarity")
 
@@ -62,7 +58,7 @@ TEXT_SEARCH = """SELECT concat(source, '.', doc_id) AS entity_id, lang AS entity
 
 def _symbols(spark: SparkSession, sf: str) -> DataFrame:
     part = W.table(spark, sf, "part").select(
-        *_keys(), W.module_name(F.col("p_partkey")).alias("qualified_name"), F.col("p_name").alias("name"),
+        *W.keys("p_partkey"), W.module_name(F.col("p_partkey")).alias("qualified_name"), F.col("p_name").alias("name"),
         W.module_path(F.col("p_partkey")).alias("path"),
         F.when(F.col("p_type") == "PROMO", "Repository").otherwise(F.col("p_type")).alias("label"))
     return part
@@ -89,17 +85,17 @@ DISPLAY_LABELS = f"""SELECT {S.module('p_partkey')} AS qualified_name, CASE p_ty
 def entity_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Every supplier asks four ways: full name, endpoint, short name, and file suffix."""
     part = W.table(spark, sf, "part").select(
-        *_keys(), W.module_name(F.col("p_partkey")).alias("qualified_name"),
+        *W.keys("p_partkey"), W.module_name(F.col("p_partkey")).alias("qualified_name"),
         W.module_path(F.col("p_partkey")).alias("file_path"), F.lit(None).cast("string").alias("module_name"))
     nation = W.table(spark, sf, "nation").select(
-        *_keys(), W._id("endpoint:GET:/nations", "n_nationkey").alias("qualified_name"),
+        *W.keys("n_nationkey"), W.ident("endpoint:GET:/nations", "n_nationkey").alias("qualified_name"),
         F.lit(None).cast("string").alias("file_path"),
         F.concat(F.lit("geo."), F.lower("n_name")).alias("module_name"))
     key = F.col("s_suppkey")
     asked = F.array(W.module_name(key), F.concat(F.lit("get nations:"), F.col("s_nationkey").cast("string")),
                     F.concat(F.lit("f"), key.cast("string")), F.concat(F.lit("/f"), key.cast("string"), F.lit(".py")),
                     F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")), F.concat(F.lit("absent"), key.cast("string")))
-    queries = W.table(spark, sf, "supplier").select(*_keys(), F.explode(asked).alias("query")).distinct()
+    queries = W.table(spark, sf, "supplier").select(*W.keys("s_suppkey"), F.explode(asked).alias("query")).distinct()
     return SE.resolve_entities(queries, part.unionByName(nation)).select("query", "status", "match_count", "qualified_name")
 
 
@@ -119,20 +115,20 @@ FROM asked LEFT JOIN f USING (query)"""
 def semantic_units(spark: SparkSession, sf: str) -> DataFrame:
     """Nations are modules, parts classes whose name words are methods, suppliers functions."""
     files = W.table(spark, sf, "nation").select(
-        *_keys(), F.col("n_nationkey").alias("k"), F.concat(F.lit("geo/"), F.lower("n_name"), F.lit(".py")).alias("path"),
+        *W.keys("n_nationkey"), F.col("n_nationkey").alias("k"), F.concat(F.lit("geo/"), F.lower("n_name"), F.lit(".py")).alias("path"),
         F.lower("n_name").alias("module_name"),
         F.when(F.col("n_regionkey") > 0, F.concat(F.lit("Region "), F.col("n_regionkey").cast("string"))).alias("docstring"))
     key = F.col("p_partkey")
     classes = W.table(spark, sf, "part").select(
-        *_keys(), W.module_path(key).alias("path"), W.module_name(key).alias("module_name"), F.col("p_name").alias("name"),
-        W._id("part", "p_partkey").alias("qualified_name"), "p_brand",
+        *W.keys("p_partkey"), W.module_path(key).alias("path"), W.module_name(key).alias("module_name"), F.col("p_name").alias("name"),
+        W.ident("part", "p_partkey").alias("qualified_name"), "p_brand",
         F.when(F.col("p_size") > 25, F.array("p_type", "p_brand")).otherwise(F.array().cast("array<string>")).alias("base_classes"),
         F.split("p_name", " ").alias("method_names"), F.lit(None).cast("string").alias("docstring"))
     methods = classes.select(*KEYS, "path", "module_name", F.col("name").alias("class_name"), F.explode("method_names").alias("name"),
                              "qualified_name", F.col("p_brand").alias("docstring"))
     place = files.drop("docstring")
     functions = W.table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "k").join(place, "k").select(
-        *KEYS, "path", "module_name", F.col("s_name").alias("name"), W._id("supplier", "s_suppkey").alias("qualified_name"),
+        *KEYS, "path", "module_name", F.col("s_name").alias("name"), W.ident("supplier", "s_suppkey").alias("qualified_name"),
         F.lit("").alias("docstring"))
     return SE.semantic_units(files, classes, methods, functions).drop(*KEYS)
 

@@ -105,7 +105,7 @@ GRAPH_HEALTH = """SELECT count(*) AS total_modules, CAST(0 AS BIGINT) AS total_c
 def yearly_metrics(spark: SparkSession, sf: str) -> DataFrame:
     line = W.table(spark, sf, "lineitem")
     year = F.year("l_shipdate").cast("string")
-    per = line.groupBy(F.lit(W.REPOSITORY).alias("repository_id"), year.alias("snapshot_id"),
+    per = line.groupBy(F.when(F.col("l_partkey").isNotNull(), W.REPOSITORY).alias("repository_id"), year.alias("snapshot_id"),
                        W.module_name(F.col("l_partkey")).alias("entity_name")).agg(
         F.max("l_linenumber").cast("double").alias("cyclomatic_complexity"),
         F.countDistinct("l_suppkey").cast("double").alias("outgoing_coupling"),
@@ -120,7 +120,7 @@ def yearly_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def year_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     line = W.table(spark, sf, "lineitem")
-    return line.groupBy(F.lit(W.REPOSITORY).alias("repository_id"),
+    return line.groupBy(F.when(F.col("l_partkey").isNotNull(), W.REPOSITORY).alias("repository_id"),
                         F.year("l_shipdate").cast("string").alias("snapshot_id")).agg(
         F.max("l_shipdate").alias("analyzed_at"))
 

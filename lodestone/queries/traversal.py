@@ -119,9 +119,9 @@ TRAVERSE_UP = f"WITH RECURSIVE {_paths_sql(('supplier:0', 'nation:3'), 'target_i
 
 def dependency_paths(spark: SparkSession, sf: str) -> DataFrame:
     """All paths from three orders to every region."""
-    goals = W.table(spark, sf, "region").select(W._id("region", "r_regionkey").alias("goal"))
+    goals = W.table(spark, sf, "region").select(W.keys("r_regionkey")[0], W.ident("region", "r_regionkey").alias("goal"))
     starts = W.start_nodes(spark, "order:5", "order:6", "order:7")
-    pairs = starts.join(goals.withColumn("repository_id", F.lit(W.REPOSITORY)), "repository_id")
+    pairs = starts.join(goals, "repository_id")
     return _flat(GR.find_paths(pairs, W.schema_graph(spark, sf)))
 
 

@@ -50,6 +50,12 @@ def local_session(cores: str = "*", app: str = "lodestone", shuffle_partitions:
     return spark
 
 
+def small_frame(spark: SparkSession, columns: list[str], rows: list[tuple[str, ...]]) -> DataFrame:
+    """Strings a caller passed in, as an inline table: its size is known, so joins see how small it is."""
+    marks = ", ".join("(" + ", ".join("?" for _ in columns) + ")" for _ in rows)
+    return spark.sql(f"SELECT * FROM VALUES {marks} AS t({', '.join(columns)})", args=[v for row in rows for v in row])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one up only where that is safe.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import columns as C
+from lodestone.session import small_frame
 
 REPOSITORY = "shop"
 HEAD = "head"
@@ -25,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _keys(snapshot: Column | str = HEAD) -> list[Column]:
-    snap = F.lit(snapshot) if isinstance(snapshot, str) else snapshot
-    return [F.lit(REPOSITORY).alias("repository_id"), snap.alias("snapshot_id")]
+def keys(row_key: str, snapshot: Column | str = HEAD) -> list[Column]:
+    """Repository and snapshot as real columns, as in stored fact tables: the optimiser would drop
+    a plain literal from join keys and turn joins on them into products."""
+    present = F.col(row_key).isNotNull()
+    snap = F.when(present, snapshot) if isinstance(snapshot, str) else snapshot
+    return [F.when(present, REPOSITORY).alias("repository_id"), snap.alias("snapshot_id")]
 
 
 def module_name(key: Column) -> Column:
@@ -55,7 +59,7 @@ def relationship_of(line: Column) -> Column:
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
-        *_keys(), F.col("o_orderkey").cast("string").alias("commit_sha"),
+        *keys("o_orderkey"), F.col("o_orderkey").cast("string").alias("commit_sha"),
         F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("author_name"),
         F.concat(F.col("o_custkey").cast("string"), F.lit("@shop")).alias("author_email"),
         F.col("o_orderdate").alias("committed_at"), F.col("o_orderpriority").alias("message"))
@@ -63,7 +67,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
-        *_keys(), F.col("l_orderkey").cast("string").alias("commit_sha"),
+        *keys("l_orderkey"), F.col("l_orderkey").cast("string").alias("commit_sha"),
         module_path(F.col("l_partkey")).alias("file_path"), F.col("l_returnflag").alias("change_type"),
         F.col("l_quantity").cast("int").alias("insertions"), F.col("l_linenumber").alias("deletions"))
 
@@ -71,7 +75,7 @@ def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def module_edges(spark: SparkSession, sf_dir: str, snapshot: Column | str = HEAD) -> DataFrame:
     """Part -> part edges: the line's part uses the part numbered like the line's supplier."""
     return table(spark, sf_dir, "lineitem").select(
-        *_keys(snapshot), module_name(F.col("l_partkey")).alias("source_id"),
+        *keys("l_partkey", snapshot), module_name(F.col("l_partkey")).alias("source_id"),
         relationship_of(F.col("l_linenumber")).alias("relationship"),
         module_name(F.col("l_suppkey")).alias("target_id"),
         resolution_of(F.col("l_returnflag")).alias("resolution"))
@@ -82,27 +86,30 @@ def status_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return module_edges(spark, sf_dir, F.col("l_linestatus"))
 
 
+def pair(spark: SparkSession, baseline: str, target: str) -> DataFrame:
+    return small_frame(spark, ["repository_id", "baseline_snapshot_id", "target_snapshot_id"], [(REPOSITORY, baseline, target)])
+
+
 def status_pair(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT '{REPOSITORY}' AS repository_id, 'F' AS baseline_snapshot_id, "
-                     "'O' AS target_snapshot_id")
+    return pair(spark, "F", "O")
 
 
 def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return part.select(*_keys(), module_name(F.col("p_partkey")).alias("id"), F.lit("Module").alias("label"),
+    return part.select(*keys("p_partkey"), module_name(F.col("p_partkey")).alias("id"), F.lit("Module").alias("label"),
                        F.lit(None).cast("int").alias("cyclomatic_complexity"))
 
 
 def function_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return part.select(*_keys(), module_name(F.col("p_partkey")).alias("id"), F.lit("Function").alias("label"),
+    return part.select(*keys("p_partkey"), module_name(F.col("p_partkey")).alias("id"), F.lit("Function").alias("label"),
                        F.col("p_size").alias("cyclomatic_complexity"))
 
 
 def complexity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complexity rows of one function per part, normalised by the catalogue's largest size."""
     part = table(spark, sf_dir, "part")
-    sized = part.select(*_keys(), function_name(F.col("p_partkey")).alias("entity_name"), "p_size")
+    sized = part.select(*keys("p_partkey"), function_name(F.col("p_partkey")).alias("entity_name"), "p_size")
     scaled = C.max_normalised(sized, "p_size", "metric_value", ["repository_id", "snapshot_id"])
     return scaled.select("repository_id", "snapshot_id", F.lit("Function").alias("entity_type"), "entity_name",
                          F.lit("normalized_complexity").alias("metric_name"), "metric_value",
@@ -117,11 +124,11 @@ def role_of_type(kind: Column) -> Column:
 
 
 def _edge(df: DataFrame, source: Column, relationship: str, target: Column, resolution: Column) -> DataFrame:
-    return df.select(*_keys(), source.alias("source_id"), F.lit(relationship).alias("relationship"),
+    return df.select(*keys(df.columns[0]), source.alias("source_id"), F.lit(relationship).alias("relationship"),
                      target.alias("target_id"), resolution.alias("resolution"))
 
 
-def _id(kind: str, key: str) -> Column:
+def ident(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
@@ -132,17 +139,17 @@ def schema_graph(spark: SparkSession, sf_dir: str, supply: bool = True) -> DataF
               .otherwise("unresolved"))
     line = table(spark, sf_dir, "lineitem")
     edges = (
-        _edge(table(spark, sf_dir, "nation"), _id("nation", "n_nationkey"), "IMPORTS", _id("region", "n_regionkey"), exact)
-        .unionByName(_edge(table(spark, sf_dir, "customer"), _id("customer", "c_custkey"), "CALLS",
-                           _id("nation", "c_nationkey"), exact))
-        .unionByName(_edge(table(spark, sf_dir, "supplier"), _id("supplier", "s_suppkey"), "CALLS",
-                           _id("nation", "s_nationkey"), exact))
-        .unionByName(_edge(table(spark, sf_dir, "orders"), _id("order", "o_orderkey"), "CALLS",
-                           _id("customer", "o_custkey"), status))
-        .unionByName(_edge(line, _id("order", "l_orderkey"), "REQUESTS", _id("part", "l_partkey"),
+        _edge(table(spark, sf_dir, "nation"), ident("nation", "n_nationkey"), "IMPORTS", ident("region", "n_regionkey"), exact)
+        .unionByName(_edge(table(spark, sf_dir, "customer"), ident("customer", "c_custkey"), "CALLS",
+                           ident("nation", "c_nationkey"), exact))
+        .unionByName(_edge(table(spark, sf_dir, "supplier"), ident("supplier", "s_suppkey"), "CALLS",
+                           ident("nation", "s_nationkey"), exact))
+        .unionByName(_edge(table(spark, sf_dir, "orders"), ident("order", "o_orderkey"), "CALLS",
+                           ident("customer", "o_custkey"), status))
+        .unionByName(_edge(line, ident("order", "l_orderkey"), "REQUESTS", ident("part", "l_partkey"),
                            resolution_of(F.col("l_returnflag")))))
     if supply:
-        edges = edges.unionByName(_edge(line, _id("part", "l_partkey"), "HANDLED_BY", _id("supplier", "l_suppkey"), exact))
+        edges = edges.unionByName(_edge(line, ident("part", "l_partkey"), "HANDLED_BY", ident("supplier", "l_suppkey"), exact))
     return edges
 
 
@@ -153,18 +160,18 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey",
                                                             "l_returnflag"), "o_orderkey"))
     return (
-        _edge(table(spark, sf_dir, "nation"), _id("region", "n_regionkey"), "CONTAINS", _id("nation", "n_nationkey"), exact)
-        .unionByName(_edge(table(spark, sf_dir, "customer"), _id("nation", "c_nationkey"), "CONTAINS",
-                           _id("customer", "c_custkey"), exact))
-        .unionByName(_edge(table(spark, sf_dir, "supplier"), _id("nation", "s_nationkey"), "CONTAINS",
-                           _id("supplier", "s_suppkey"), exact))
-        .unionByName(_edge(bought, _id("customer", "o_custkey"), "CALLS", _id("supplier", "l_suppkey"),
+        _edge(table(spark, sf_dir, "nation"), ident("region", "n_regionkey"), "CONTAINS", ident("nation", "n_nationkey"), exact)
+        .unionByName(_edge(table(spark, sf_dir, "customer"), ident("nation", "c_nationkey"), "CONTAINS",
+                           ident("customer", "c_custkey"), exact))
+        .unionByName(_edge(table(spark, sf_dir, "supplier"), ident("nation", "s_nationkey"), "CONTAINS",
+                           ident("supplier", "s_suppkey"), exact))
+        .unionByName(_edge(bought, ident("customer", "o_custkey"), "CALLS", ident("supplier", "l_suppkey"),
                            resolution_of(F.col("l_returnflag")))))
 
 
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def nodes(name: str, kind: str, key: str, label: str, title: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(*_keys(), _id(kind, key).alias("id"), F.lit(label).alias("label"),
+        return table(spark, sf_dir, name).select(*keys(key), ident(kind, key).alias("id"), F.lit(label).alias("label"),
                                                  F.col(title).alias("name"))
 
     return (nodes("region", "region", "r_regionkey", "File", "r_name")
@@ -175,6 +182,4 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def start_nodes(spark: SparkSession, *ids: str) -> DataFrame:
     """The entities a query was asked about."""
-    values = ", ".join(f"'{i}'" for i in ids)
-    return spark.sql(f"SELECT '{REPOSITORY}' AS repository_id, '{HEAD}' AS snapshot_id, "
-                     f"explode(array({values})) AS start")
+    return small_frame(spark, ["repository_id", "snapshot_id", "start"], [(REPOSITORY, HEAD, i) for i in ids])
