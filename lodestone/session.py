@@ -52,8 +52,10 @@ def local_session(cores: str = "*", app: str = "lodestone", shuffle_partitions:
 
 def small_frame(spark: SparkSession, columns: list[str], rows: list[tuple[str, ...]]) -> DataFrame:
     """Strings a caller passed in, as an inline table: its size is known, so joins see how small it is."""
-    marks = ", ".join("(" + ", ".join("?" for _ in columns) + ")" for _ in rows)
-    return spark.sql(f"SELECT * FROM VALUES {marks} AS t({', '.join(columns)})", args=[v for row in rows for v in row])
+    names = [[f"v{r}_{c}" for c in range(len(columns))] for r in range(len(rows))]
+    values = ", ".join("(" + ", ".join(f":{n}" for n in line) + ")" for line in names)
+    args = {n: v for line, row in zip(names, rows) for n, v in zip(line, row)}
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})", args=args)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.embedding import embed_units, hashing_provider
 from lodestone.operators import git_metrics as G
 from lodestone.operators import search as SE
-from lodestone.session import cut_lineage, ensure_checkpoint_dir
+from lodestone.session import cut_lineage, ensure_checkpoint_dir, small_frame
 from lodestone.sources import repository as SR
 from lodestone.sources.store import read_table, write_table
 
@@ -104,3 +104,8 @@ def test_extension_rules(spark):
     df = spark.createDataFrame([("a/.env",), ("b.tar.gz",), ("c",), ("d/e.PY",), ("x/y.py",)], "path string")
     got = {r.path: (r.e, r.l) for r in df.select("path", SR.extension(F.col("path")).alias("e"), SR.language_of(F.col("path")).alias("l")).collect()}
     assert got == {"a/.env": ("", None), "b.tar.gz": (".gz", None), "c": ("", None), "d/e.PY": (".PY", None), "x/y.py": (".py", "python")}
+
+
+def test_small_frame_keeps_rows_and_quotes(spark):
+    rows = [("a", "it's", "x"), ("b", '"q"', "y"), ("c", "?", "z")]
+    assert [tuple(r) for r in small_frame(spark, ["p", "q", "r"], rows).collect()] == rows
