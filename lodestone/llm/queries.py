@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fm, packing, simhash, surrogates, tiling
+from lodestone.llm import chat, fm, packing, simhash, spots, surrogates, tiling, toxicity
 from lodestone.llm.text import held_out
 
 
@@ -29,11 +29,61 @@ def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out("doc_id", 5, 0)), "toxic")
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spots.with_next(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", spots.edited(F.col("text"), F.col("next_text")))
+    own, changed, following = (spots.signatures(F.col(c)).alias(n) for c, n in (("text", "own"), ("edited", "changed"), ("next_text", "following")))
+    marked = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), own, changed, following)
+    return marked.select("doc_id", "n_chars", "edited_sha256", spots.fingerprint(F.col("own")).alias("fingerprint"),
+                         spots.fingerprint(F.col("changed")).alias("edited_fingerprint"),
+                         spots.likeness(F.col("own"), F.col("changed")).alias("near_edited"), spots.likeness(F.col("own"), F.col("following")).alias("near_next"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: A conversation whose texts hold the template's own control strings.
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
+    out = chat.format_records(chat.turn_records(rows.unionByName(planted))).withColumn("back", chat.parse(F.col("formatted")))
+    learnt = F.array_join(F.transform(F.filter("back", lambda t: t["learnt"]), lambda t: chat.unescaped(
+        F.substring("formatted", (t["start"] + 1).cast("int"), t["length"]))), "")
+    turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), learnt.alias("learnt"),
+                      F.length("formatted").cast("long").alias("formatted_chars")).select(
+        "conv_id", "n_turns", "turns_sha256", F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def _escaped_sql(column: str) -> str:
+    for plain, code in chat.ESCAPES:
+        column = f"replace({column}, '{plain}', '{code}')"
+    return column
+
+
+OP6_SQL = f"""WITH rows AS (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
+whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt,
+  CAST(sum({len(chat.OPEN) + 1 + len(chat.CLOSE)} + length(replace({_escaped_sql('role')}, chr(10), '\\n')) + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars
+ FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM whole"""
+
+
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_mentions")
 
@@ -48,7 +98,10 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_harmonic_packing": (op1_harmonic_packing, None),
     "op2_string_tiling": (op2_string_tiling, None),
+    "op3_toxicity": (op3_toxicity, None),
+    "op4_spot_signatures": (op4_spot_signatures, None),
     "op5_simhash": (op5_simhash, None),
+    "op6_chat_formatting": (op6_chat_formatting, OP6_SQL),
     "op8_surrogates": (op8_surrogates, None),
     "op10_factorisation_machine": (op10_factorisation_machine, None),
 }
