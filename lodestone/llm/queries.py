@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, fm, packing, simhash, spots, surrogates, tiling, toxicity
+from lodestone.llm import chat, fm, packing, repeats, simhash, spots, surrogates, tiling, toxicity
 from lodestone.llm.text import held_out
 
 
@@ -84,6 +84,12 @@ whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || tex
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM whole"""
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), width=200)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_mentions")
 
@@ -102,6 +108,7 @@ QUERIES = {
     "op4_spot_signatures": (op4_spot_signatures, None),
     "op5_simhash": (op5_simhash, None),
     "op6_chat_formatting": (op6_chat_formatting, OP6_SQL),
+    "op7_repeated_bytes": (op7_repeated_bytes, None),
     "op8_surrogates": (op8_surrogates, None),
     "op10_factorisation_machine": (op10_factorisation_machine, None),
 }
