@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, fm, packing, repeats, simhash, spots, surrogates, tiling, toxicity
+from lodestone.llm import chat, fm, langid, packing, repeats, simhash, spots, surrogates, tiling, toxicity
 from lodestone.llm.text import held_out
 
 
@@ -94,6 +94,10 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_mentions")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     machine = fm.fit(docs, labels.where(~held_out("doc_id", 3, 1)), "quality")
@@ -110,5 +114,6 @@ QUERIES = {
     "op6_chat_formatting": (op6_chat_formatting, OP6_SQL),
     "op7_repeated_bytes": (op7_repeated_bytes, None),
     "op8_surrogates": (op8_surrogates, None),
+    "op9_language_id": (op9_language_id, None),
     "op10_factorisation_machine": (op10_factorisation_machine, None),
 }
