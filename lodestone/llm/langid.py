@@ -138,7 +138,7 @@ def languages(pages: DataFrame, docs: DataFrame, weight: float = 0.25, most: int
     def votes() -> Column:
         return F.array(*[F.sum(F.get("vote", F.lit(k))) for k in range(count)])
 
-    overall = seen.agg(votes().alias("v")).first()["v"] or [0.0] * count
+    overall = [v or 0.0 for v in seen.agg(votes().alias("v")).first()["v"]]
     whole = sum(overall) + 1e-9
     base = F.array(*[F.lit((v + 0.1) / (whole + 0.1 * count)) for v in overall])
 

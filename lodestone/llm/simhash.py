@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import slices, text_or_empty
+from lodestone.llm.text import slices, text_or_empty, unused
 from lodestone.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -221,7 +221,6 @@ def band_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Links of (node, fp, shingles) within ``radius`` and with shingle counts in the ratio ``similarity`` or nearer."""
     band = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / float(-np.log(similarity)) + 1e-9).cast("int")
     pop = F.aggregate("fp", F.lit(0), lambda total, word: total + F.bit_count(word))
-    # A lone node of a band may still have partners in the next one; a second, empty group member keeps it.
     banded = nodes.select(band.alias("band"), "node", pop.alias("pop"), "fp")
     spread = banded.groupBy("band").agg(F.ceil(F.count("*") / (TILE // 4)).cast("int").alias("of"))
     tiles = banded.join(spread, "band").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).groupBy("band", "tile").agg(
@@ -285,9 +284,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: i
     nodes = cut_lineage(marked.groupBy("node").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles")))
     linked = star_components(band_links(nodes.select("node", "fp", "shingles"), radius, similarity))
     roots_of = nodes.join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    stays = roots_of.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.doc_id").alias("_stays_id"), F.col("first.node").alias("_stays_node"))
-    id_of = docs[f"`{id_column}`"]
-    kept = docs.join(stays, id_of.eqNullSafe(stays._stays_id) & (mark == stays._stays_node))
+    stay_id, stay_node = unused(docs, "stay_id"), unused(docs, "stay_node")
+    stays = roots_of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(stay_id), F.col("first.node").alias(stay_node))
+    kept = docs.join(stays, docs[f"`{id_column}`"].eqNullSafe(stays[stay_id]) & (mark == stays[stay_node]))
     # Equal rows were dealt to one partition by the join, so dropping repeats needs no further shuffle.
-    return kept.dropDuplicates([id_column, "_stays_node"]).drop("_stays_id", "_stays_node")
+    return kept.dropDuplicates([id_column, stay_node]).drop(stay_id, stay_node)

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import text_or_empty
+from lodestone.llm.text import text_or_empty, unused
 from lodestone.session import cut_lineage
 
 # Titles by gender, first names by script and gender, surnames by script.
@@ -183,22 +183,23 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key", text_column: str =
     """``docs`` with surrogates in the text column and the number of replaced mentions in ``mentions_column``."""
     text = text_or_empty(text_column)
     likely = text.rlike(HINT)
-    hashes = [F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(1)).alias("_h2")]
+    h1, h2, payload = (unused(docs, n) for n in ("hash_1", "hash_2", "surrogates"))
+    hashes = [F.xxhash64(text).alias(h1), F.xxhash64(text, F.lit(1)).alias(h2)]
     said = docs.where(likely).select(*hashes, mentions(text).alias("m")).where(F.size("m") > 0)
-    said = cut_lineage(said.groupBy("_h1", "_h2").agg(F.first("m").alias("m")))
-    spoken = said.select("_h1", "_h2", F.posexplode("m").alias("at", "m")).select("_h1", "_h2", "at", "m.kind", "m.entity")
+    said = cut_lineage(said.groupBy(h1, h2).agg(F.first("m").alias("m")))
+    spoken = said.select(h1, h2, F.posexplode("m").alias("at", "m")).select(h1, h2, "at", "m.kind", "m.entity")
     known = assign(spoken, key)
-    lists = spoken.join(known, ["kind", "entity"]).groupBy("_h1", "_h2").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda s: s["surrogate"]).alias("_surrogates"))
+    lists = spoken.join(known, ["kind", "entity"]).groupBy(h1, h2).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda s: s["surrogate"]).alias(payload))
     column = docs[f"`{text_column}`"]
     others = [docs[f"`{c}`"] for c in docs.columns if c not in (text_column, mentions_column)]
     plain = docs.where(~likely).select(*others, column, F.lit(0).alias(mentions_column))
-    joined = docs.where(likely).withColumns({"_h1": hashes[0], "_h2": hashes[1]}).join(lists, ["_h1", "_h2"], "left")
+    joined = docs.where(likely).withColumns({h1: hashes[0], h2: hashes[1]}).join(lists, [h1, h2], "left")
     found = F.regexp_extract_all(text, F.lit(DETECT), F.lit(0))
-    shown = F.zip_with(found, "_surrogates", _render)
+    shown = F.zip_with(found, payload, _render)
     whole = F.array_join(F.zip_with(F.split(text, DETECT, -1), F.array_append(shown, F.lit("")), lambda a, b: F.concat(a, b)), "")
     replaced = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_column, mentions_column)],
-                             F.when(F.col("_surrogates").isNull(), F.col(f"`{text_column}`")).otherwise(whole).alias(text_column),
-                             F.coalesce(F.size("_surrogates"), F.lit(0)).alias(mentions_column))
+                             F.when(F.col(payload).isNull(), F.col(f"`{text_column}`")).otherwise(whole).alias(text_column),
+                             F.coalesce(F.size(payload), F.lit(0)).alias(mentions_column))
     out = plain.unionByName(replaced)
     return out.select(*docs.columns, *([] if mentions_column in docs.columns else [mentions_column]))

@@ -109,5 +109,13 @@ def held_out(id_column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_column}`").cast("string")) % modulus == remainder, F.lit(True))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many marks as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()

@@ -196,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
 
 def score(docs: DataFrame, model: Model | None, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """All rows and columns of ``docs`` with a score between 0 and 1 in ``score_column``."""
+    """All rows and columns of ``docs`` with a score between 0 and 1 in ``score_column``, replaced where it exists."""
+    docs = docs.drop(score_column)
     if model is None:
         return docs.withColumn(score_column, F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)
