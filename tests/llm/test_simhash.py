@@ -73,13 +73,17 @@ def test_components_of_chains_and_stars(spark):
     assert simhash.star_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def jaccard(a, b, width=5):
-    runs = lambda t: {tuple(t.split()[i: i + width]) for i in range(max(len(t.split()) - width + 1, 1))}
-    return len(runs(a) & runs(b)) / len(runs(a) | runs(b))
+def runs(text, width=5):
+    words = text.split()
+    return {tuple(words[i: i + width]) for i in range(max(len(words) - width + 1, 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
 
 
 def test_one_of_each_group_stays(documents):
-    rows = {r.doc_id: r.text for r in documents.collect()}
+    rows = {r.doc_id: runs(r.text) for r in documents.collect()}
     kept = {r.doc_id for r in simhash.keep_one(documents).collect()}
     left = sorted(kept)
     for k, a in enumerate(left):
