@@ -17,11 +17,13 @@ from lodestone.functions import columns as C
 KEYS = vocab.KEYS
 
 
-def commit_window(commits: DataFrame, reference_time: datetime | Column, since_days: int = 365,
-                  max_count: int = 1000) -> DataFrame:
-    """Newest ``max_count`` commits per snapshot that are at most ``since_days`` old."""
+def commit_window(commits: DataFrame, reference_time: datetime | Column, since_days: int | None = None,
+                  max_count: int | None = None) -> DataFrame:
+    """Newest ``max_count`` commits per snapshot that are at most ``since_days`` old; without a bound, all of them."""
     ref = reference_time if isinstance(reference_time, Column) else F.lit(reference_time)
-    recent = commits.where(F.col("committed_at") > ref - F.make_dt_interval(F.lit(since_days)))
+    recent = commits if since_days is None else commits.where(F.col("committed_at") > ref - F.make_dt_interval(F.lit(since_days)))
+    if max_count is None:
+        return recent
     w = Window.partitionBy(*KEYS).orderBy(F.col("committed_at").desc(), "commit_sha")
     return recent.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_count).drop("_n")
 

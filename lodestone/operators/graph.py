@@ -7,6 +7,9 @@ level, not the whole loop. Sizes are only read back as row counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,7 +74,14 @@ def impact_neighbours(edges: DataFrame, direction: str) -> DataFrame:
     return direct.unionByName(lifted).groupBy(*KEYS, "node", "neighbour").agg(F.min("rank").alias("rank"))
 
 
-def breadth_first(starts: DataFrame, neighbours: DataFrame, max_depth: int = 5) -> DataFrame:
+def _depths(bound: int | None) -> Iterable[int]:
+    """1, 2, ... up to the caller's bound; without one the caller's loop ends when nothing new is found."""
+    if bound is not None and bound < 0:
+        raise ValueError("a depth cannot be below zero")
+    return count(1) if bound is None else range(1, bound + 1)
+
+
+def breadth_first(starts: DataFrame, neighbours: DataFrame, max_depth: int | None = None) -> DataFrame:
     """First visit of every node reachable from each start.
 
     ``trail`` lists (rank, node) per hop. Comparing trails compares queue positions level by
@@ -85,7 +95,7 @@ def breadth_first(starts: DataFrame, neighbours: DataFrame, max_depth: int = 5)
         F.lit(0).alias("path_rank"), F.array().cast(trail_type).alias("trail"))
     visited = starts.select(*KEYS, "start", F.col("start").alias("node"))
     levels: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
+    for depth in _depths(max_depth):
         step = (
             frontier.join(neighbours, ["node", *KEYS])
             .select(*KEYS, "start", F.col("neighbour").alias("node"), F.col("rank").alias("edge_rank"),
@@ -109,16 +119,15 @@ def breadth_first(starts: DataFrame, neighbours: DataFrame, max_depth: int = 5)
     return _unite(levels)
 
 
-def impact(starts: DataFrame, edges: DataFrame, direction: str = "both", max_depth: int = 5) -> DataFrame:
+def impact(starts: DataFrame, edges: DataFrame, direction: str = "both", max_depth: int | None = None) -> DataFrame:
     """Blast radius of each start: one row per (start, direction, node).
 
     ``category`` is direct, indirect or unresolved; ``resolution`` is the weakest along the path.
     """
-    depth = min(max(max_depth, 1), 10)
     sides = ["upstream", "downstream"] if direction == "both" else [direction]
     found = []
     for side in sides:
-        visits = breadth_first(starts, cut_lineage(impact_neighbours(edges, side)), depth)
+        visits = breadth_first(starts, cut_lineage(impact_neighbours(edges, side)), max_depth)
         category = (F.when(F.col("edge_rank") == 2, "unresolved")
                     .when(F.col("distance") == 1, "direct").otherwise("indirect"))
         found.append(visits.select(
@@ -246,15 +255,15 @@ def _finish(paths: DataFrame) -> DataFrame:
 
 
 def traverse(starts: DataFrame, edges: DataFrame, direction: str = "downstream",
-             relationships: list[str] | None = None, max_depth: int = 5) -> DataFrame:
-    """Every simple path (no repeated node) of at most ``max_depth`` edges from each start."""
+             relationships: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """Every simple path (no repeated node) from each start, of at most ``max_depth`` edges where that is given."""
     relationships = relationships or vocab.TRAVERSAL_RELATIONSHIPS
     sides = ["downstream", "upstream"] if direction == "both" else [direction]
     levels = []
     for side in sides:
         links = cut_lineage(_path_edges(edges, relationships, side == "upstream"))
         level = _first_level(starts)
-        for _ in range(max_depth):
+        for _ in _depths(max_depth):
             level = cut_lineage(_extend(level, links))
             if level.isEmpty():
                 break
@@ -265,7 +274,7 @@ def traverse(starts: DataFrame, edges: DataFrame, direction: str = "downstream",
 
 
 def find_paths(pairs: DataFrame, edges: DataFrame, relationships: list[str] | None = None,
-               max_depth: int = 5) -> DataFrame:
+               max_depth: int | None = None) -> DataFrame:
     """Every simple path between each (start, goal) pair; a path ends at its goal.
 
     Partial paths are kept only while their end can still reach the goal within the remaining
@@ -276,13 +285,14 @@ def find_paths(pairs: DataFrame, edges: DataFrame, relationships: list[str] | No
     wanted = pairs.where(F.col("start") != F.col("goal")).select(*KEYS, "start", "goal").distinct()
     open_paths = _first_level(wanted.select(*KEYS, "start").distinct()).join(wanted, ["start", *KEYS])
     hits = []
-    for depth in range(1, max_depth + 1):
+    for depth in _depths(max_depth):
         grown = (open_paths.join(links, ["end", *KEYS])
                  .where(~F.array_contains("nodes", F.col("_next")))
                  .select(*KEYS, "start", "goal", F.col("_next").alias("end"),
                          F.concat("nodes", F.array("_next")).alias("nodes"),
                          F.concat("steps", F.array("_step")).alias("steps")))
-        grown = grown.join(useful.where(F.col("hops") <= max_depth - depth).select(*KEYS, "goal", "end"),
+        near = useful if max_depth is None else useful.where(F.col("hops") <= max_depth - depth)
+        grown = grown.join(near.select(*KEYS, "goal", "end"),
                            ["goal", "end", *KEYS], "left_semi")
         level = cut_lineage(grown)
         if level.isEmpty():
@@ -294,11 +304,11 @@ def find_paths(pairs: DataFrame, edges: DataFrame, relationships: list[str] | No
     return _finish(_unite(hits))
 
 
-def _hops_to_goal(pairs: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
+def _hops_to_goal(pairs: DataFrame, links: DataFrame, max_depth: int | None) -> DataFrame:
     backward = links.select(*KEYS, F.col("_next").alias("end"), F.col("end").alias("previous")).distinct()
     level = pairs.select(*KEYS, "goal", F.col("goal").alias("end"), F.lit(0).alias("hops")).distinct()
     reached = [level]
-    for hop in range(1, max_depth):
+    for hop in _depths(None if max_depth is None else max_depth - 1):
         seen = _unite(reached).select(*KEYS, "goal", "end")
         level = cut_lineage(
             level.join(backward, ["end", *KEYS])
@@ -310,7 +320,7 @@ def _hops_to_goal(pairs: DataFrame, links: DataFrame, max_depth: int) -> DataFra
     return _unite(reached)
 
 
-def http_chains(starts: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+def http_chains(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Request chains: simple paths over the chain relations that end at a node with no way on.
 
     A chain needs at least two edges; a path cut off at ``max_depth`` or ending among visited
@@ -320,7 +330,7 @@ def http_chains(starts: DataFrame, edges: DataFrame, max_depth: int = 5) -> Data
     sources = links.select(*KEYS, "end").distinct()
     level = _first_level(starts)
     chains = []
-    for depth in range(1, max_depth):
+    for depth in _depths(None if max_depth is None else max_depth - 1):
         level = cut_lineage(_extend(level, links))
         if level.isEmpty():
             break

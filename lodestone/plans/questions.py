@@ -54,7 +54,7 @@ class Questions:
     def candidates(self, text: str) -> DataFrame:
         return SE.entity_candidates(self._asked(text), self.facts["entities"])
 
-    def execute(self, query_type: str, entity: str = "", target: str = "", max_depth: int = 5,
+    def execute(self, query_type: str, entity: str = "", target: str = "", max_depth: int | None = None,
                 relationships: list[str] | None = None, issue_type: str = "cycle", issue_key: str | None = None) -> Answer:
         if query_type in PATH_QUERIES:
             return self._paths(query_type, entity, target, max_depth, relationships)
@@ -86,7 +86,7 @@ class Questions:
         row = self.resolve(text).first()
         return row["qualified_name"] if row and row["qualified_name"] else text
 
-    def _paths(self, query_type: str, entity: str, target: str, max_depth: int, relationships: list[str] | None) -> Answer:
+    def _paths(self, query_type: str, entity: str, target: str, max_depth: int | None, relationships: list[str] | None) -> Answer:
         """Names are resolved with a join, so an unknown or ambiguous name simply starts no path."""
         found = self.resolve(entity)
         starts = found.where(F.col("status") == "resolved").select(*KEYS, F.col("qualified_name").alias("start"))

@@ -71,7 +71,7 @@ def run(name: str, workspace: Workspace, **arguments) -> DataFrame:
 @tool("Code entities related to a question, by vector or text.")
 def search_code(ws: Workspace, query: str, limit: int = 5) -> DataFrame:
     vector = ws.vector(query) if ws.vector else None
-    return SE.semantic_search(ws.facts.get("embeddings", ws.facts["units"]), ws.facts["units"], ws.facts["nodes"], query, vector, min(limit, 10))
+    return SE.semantic_search(ws.facts.get("embeddings", ws.facts["units"]), ws.facts["units"], ws.facts["nodes"], query, vector, limit)
 
 
 @tool("A file by its repository-relative path.")
@@ -105,7 +105,7 @@ def get_callees(ws: Workspace, entity_id: str) -> DataFrame:
 
 
 @tool("Blast radius of an entity.")
-def get_impact(ws: Workspace, entity_id: str, direction: str = "both", depth: int = 5) -> DataFrame:
+def get_impact(ws: Workspace, entity_id: str, direction: str = "both", depth: int | None = None) -> DataFrame:
     return GR.impact(ws.start(entity_id), ws.facts["edges"], direction, depth)
 
 

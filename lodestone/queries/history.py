@@ -60,7 +60,7 @@ SELECT * FROM (SELECT file_path, row_number() OVER (PARTITION BY file_path
 
 
 def commits_in_window(spark: SparkSession, sf: str) -> DataFrame:
-    return G.commit_window(W.commits(spark, sf), WINDOW_END).drop(*KEYS)
+    return G.commit_window(W.commits(spark, sf), WINDOW_END, since_days=365, max_count=1000).drop(*KEYS)
 
 
 COMMITS_IN_WINDOW = f"""WITH {S.COMMITS} SELECT * FROM commits WHERE committed_at > TIMESTAMP '2001-08-01' - INTERVAL 365 DAY

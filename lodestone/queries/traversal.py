@@ -96,7 +96,7 @@ def _flat(paths: DataFrame, *extra: str) -> DataFrame:
 
 
 def traverse_downstream(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(GR.traverse(W.start_nodes(spark, "order:5", "customer:11"), W.schema_graph(spark, sf), "downstream"))
+    return _flat(GR.traverse(W.start_nodes(spark, "order:5", "customer:11"), W.schema_graph(spark, sf), "downstream", max_depth=5))
 
 
 def traverse_upstream(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ def dependency_paths(spark: SparkSession, sf: str) -> DataFrame:
     goals = W.table(spark, sf, "region").select(W.keys("r_regionkey")[0], W.ident("region", "r_regionkey").alias("goal"))
     starts = W.start_nodes(spark, "order:5", "order:6", "order:7")
     pairs = starts.join(goals, "repository_id")
-    return _flat(GR.find_paths(pairs, W.schema_graph(spark, sf)))
+    return _flat(GR.find_paths(pairs, W.schema_graph(spark, sf), max_depth=5))
 
 
 DEPENDENCY_PATHS = (f"WITH RECURSIVE {_paths_sql(('order:5', 'order:6', 'order:7'), 'source_id', 'target_id', 5)} "
@@ -140,7 +140,7 @@ HTTP_CHAINS = (f"WITH RECURSIVE {_paths_sql(('order:5', 'order:6'), 'source_id',
 
 def path_explanations(spark: SparkSession, sf: str) -> DataFrame:
     starts = W.start_nodes(spark, "order:5", "customer:11", "region:1")
-    paths = GR.traverse(starts, W.schema_graph(spark, sf), "downstream")
+    paths = GR.traverse(starts, W.schema_graph(spark, sf), "downstream", max_depth=5)
     out = X.explain_paths(starts, paths, "downstream_dependencies")
     return out.select("start", "path_count", "summary", "confidence", F.size("detailed_reasons").alias("reasons"))
 

@@ -31,7 +31,9 @@ def test_traverse_confidence_and_filter(edge_frame, start):
 
 def test_traverse_depth(edge_frame, start):
     edges = edge_frame(*[f"n{i} CALLS n{i + 1}" for i in range(8)])
-    assert max(r.length for r in GR.traverse(start("n0"), edges).collect()) == 5
+    assert max(r.length for r in GR.traverse(start("n0"), edges, max_depth=5).collect()) == 5
+    assert max(r.length for r in GR.traverse(start("n0"), edges).collect()) == 8
+    assert max(r.distance for r in GR.impact(start("n0"), edge_frame(*[f"n{i} CALLS n{i + 1}" for i in range(13)]), "downstream").collect()) == 13
 
 
 def test_find_paths(edge_frame, facts):
