@@ -3,7 +3,7 @@
 A record is a JSON text. Its nested field paths, those that some layout reads, are sorted and hashed; the hash selects a
 declared layout, whose mapping turns the record into canonical turns (turn number, role, text). Layouts are data:
 ``LAYOUTS`` maps required paths to where role and text stand. The template wraps every turn in control strings and
-escapes those inside texts, so the output can be read back exactly; ``parse`` does, and gives the loss mask as spans.
+escapes those inside texts, so the output can be read back exactly; ``read_back`` does, and gives the loss mask as spans.
 
 Null text or role counts as empty. Records of an unknown layout, of broken JSON or null keep a row with no turns and layout
 null. Turns with equal numbers are ordered by role and text; repeated rows are repeated turns. An empty table gives no rows.
@@ -18,6 +18,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.text import unused
+
 OPEN, CLOSE, LEARNT = "### ", "</turn>\n", "assistant"
 # Control strings, each with its escape. The escape character comes first.
 ESCAPES = [("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t")]
@@ -112,23 +114,27 @@ def formatted(turns: Column) -> Column:
         F.lit(OPEN), F.replace(escaped(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"), escaped(t["text"]), F.lit(CLOSE))), "")
 
 
-def parse(text: Column) -> Column:
-    """array<struct(role, text, start, length, learnt)> read back from a formatted conversation. ``start`` and ``length``
-    span the escaped text in code points of the conversation; ``learnt`` spans are the loss mask."""
-    parts = F.split(text, "</turn>\n", -1)
-    parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    heads = F.transform(parts, lambda p: F.length(F.substring_index(p, "\n", 1)) + 1)
-    sizes = F.transform(parts, lambda p: F.length(p) + len(CLOSE))
-    # Where each part begins: running sum of the sizes before it.
-    begins = F.aggregate(sizes, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-
-    def turn(p: Column, i: Column) -> Column:
-        head = F.get(heads, i)
-        role = unescaped(F.replace(F.substring(p, F.lit(len(OPEN) + 1), (head - 1 - len(OPEN)).cast("int")), F.lit("\\n"), F.lit("\n")))
-        return F.struct(role.alias("role"), unescaped(F.substring(p, (head + 1).cast("int"), F.length(p))).alias("text"),
-                        (F.get(begins, i) + head).alias("start"), (F.length(p) - head).alias("length"), (role == LEARNT).alias("learnt"))
+def read_back(conversations: DataFrame, column: str = "formatted", turns_column: str = "back") -> DataFrame:
+    """``conversations`` with array<struct(role, text, start, length, learnt)> read from the formatted ``column``. ``start``
+    and ``length`` span the escaped text in code points of the conversation; ``learnt`` spans are the loss mask.
 
-    return F.transform(parts, turn)
+    A turn is read from its own part alone; where parts begin is one running sum, so work follows the length.
+    """
+    def turn(part: Column) -> Column:
+        head = F.length(F.substring_index(part, "\n", 1)) + 1
+        role = unescaped(F.replace(F.substring(F.substring_index(part, "\n", 1), F.lit(len(OPEN) + 1), F.length(part)), F.lit("\\n"), F.lit("\n")))
+        return F.struct(role.alias("role"), unescaped(F.substring(part, head + 1, F.length(part))).alias("text"), head.alias("head"), F.length(part).alias("size"))
+
+    def place(t: Column, begin: Column) -> Column:
+        return F.struct(t["role"].alias("role"), t["text"].alias("text"), (begin + t["head"]).alias("start"), (t["size"] - t["head"]).alias("length"),
+                        (t["role"] == LEARNT).alias("learnt"))
+
+    parts, begins = unused(conversations, "parts"), unused(conversations, "begins")
+    split = F.split(F.col(f"`{column}`"), "</turn>\n", -1)
+    read = conversations.withColumn(parts, F.transform(F.slice(split, F.lit(1), F.size(split) - 1), turn))
+    read = read.withColumn(begins, F.aggregate(parts, F.array(F.lit(0)), lambda done, t: F.array_append(
+        done, F.element_at(done, -1) + t["size"] + len(CLOSE))))
+    return read.withColumn(turns_column, F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), place)).drop(parts, begins)
 
 
 def format_records(records: DataFrame, id_column: str = "conv_id", record_column: str = "record") -> DataFrame:

@@ -59,9 +59,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
                                     F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    out = chat.format_records(chat.turn_records(rows.unionByName(planted))).withColumn("back", chat.parse(F.col("formatted")))
-    learnt = F.array_join(F.transform(F.filter("back", lambda t: t["learnt"]), lambda t: chat.unescaped(
-        F.substring("formatted", (t["start"] + 1).cast("int"), t["length"]))), "")
+    out = chat.read_back(chat.format_records(chat.turn_records(rows.unionByName(planted))))
+    learnt = F.array_join(F.transform(F.filter("back", lambda t: t["learnt"]), lambda t: t["text"]), "")
     turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), learnt.alias("learnt"),
                       F.length("formatted").cast("long").alias("formatted_chars")).select(

@@ -2,7 +2,6 @@ import hashlib
 import json
 
 import duckdb
-from pyspark.sql import functions as F
 
 from lodestone.llm import chat, queries
 
@@ -19,7 +18,7 @@ def test_every_layout_gives_its_turns(spark):
         5: {"prompt": "p", "completion": "c"}, 6: {"prompt": "p", "response": "r"}, 7: {"prompt": "p", "chosen": "c", "rejected": "r"},
         8: {"question": "q", "answer": None}, 9: {"system": "s", "instruction": "i", "output": "o"}, 10: {"unknown": 1}}
     rows = [(k, json.dumps(v)) for k, v in records.items()] + [(11, None), (12, "{broken"), (13, "")]
-    out = chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")).withColumn("back", chat.parse(F.col("formatted")))
+    out = chat.read_back(chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")))
     got = {r.conv_id: [(t.role, t.text) for t in r.back] for r in out.collect()}
     assert got == {1: [("system", "s"), ("user", "q"), ("assistant", "a")], 2: [("user", "q"), ("assistant", "a")],
                    3: [("user", "i"), ("user", "in"), ("assistant", "o")], 4: [("user", "i"), ("assistant", "o")], 5: [("user", "p"), ("assistant", "c")],
@@ -30,7 +29,7 @@ def test_every_layout_gives_its_turns(spark):
 def test_round_trip_of_control_strings(spark):
     rows = [(c, k, role, text) for c, text in enumerate(NASTY) for k, role in enumerate(["user", "assistant", "us</turn>er\n###", "assistant"])]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.format_records(chat.turn_records(turns)).withColumn("back", chat.parse(F.col("formatted"))).collect()
+    out = chat.read_back(chat.format_records(chat.turn_records(turns))).collect()
     assert len(out) == len(NASTY)
     for r in out:
         assert [(t.role, t.text) for t in r.back] == [(role, text) for c, _, role, text in rows if c == r.conv_id]
@@ -55,6 +54,6 @@ def test_query_against_sql(spark):
 def test_corner_cases(spark):
     rows = [(1, 0, None, None, "x"), (1, 0, None, None, "x"), (1, None, "assistant", "a", "y"), (None, 3, "user", "w " * 50000, "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string")
-    got = {r.conv_id: r for r in chat.format_records(chat.turn_records(turns)).withColumn("back", chat.parse(F.col("formatted"))).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.format_records(chat.turn_records(turns))).collect()}
     assert [(t.role, t.text) for t in got[1].back] == [("assistant", "a"), ("", ""), ("", "")] and len(got[None].back) == 1
     assert chat.format_records(chat.turn_records(turns.limit(0))).count() == 0
