@@ -34,29 +34,36 @@ def hashing_provider(dimensions: int = 768) -> Provider:
     return embed
 
 
-def _with_retry(provider: Provider, texts: list[str], dimensions: int) -> list[list[float]]:
-    """A batch that keeps failing yields zero vectors, which vector search never ranks."""
+def _with_retry(provider: Provider, texts: list[str]) -> tuple[list[list[float] | None], str | None]:
+    """Vectors of a batch and no error, or null vectors and the last error of a batch that keeps failing."""
+    failure = None
     for attempt in range(RETRIES + 1):
         try:
-            return provider(texts)
-        except Exception:  # noqa: BLE001 - any provider failure is retried, then recorded as zeros
+            return list(provider(texts)), None
+        except Exception as error:  # noqa: BLE001 - any provider failure is retried, then recorded
+            failure = f"{type(error).__name__}: {error}"
             if attempt < RETRIES:
                 time.sleep(2 ** attempt)
-    return [[0.0] * dimensions for _ in texts]
+    return [None] * len(texts), failure
 
 
-def embedder(provider: Provider, dimensions: int = 768) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def embedder(provider: Provider) -> Callable[[Column], Column]:
+    @F.pandas_udf("vector array<float>, error string")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch.fillna("").tolist()
-            vectors: list[list[float]] = []
+            vectors: list[list[float] | None] = []
+            errors: list[str | None] = []
             for i in range(0, len(texts), BATCH_SIZE):
-                vectors += _with_retry(provider, texts[i:i + BATCH_SIZE], dimensions)
-            yield pd.Series(vectors)
+                made, failure = _with_retry(provider, texts[i:i + BATCH_SIZE])
+                vectors += made
+                errors += [failure] * len(made)
+            yield pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
     return embed
 
 
 def embed_units(units: DataFrame, provider: Provider | None = None, dimensions: int = 768) -> DataFrame:
-    embed = embedder(provider or hashing_provider(dimensions), dimensions)
-    return units.withColumn("embedding", embed(F.col("source_text")))
+    """``units`` with ``embedding`` and ``embedding_error``; where the provider failed the vector is null and the error says why."""
+    embed = embedder(provider or hashing_provider(dimensions))
+    made = units.withColumn("_made", embed(F.col("source_text")))
+    return made.withColumns({"embedding": F.col("_made.vector"), "embedding_error": F.col("_made.error")}).drop("_made")

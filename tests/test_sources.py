@@ -82,7 +82,7 @@ def test_embedding_and_search(spark, facts):
     assert [(r.id, r.similarity) for r in SE.semantic_search(stored, units, nodes, "widget", None).collect()] == [("n1", 0.88)]
 
 
-def test_failing_provider_gives_zero_vectors(spark, facts, monkeypatch):
+def test_failing_provider_is_recorded(spark, facts, monkeypatch):
     from lodestone.functions import embedding
 
     monkeypatch.setattr(embedding.time, "sleep", lambda s: None)
@@ -90,7 +90,14 @@ def test_failing_provider_gives_zero_vectors(spark, facts, monkeypatch):
     def broken(texts):
         raise OSError("down")
 
-    assert embedding._with_retry(broken, ["x"], 3) == [[0.0, 0.0, 0.0]]
+    assert embedding._with_retry(broken, ["x"]) == ([None], "OSError: down")
+    units = facts("entity_id string, source_text string", [("a", "x"), ("b", None)])
+
+    def refuses(texts):
+        raise ValueError("no model")
+
+    rows = embed_units(units, refuses).collect()
+    assert len(rows) == 2 and all(r.embedding is None and r.embedding_error == "ValueError: no model" for r in rows)
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
