@@ -116,16 +116,15 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(W.module_name(F.col("l_partkey")), F.lit(".top"), F.col("l_partkey").cast("string")))
     target = F.when(F.col("l_returnflag") == "A", W.function_name(F.col("l_suppkey"))).otherwise(
         F.concat(W.module_name(F.col("l_suppkey")), F.lit(".top"), F.col("l_suppkey").cast("string")))
-    edges = line.where((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)).select(
+    edges = line.select(
         *W.keys("l_partkey"), source.alias("source_id"), rel.alias("relationship"), target.alias("target_id"))
     return A.classify_roles(classes, methods, functions, edges)
 
 
-_LOUD = "l_linestatus = 'O' AND l_quantity > 45"
-_CLASSIFIED = f"""hA AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE {_LOUD} AND l_linenumber = 5 AND l_returnflag = 'A'),
- hT AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE {_LOUD} AND l_linenumber = 5 AND l_returnflag <> 'A'),
- rA AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE {_LOUD} AND l_linenumber = 4 AND l_returnflag = 'A'),
- rT AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE {_LOUD} AND l_linenumber = 4 AND l_returnflag <> 'A'),
+_CLASSIFIED = f"""hA AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_linenumber = 5 AND l_returnflag = 'A'),
+ hT AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_linenumber = 5 AND l_returnflag <> 'A'),
+ rA AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 4 AND l_returnflag = 'A'),
+ rT AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 4 AND l_returnflag <> 'A'),
  f AS (SELECT *, p_partkey IN (SELECT k FROM hA) AS ha, p_partkey IN (SELECT k FROM hT) AS ht, p_partkey IN (SELECT k FROM rA) AS ra,
    p_partkey IN (SELECT k FROM rT) AS rt FROM part),
  c AS (SELECT {S.module('p_partkey')} AS qualified_name, 'Class' AS node_kind, CASE WHEN p_type = 'STANDARD' OR p_size = 7 THEN 1 WHEN ha OR ht THEN 2
