@@ -49,7 +49,7 @@ def test_tool_catalog(small):
     assert [r.file_path for r in tools.run("get_hotspots", ws).collect()] == ["pkg/a.py"]
     assert tools.run("get_metrics", ws, entity_id="pkg.a.f").first().metrics["cyclomatic_complexity"] == 3.0
     assert [r.commit_sha for r in tools.run("get_git_context", ws, file_path="pkg/a.py").collect()] == ["c1"]
-    assert tools.describe()["get_impact"]["arguments"] == {"entity_id": "required", "direction": "both", "depth": 5}
+    assert tools.describe()["get_impact"]["arguments"] == {"entity_id": "required", "direction": "both", "depth": None}
     context = tools.run("get_graph_context", ws, entity_id="pkg.a.f", relationship_types=["CALLS"])
     assert {(r.source_id, r.target_id) for r in context.collect()} == {("pkg.a.g", "pkg.a.f"), ("pkg.a.f", "x")}
 

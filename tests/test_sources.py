@@ -69,6 +69,16 @@ def test_store_replaces_only_its_snapshots(spark, facts, tmp_path):
     assert "PartitionFilters: [" in one._jdf.queryExecution().toString() and "1999" in one._jdf.queryExecution().toString()
 
 
+def test_store_keeps_comparisons_apart(spark, tmp_path):
+    columns = "repository_id string, baseline_snapshot_id string, target_snapshot_id string, v int"
+    for rows in ([("r", "1", "2", 5), ("r", "2", "3", 6)], [("r", "1", "2", 7)]):
+        write_table(spark.createDataFrame(rows, columns), str(tmp_path), "changes")
+    assert sorted((r.baseline_snapshot_id, r.target_snapshot_id, r.v) for r in read_table(spark, str(tmp_path), "changes").collect()) == [
+        ("1", "2", 7), ("2", "3", 6)]
+    assert [r.v for r in read_table(spark, str(tmp_path), "changes", target_snapshot_id="3").collect()] == [6]
+    assert len(list((tmp_path / "changes").rglob("*.parquet"))) == 2
+
+
 def test_embedding_and_search(spark, facts):
     units = facts("entity_id string, entity_type string, source_text string", [
         ("a", "Function", "charge a credit card"), ("b", "Function", "render the page"), ("c", "Class", "charge card twice")])
