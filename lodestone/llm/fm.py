@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import flat, slices, text_or_empty, words
+from lodestone.llm.text import arrow_map, flat, slices, text_or_empty, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     if buckets + STATISTICS > 1 << 16:
         raise ValueError("at most 2**16 feature columns")
-    got = rows.mapInArrow(run, "label int, id string, dense binary, columns binary, values binary").toArrow().sort_by("id")
+    got = arrow_map(rows, run, "label int, id string, dense binary, columns binary, values binary").toArrow().sort_by("id")
     label_of = got.column("label").to_numpy().astype(float)
     if not 0 < label_of.sum() < len(label_of):
         return None
@@ -202,4 +202,4 @@ def score(docs: DataFrame, machine: Machine | None, text_column: str = "text", s
             yield batch.append_column(score_column, pa.array(logistic(z)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{score_column}` double")
+    return arrow_map(docs, run, f"{schema}, `{score_column}` double")

@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import flat, slices, text_or_empty, type_of
+from lodestone.llm.text import arrow_map, flat, slices, text_or_empty, type_of
 from lodestone.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -82,7 +82,7 @@ def text_model(docs: DataFrame, text_column: str = "text", lang_column: str = "l
             seen = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(counts[seen])], ["lang", "cell", "n"])
 
-    table = rows.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    table = arrow_map(rows, count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     counts = np.full((len(langs), CELLS), 0.5)
     if langs:
@@ -128,7 +128,7 @@ def languages(pages: DataFrame, docs: DataFrame, weight: float = 0.25, most: int
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array([declared(s) for s in sources], pa.string()),
                                               pa.array(ll.tolist(), pa.list_(pa.float64()))], ["page_id", "host", "declared", "ll"])
 
-    seen = rows.mapInArrow(read, f"page_id {kind}, host string, declared string, ll array<double>")
+    seen = arrow_map(rows, read, f"page_id {kind}, host string, declared string, ll array<double>")
     domain, suffix = F.substring_index("host", ".", -2), F.substring_index("host", ".", -1)
     if not count:
         return seen.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"),

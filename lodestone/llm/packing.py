@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 
-from lodestone.llm.text import slices, text_or_empty, type_of
+from lodestone.llm.text import arrow_map, slices, text_or_empty, type_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -129,4 +129,4 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, s
             bins.finish()
             yield out()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return arrow_map(rows, run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

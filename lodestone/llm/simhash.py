@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import slices, text_or_empty, unused
+from lodestone.llm.text import arrow_map, slices, text_or_empty, unused
 from lodestone.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_column: str
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [fp, pa.array([n for _, n in found], pa.int64())],
                                              [f.name for f in kept] + ["fp", "shingles"])
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", fp array<bigint>, shingles long")
+    return arrow_map(rows, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", fp array<bigint>, shingles long")
 
 
 def block_plan(n: int, radius: int, group: int = 4096) -> tuple[int, list[tuple[int, ...]]]:
@@ -185,7 +185,7 @@ def compared(tile_pairs: DataFrame, radius: int, earlier: list[int]) -> DataFram
             a, b = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return tile_pairs.select("choice", "left", "right").mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(tile_pairs.select("choice", "left", "right"), run, "a long, b long").distinct()
 
 
 def tile_of(nodes: DataFrame, group: list[str], tile: int) -> DataFrame:

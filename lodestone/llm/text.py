@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -98,6 +100,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             last = max(int(np.searchsorted(total, before + most, "right")), first + 1)
             yield batch.slice(first, last - first)
             first = last
+        del batch
+        pa.default_memory_pool().release_unused()  # idle workers share an executor's memory with busy ones
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows, so that a worker and the writer that feeds it hold few texts at
+    once. The bound is a session setting, read when the job runs; it stays set, and a smaller one is kept."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import mixed, slices, text_or_empty, type_of, words
+from lodestone.llm.text import arrow_map, mixed, slices, text_or_empty, type_of, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -212,7 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float
                              pa.list_(pa.struct([(name, pa.int64()) for name in Tile._fields])))],
                     ["doc_id", "item_id", "item_words", "matched_words", "coverage", "tiles"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(arrow_map(rows, run, schema))
     return out
 
 
@@ -229,5 +229,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverag
                 keep[[row for row, _, _ in leaked(batch, text_column, items.value, least, coverage)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = arrow_map(docs, run, schema)
     return docs

@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import Words, slices, text_or_empty, words
+from lodestone.llm.text import Words, arrow_map, slices, text_or_empty, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     chosen = rows.select("doc_id", F.xxhash64("text").alias("h")).join(known.where(~apart), F.col("doc_id") == F.col("_id")).groupBy("h", "label").agg(
         F.min("_id").alias("_id")).select("_id", "label")
     train = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("text", "label")
-    blocks = train.mapInArrow(block_counts, "block long, seen binary, ordinary binary, toxic binary, pairs binary")
+    blocks = arrow_map(train, block_counts, "block long, seen binary, ordinary binary, toxic binary, pairs binary")
     parts = blocks.groupBy("block").agg(F.collect_list(F.struct("seen", "ordinary", "toxic", "pairs")).alias("parts"))
     table = parts.mapInArrow(add_blocks, "cell long, ordinary double, toxic double, contexts double").toArrow()
     cell, ordinary, toxic, contexts = (table.column(i).to_numpy() for i in range(4))
@@ -187,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             x = evidence(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("label"), *[pa.array(x[:, k]) for k in range(4)]], ["label", "a", "b", "c", "d"])
 
-    got = rows.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("text", "label").mapInArrow(
-        run, "label int, a double, b double, c double, d double").toArrow()
+    got = rows.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("text", "label")
+    got = arrow_map(got, run, "label int, a double, b double, c double, d double").toArrow()
     truth = got.column("label").to_numpy().astype(float)
     if not 0 < truth.sum() < len(truth):
         return Model(ratio, np.array([-2.0, 1.0, 0.0, 1.0]))
@@ -208,4 +208,4 @@ def score(docs: DataFrame, model: Model | None, text_column: str = "text", score
             yield batch.append_column(score_column, pa.array(logistic(evidence(batch.column(text_column), known.ratio) @ known.weights)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{score_column}` double")
+    return arrow_map(docs, run, f"{schema}, `{score_column}` double")
