@@ -16,7 +16,8 @@ distinct names of a bucket once, however often they occur, and gets back those t
 its own; long ties never touch the text again, because names of cover samples stand for it. Names of whole
 strings are 64 bits over a random polynomial. Memory is bounded by a group of documents (``group_bytes``) and by a bucket.
 
-Documents are grouped by hash into a bucketed table, so that the rounds scan texts where they are and shuffle names only.
+Documents are grouped as the input splits have them, into a bucketed table, so that the rounds scan texts where they are and
+only names are shuffled. The table, named repeats_ and a random number, stays in the warehouse: the result reads it.
 Null text counts as empty. Rows with equal text are repeats of each other; rows of equal or null id stay separate rows. An
 empty table gives no rows. Other columns are not read.
 """
@@ -40,6 +41,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE = 1 << 20
 ROUNDS = 4
+MOST_BUCKETS = 1 << 15
 # Fixed value: a perfect difference set modulo 133; every difference but zero occurs exactly once.
 PERFECT = {133: [0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109]}
 
@@ -153,14 +155,18 @@ def found_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def answers_of(replies: pd.DataFrame, rounds: int) -> list[np.ndarray]:
-    return [np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, "<u8") for x in replies["names"][replies["round"] == k]]])) for k in range(rounds)]
+def answers_of(replies: pd.DataFrame, rounds: int, buckets: int) -> list[np.ndarray]:
+    def of(k: int) -> np.ndarray:
+        rows = replies[replies["round"] == k]
+        return np.sort(np.concatenate([np.zeros(0, np.uint64), *[expand(x, b, buckets) for x, b in zip(rows["names"], rows["bucket"])]]))
+
+    return [of(k) for k in range(rounds)]
 
 
 def asker(rounds: Rounds, asked: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Documents and answers of a group to one row per bucket: sorted distinct names, and those that repeat within the group."""
     def ask(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        answers, waiting, size = answers_of(replies, asked), [], 0
+        answers, waiting, size = answers_of(replies, asked, buckets), [], 0
         columns = ["round", "bucket", "grp", "names", "often"]
         if not len(docs):
             return pd.DataFrame(columns=columns)
@@ -188,52 +194,57 @@ def asker(rounds: Rounds, asked: int, buckets: int) -> Callable[[pd.DataFrame, p
         for b in range(buckets):
             pick = order[cut[b]: cut[b + 1]]
             if len(pick):
-                rows.append((asked, b, group, compact(names[pick], asked), np.packbits(count[pick] > 1).tobytes()))
+                rows.append((asked, b, group, compact(names[pick], buckets), np.packbits(count[pick] > 1).tobytes()))
         return pd.DataFrame(rows, columns=columns)
 
     return ask
 
 
-def compact(names: np.ndarray, asked: int) -> bytes:
-    """Names of the cover sample have 40 bits and go as five bytes; strings have eight."""
-    raw = names.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return (raw[:, :5] if asked % 2 == 0 else raw).tobytes()
+def compact(names: np.ndarray, buckets: int) -> bytes:
+    """Sorted distinct names of one bucket: what the bucket does not say already, as steps from name to name, with the bytes
+    of equal weight side by side, of which the high ones are few and compress well."""
+    steps = names // np.uint64(buckets)
+    first, steps = steps[0], np.diff(steps)
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    width = int(steps.max()).bit_length() // 8 + 1 if len(steps) else 0
+    return bytes([width]) + int(first).to_bytes(8, "little") + planes[:min(width, 8)].tobytes()
 
 
-def expand(blob: bytes, asked: int) -> np.ndarray:
-    if asked % 2:
-        return np.frombuffer(blob, "<u8")
-    wide = np.zeros((len(blob) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+def expand(blob: bytes, bucket: int, buckets: int) -> np.ndarray:
+    width = min(blob[0], 8)
+    planes = np.frombuffer(blob, np.uint8, offset=9).reshape(width, -1) if width else np.zeros((0, 0), np.uint8)
+    steps = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    steps[1:, :width] = planes.T
+    steps[0] = np.frombuffer(blob, np.uint8, 8, 1)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket)
 
 
-def reply(bucket: pd.DataFrame) -> pd.DataFrame:
+def replier(buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Names of one bucket, from all groups, to each group's names that occur elsewhere or often; in the round of
     interest, to each group's names that some group marked."""
-    asked = int(bucket["round"].iloc[0])
-    parts = [expand(x, asked) for x in bucket["names"]]
-    flags = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(p)).astype(bool) for o, p in zip(bucket["often"], parts)]
-    every = np.sort(np.concatenate(parts)) if asked != 2 else np.zeros(0, np.uint64)
-    repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[p[f] for p, f in zip(parts, flags)]]))
-    rows = [(g, asked, p[found_in(p, repeated)]) for g, p in zip(bucket["grp"], parts)]
-    return pd.DataFrame([(g, a, n.astype("<u8").tobytes()) for g, a, n in rows if len(n)], columns=["grp", "round", "names"])
+    def reply(asks: pd.DataFrame) -> pd.DataFrame:
+        asked, bucket = int(asks["round"].iloc[0]), int(asks["bucket"].iloc[0])
+        parts = [expand(x, bucket, buckets) for x in asks["names"]]
+        flags = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(p)).astype(bool) for o, p in zip(asks["often"], parts)]
+        every = np.sort(np.concatenate(parts)) if asked != 2 else np.zeros(0, np.uint64)
+        repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[p[f] for p, f in zip(parts, flags)]]))
+        rows = [(g, asked, bucket, p[found_in(p, repeated)]) for g, p in zip(asks["grp"], parts)]
+        return pd.DataFrame([(g, a, b, compact(n, buckets)) for g, a, b, n in rows if len(n)], columns=["grp", "round", "bucket", "names"])
+
+    return reply
 
 
-def answered(rounds: Rounds) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def answered(rounds: Rounds, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Documents and all answers of a group to (doc_id, n_bytes, spans, kept)."""
     def finish(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        answers, rows = answers_of(replies, ROUNDS), []
+        answers, rows = answers_of(replies, ROUNDS, buckets), []
         for doc, value in zip(docs["doc_id"], docs["data"]):
             t = rounds.text(value)
             _, _, covered = rounds.state(t, answers, ROUNDS)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
             spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
             rows.append((doc, len(t.data), spans, t.data[~covered].tobytes()))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
-        if len(docs) and docs["doc_id"].isna().any():
-            out["doc_id"] = out["doc_id"].astype(object).where(out["doc_id"].notna(), None)
-        return out
+        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
 
     return finish
 
@@ -244,20 +255,23 @@ def remove_repeats(docs: DataFrame, width: int = 200, modulus: int = 133, group_
     if not 1 <= modulus < width:
         raise ValueError("modulus must be below width")
     spark, kind = docs.sparkSession, type_of(docs, id_column)
-    rows = docs.select(docs[f"`{id_column}`"].alias("doc_id"), text_or_empty(text_column).cast("binary").alias("data"))
+    rows = docs.select(docs[f"`{id_column}`"].cast("string").alias("doc_id"), text_or_empty(text_column).cast("binary").alias("data"))
     total = rows.agg(F.sum(F.octet_length("data") + 64)).first()[0] or 0
-    groups = max(int(-(-total // group_bytes)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // (1 << 20))), 1)
-    buckets = groups
-    # Equal texts are dealt over groups by id, so that a text with many copies does not fill one group.
+    # Documents stay where their input split has them; a split too large for a group is dealt over several by hash.
+    splits = rows.rdd.getNumPartitions()
+    share = max(1, -(-int(total) // max(splits, 1) // group_bytes))
+    groups = max(splits * share, 1)
+    buckets = min(groups, MOST_BUCKETS)  # beyond, larger groups keep the names of a group and bucket many
+    group = F.spark_partition_id() * share + F.pmod(F.xxhash64("data", "doc_id"), F.lit(share)).cast("int")
     name = f"repeats_{uuid.uuid4().hex}"
-    rows.withColumn("grp", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.md5("data"))), F.lit(groups)).cast("int")).repartition(
-        groups, "grp").write.bucketBy(groups, "grp").option("compression", "zstd").saveAsTable(name)
+    rows.withColumn("grp", group).write.bucketBy(min(groups, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))), "grp").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
     rounds = Rounds(width, modulus)
-    replies = spark.createDataFrame([], "grp int, round int, names binary")
+    replies = spark.createDataFrame([], "grp int, round int, bucket int, names binary")
     for asked in range(ROUNDS):
         asks = texts.groupBy("grp").cogroup(replies.groupBy("grp")).applyInPandas(asker(rounds, asked, buckets), "round int, bucket int, grp int, names binary, often binary")
-        replies = replies.unionByName(cut_lineage(asks.groupBy("bucket").applyInPandas(reply, "grp int, round int, names binary")))
+        replies = replies.unionByName(cut_lineage(asks.groupBy("bucket").applyInPandas(replier(buckets), "grp int, round int, bucket int, names binary")))
 
-    return texts.groupBy("grp").cogroup(replies.groupBy("grp")).applyInPandas(
-        answered(rounds), f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    found = texts.groupBy("grp").cogroup(replies.groupBy("grp")).applyInPandas(
+        answered(rounds, buckets), "doc_id string, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))  # as text on the way: pandas has no whole numbers with nulls
