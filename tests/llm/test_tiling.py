@@ -42,7 +42,8 @@ def test_tiles_cover_as_much_as_plain_tiling():
 
 
 def test_query_against_plain_tiling(spark, documents):
-    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    numbers = {}
+    words = lambda t: [numbers.setdefault(w, len(numbers)) for w in re.findall(r"\w+", (t or "").lower())]
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     want = set()
     for r in documents.collect():
