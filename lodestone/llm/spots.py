@@ -89,8 +89,8 @@ def near_pairs(marked: DataFrame, threshold: float = 0.8) -> DataFrame:
 def chunks(docs: DataFrame, id_column: str, count: int) -> Column:
     """Number of the id range a row lies in; ranges hold about equal numbers of rows, later ids have higher numbers."""
     column = F.col(f"`{id_column}`")
-    limits = docs.select(column.cast("double").alias("i")).where("i is not null").approxQuantile("i", [k / count for k in range(1, count)], 0.2 / count)
-    limits = sorted(set(limits))
+    marks = [k / count for k in range(1, count)]
+    limits = sorted(set(docs.select(column.cast("double").alias("i")).where("i is not null").approxQuantile("i", marks, 0.2 / count))) if marks else []
     if not limits:
         return F.lit(0)
     bounds = F.array(*[F.lit(v) for v in limits])
