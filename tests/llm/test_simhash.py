@@ -92,6 +92,33 @@ def test_one_of_each_group_stays(documents):
         assert max(jaccard(rows[gone], rows[b]) for b in rows if b != gone) >= 0.5
 
 
+def test_what_goes_has_a_partner_at_the_limit_and_what_stays_has_none(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    rows = []
+    for group in range(40):  # 100 shingles; k words replaced at one end leave (100 - k) of (100 + k) in common: 0.8 up to k = 11
+        words = [f"g{group}w{int(w)}" for w in random.permutation(104)]
+        rows += [(3 * group, " ".join(words)), (3 * group + 1, " ".join(words[: 104 - 5 - group % 20] + [f"g{group}x{k}" for k in range(5 + group % 20)]))]
+        rows.append((3 * group + 2, " ".join(words * 3)))  # 104 distinct shingles, 100 of them the first row's
+    rows += [(1000 + k, " ".join(["one two three four five six seven", "eight", f"n{k}"])) for k in range(5)]  # four of six in common
+    rows += [(2000, "a b c d e f g h"), (2001, "a b c d e f g h i"), (2002, "A  b c d e f g h")]  # four of five; the same set
+    sets = {i: runs(t.lower()) for i, t in rows}
+    ids = sorted(sets)
+    pairs = np.array([(x, y) for x in range(len(ids)) for y in range(x) if jaccard(sets[ids[x]], sets[ids[y]]) >= 0.8]).T
+    want = sorted({ids[r] for r in simhash.roots(pairs, len(ids)).tolist()})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+    monkeypatch.setattr(simhash, "SET_TILE", 100)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_stage_against_brute_force_at_the_limit(documents):
+    rows = {r.doc_id: runs((r.text or "").lower()) for r in documents.collect()}
+    ids = sorted(rows)
+    pairs = [(x, y) for x in range(len(ids)) for y in range(x) if jaccard(rows[ids[x]], rows[ids[y]]) >= 0.8]
+    label = simhash.roots(np.array(pairs, int).reshape(-1, 2).T, len(ids))
+    assert {r.doc_id for r in simhash.keep_one(documents).collect()} == {ids[r] for r in label.tolist()}
+
+
 def test_corner_cases(corner, nothing):
     got = simhash.near_duplicates(corner)
     assert got.columns == ["doc_id", "fp", "component_id"] and got.count() == corner.count()
