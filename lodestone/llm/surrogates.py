@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
 Detected: e-mail addresses, phone numbers, card numbers, social security numbers, IBANs, IPv4 addresses, secrets, and
-names after a title or a known first name. A surrogate depends on a key and on the entity without its
+names after a title or a known first name, and the surnames so found in the rest of their text. A surrogate depends on a key and on the entity without its
 formatting, so every mention, however written, gets the same one, and takes the mention's own format: separators, case,
 number of digits, country code, a valid check digit where there was one, gender of first names, script of names.
 
@@ -46,14 +46,14 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|(?:AKIA|ghp_|sk-)[0-9A-Za-z]{16,})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d{2,4}|\d(?=[ .-]\d{2}))(?:[ .-]?(?:\d{2,4}|\d(?=[ .-]\d{2}))){1,6}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "card": r"(?<![\p{N}+.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "name": rf"(?=[A-ZÀ-ÞА-Я])(?:(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_NAME}|(?<=(?<!\p{{L}})(?:{_TITLE})\.? {_NAME} ){_NAME}|(?<=(?<!\p{{L}})(?:{_KNOWN}) ){_NAME}|(?<!\p{{L}})(?:{_KNOWN})(?= {_NAME}))",
 }
 DETECT = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# Every mention holds one of these, so other texts need no detailed look.
-HINT = (rf"@|\d{{3}}|\d\.\d|(?=[A-ZÀ-ÞА-Яг])(?:(?:{_TITLE})\.? \p{{Lu}}|(?:{_KNOWN}) \p{{Lu}}|AKIA)|ghp_|sk-|[0-9a-f]{{32}}")
+# Every mention of every pattern holds one of these, or follows one, so other texts need no detailed look.
+HINT = (rf"@|\d{{3}}|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|(?=[A-ZÀ-ÞА-Яг])(?:(?:{_TITLE})\.? \p{{Lu}}|(?:{_KNOWN}) \p{{Lu}}|AKIA)|ghp_|sk-|[0-9a-f]{{32}}")
 
 
 def _any(options: list[str]) -> Column:
@@ -75,18 +75,31 @@ def _kind(mention: Column) -> Column:
     return reduce(lambda got, kind: got.when(mention.rlike(tests[kind]), kind), list(tests)[1:], F.when(mention.rlike(tests["email"]), "email")).otherwise("name")
 
 
-def mentions(text: Column) -> Column:
-    """array<struct(kind, entity)> in reading order; the entity is the mention without its formatting.
+def bare(names: Column) -> Column:
+    """Expression of all mentions in a text with these surnames, which are letters only; null without surnames."""
+    forms = F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(n, F.upper(n)))))
+    return F.when(F.size(names) > 0, F.concat(F.lit(DETECT + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(forms, "|"), F.lit(r")(?![\p{L}\p{N}])")))
+
+
+def cut(text: Column, further: Column | None = None) -> tuple[Column, Column]:
+    """Mentions in reading order, and the text around them, one piece more. ``further`` replaces DETECT where not null."""
+    found, around = F.regexp_extract_all(text, F.lit(DETECT), F.lit(0)), F.split(text, DETECT, -1)
+    if further is None:
+        return found, around
+    return (F.when(further.isNull(), found).otherwise(F.regexp_extract_all(text, further, F.lit(0))),
+            F.when(further.isNull(), around).otherwise(F.split(text, further, -1)))
+
+
+def mentions(found: Column, around: Column) -> Column:
+    """array<struct(kind, entity)> of ``cut``; the entity is the mention without its formatting.
 
     The kind of a name holds its part, gender and script, taken from the words around it.
     """
-    found = F.regexp_extract_all(text, F.lit(DETECT), F.lit(0))
-    around = F.split(text, DETECT, -1)
 
     def describe(mention: Column, i: Column) -> Column:
         kind, before, after = _kind(mention), F.get(around, i), F.get(around, i + 1)
         titled = before.rlike(rf"(?:{_TITLE})\.? $")
-        leads = (after == " ") & (titled | (before != " "))
+        leads = (after == " ") & (titled | ((before != " ") & mention.isin([n for names in FIRST.values() for n in names])))
         female = before.rlike(rf"(?:{'|'.join(TITLES['female'])})\.? $") | (~titled & mention.isin(
             [n for (_, gender), names in FIRST.items() if gender == "female" for n in names]))
         name = F.concat(F.lit("name "), F.when(leads, F.when(female, "female").otherwise("male")).otherwise("last"), F.lit(" "), _script(mention))
@@ -183,21 +196,27 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key", text_column: str =
     """``docs`` with surrogates in the text column and the number of replaced mentions in ``mentions_column``."""
     text = text_or_empty(text_column)
     likely = text.rlike(HINT)
-    h1, h2, payload = (unused(docs, n) for n in ("hash_1", "hash_2", "surrogates"))
+    h1, h2, payload, further = (unused(docs, n) for n in ("hash_1", "hash_2", "surrogates", "further"))
     hashes = [F.xxhash64(text).alias(h1), F.xxhash64(text, F.lit(1)).alias(h2)]
-    said = docs.where(likely).select(*hashes, mentions(text).alias("m")).where(F.size("m") > 0)
-    said = cut_lineage(said.groupBy(h1, h2).agg(F.first("m").alias("m")))
+    found, around = cut(text)
+    said = docs.where(likely).select(*hashes, text.alias("text"), found.alias("found"), mentions(found, around).alias("m")).where(F.size("m") > 0)
+    last = F.array_distinct(F.filter("found", lambda mention, i: F.get(F.col("m"), i)["kind"].startswith("name last")))
+    said = said.withColumn(further, bare(last))
+    more = mentions(*cut(F.col("text"), F.col(further)))
+    said = said.select(h1, h2, further, F.when(F.col(further).isNull(), F.col("m")).otherwise(more).alias("m"))
+    said = cut_lineage(said.groupBy(h1, h2).agg(F.first("m").alias("m"), F.first(further).alias(further)))
     spoken = said.select(h1, h2, F.posexplode("m").alias("at", "m")).select(h1, h2, "at", "m.kind", "m.entity")
     known = assign(spoken, key)
     lists = spoken.join(known, ["kind", "entity"]).groupBy(h1, h2).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda s: s["surrogate"]).alias(payload))
+    lists = lists.join(said.select(h1, h2, further), [h1, h2])
     column = docs[f"`{text_column}`"]
     others = [docs[f"`{c}`"] for c in docs.columns if c not in (text_column, mentions_column)]
     plain = docs.where(~likely).select(*others, column, F.lit(0).alias(mentions_column))
     joined = docs.where(likely).withColumns({h1: hashes[0], h2: hashes[1]}).join(lists, [h1, h2], "left")
-    found = F.regexp_extract_all(text, F.lit(DETECT), F.lit(0))
+    found, around = cut(text, F.col(further))
     shown = F.zip_with(found, payload, _render)
-    whole = F.array_join(F.zip_with(F.split(text, DETECT, -1), F.array_append(shown, F.lit("")), lambda a, b: F.concat(a, b)), "")
+    whole = F.array_join(F.zip_with(around, F.array_append(shown, F.lit("")), lambda a, b: F.concat(a, b)), "")
     replaced = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_column, mentions_column)],
                              F.when(F.col(payload).isNull(), F.col(f"`{text_column}`")).otherwise(whole).alias(text_column),
                              F.coalesce(F.size(payload), F.lit(0)).alias(mentions_column))

@@ -41,6 +41,35 @@ def test_format_type_and_coreference(spark):
     assert run(spark, TEXTS, key="other")[7].text != got[7].text and run(spark, TEXTS)[1].text == got[1].text
 
 
+def test_the_hint_holds_for_every_pattern(spark):
+    samples = {"email": ["a@b.de"], "iban": ["GB29 NWBK ABCD EFGH", "DE89370400440532013000"], "ip": ["1.2.3.4"], "ssn": ["123-45-6789"],
+               "secret": ["deadbeef" * 4, "AKIA" + "A" * 16, "ghp_" + "b" * 16, "sk-" + "c" * 16], "card": ["4111 1111 1111 1111"],
+               "phone": ["+49 30 12 34 56 78", "+49-30-12-34-56", "+33 6 12 34 56 78", "+49 30 1 23 45 67", "+1 (17) 55 77", "(555) 123-4567", "555.123.4567"],
+               "name": ["Mr. Abcd", "Herr Abcd", "господин Петров", "госпожа Анна", "Anna Abcd", "Иван Петров"]}
+    assert set(samples) == set(surrogates.PATTERNS)
+    rows = [(kind, value) for kind, values in samples.items() for value in values]
+    got = spark.createDataFrame(rows, "kind string, value string").select("kind", "value", F.col("value").rlike(surrogates.HINT).alias("hint"), *[
+        F.regexp_extract("value", p, 0).alias(k) for k, p in surrogates.PATTERNS.items()]).collect()
+    for r in got:
+        assert r.hint and (r[r.kind] if r.kind == "name" else r[r.kind] == r.value), r
+
+
+def test_paired_and_single_digits_alone_and_beside_other_mentions(spark):
+    numbers = ["+49 30 12 34 56 78", "+49-30-12-34-56", "+33 6 12 34 56 78"]
+    got = run(spark, {**{k: f"call {n} or so" for k, n in enumerate(numbers)}, **{10 + k: f"call {n} or a@b.de" for k, n in enumerate(numbers)}})
+    for k, number in enumerate(numbers):
+        alone, beside = got[k].text[5:-6], got[10 + k].text.split(" or ")[0][5:]
+        assert alone == beside != number and re.sub(r"\d", "", alone) == re.sub(r"\d", "", number)
+        assert (got[k].n_mentions, got[10 + k].n_mentions) == (1, 2)
+
+
+def test_bare_surnames_in_the_rest_of_the_text(spark):
+    got = run(spark, {1: "Quandel was seen. Mr. John Quandel left; Quandel's car and QUANDEL stayed, Quandels too. Quandel Anna Weber.", 2: "Quandel alone."})
+    one = re.fullmatch(r"(\w+) was seen\. Mr\. (\w+) (\w+) left; (\w+)'s car and (\w+) stayed, Quandels too\. (\w+) (\w+) (\w+)\.", got[1].text).groups()
+    assert one[0] == one[2] == one[3] == one[5] != "Quandel" and one[4] == one[0].upper() and got[1].n_mentions == 8
+    assert got[2].text == "Quandel alone." and got[2].n_mentions == 0
+
+
 def test_distinct_entities_stay_distinct(spark):
     people = {k: f"Mr. Q{chr(97 + k % 26)}{chr(97 + k // 26)}name left." for k in range(120)}
     got = run(spark, people)
