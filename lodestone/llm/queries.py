@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, fm, langid, packing, repeats, simhash, spots, surrogates, tiling, toxicity
+from lodestone.llm import bond, bpe, chat, fm, langid, merkle, packing, repeats, simhash, spots, surrogates, tiling, toxicity
 from lodestone.llm.text import held_out
 
 
@@ -105,6 +105,95 @@ def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    relabel = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, relabel=relabel)
+
+
+OP11_SQL = """WITH whole AS (
+ SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+points AS (SELECT id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM whole),
+anchors AS (SELECT * FROM points WHERE id % 100 = 0),
+scored AS (SELECT a.id AS anchor_id, a.label = p.label AS same, p.id, CAST(list_dot_product(a.v, p.v) AS BIGINT) AS score
+ FROM anchors a JOIN points p ON a.id <> p.id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank,
+ id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.decode(coded, vocabulary).select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    low, high = merkle.dataset_manifest(docs, changed=tampered, altered={"text": F.translate("text", CAPITALS, SMALL)})
+    return merkle.prove(low, high, docs.schema["doc_id"].dataType.simpleString()).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def _levels_sql(name: str, levels: int) -> str:
+    """Levels of trees over ``name``0 (tree, idx, node): per parent the run of its children; a finished tree is handed on as it is."""
+    steps = []
+    for k in range(levels):
+        steps.append(f"""{name}r{k} AS (SELECT tree, idx // 16 AS parent, string_agg(node, '' ORDER BY idx) AS run, max(n) AS n
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k}) GROUP BY ALL)""")
+        steps.append(f"{name}{k + 1} AS (SELECT tree, parent AS idx, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS node FROM {name}r{k})")
+    return ",\n".join(steps)
+
+
+def _fold_sql(name: str, source: str, levels: int) -> str:
+    """Folds (digest, siblings so far, place) of ``source`` through the levels of ``name``."""
+    steps, last = [], source
+    for k in range(levels):
+        place = f"64 * (f.idx // {16 ** k} % 16)"
+        steps.append(f"""{name}f{k} AS (SELECT f.* EXCLUDE (digest, proof),
+  CASE WHEN r.n = 1 THEN digest ELSE sha256(left(run, {place}) || digest || substr(run, {place} + 65)) END AS digest,
+  CASE WHEN r.n = 1 THEN proof ELSE proof || left(run, {place}) || substr(run, {place} + 65) END AS proof
+ FROM {last} f JOIN {name}r{k} r ON r.tree = f.tree AND r.parent = f.idx // {16 ** (k + 1)})""")
+        last = f"{name}f{k}"
+    return ",\n".join(steps)
+
+
+def _op13_sql(levels: int = 8) -> str:
+    """Trees of at most 16 ** levels leaves."""
+    def fields(text: str) -> str:
+        return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    crc = ("list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda r, b: "
+           "list_reduce(list_prepend(xor(r, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda q, z: xor(q >> 1, (q & 1) * 3988292384::UBIGINT)))")
+    lowered = f"translate(text, '{CAPITALS}', '{SMALL}')"
+    return f"""WITH marked AS (SELECT doc_id, coalesce('+' || source, '') AS tree, sha256({fields('text')}) AS node,
+  CASE WHEN xor({crc}, 4294967295::UBIGINT) % 5 = 0 THEN sha256({fields(lowered)}) END AS other FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS idx FROM marked),
+s0 AS (SELECT tree, idx, node FROM placed),
+{_levels_sql('s', levels)},
+tops AS (SELECT tree AS name, node, row_number() OVER (ORDER BY tree) - 1 AS idx FROM s{levels}),
+t0 AS (SELECT '' AS tree, idx, node FROM tops),
+{_levels_sql('t', levels)},
+begin AS (SELECT doc_id, tree, idx, node, coalesce(other, node) AS digest, '' AS proof FROM placed),
+{_fold_sql('s', 'begin', levels)},
+risen AS (SELECT doc_id, f.node, o.node AS subroot, '' AS tree, o.idx, digest, proof FROM sf{levels - 1} f JOIN tops o ON o.name = f.tree),
+{_fold_sql('t', 'risen', levels)}
+SELECT doc_id, f.node AS leaf, subroot, t.node AS root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = t.node AS verified
+FROM tf{levels - 1} f JOIN t{levels} t ON true"""
+
+
 QUERIES = {
     "op1_harmonic_packing": (op1_harmonic_packing, None),
     "op2_string_tiling": (op2_string_tiling, None),
@@ -116,4 +205,7 @@ QUERIES = {
     "op8_surrogates": (op8_surrogates, None),
     "op9_language_id": (op9_language_id, None),
     "op10_factorisation_machine": (op10_factorisation_machine, None),
+    "op11_bond_negatives": (op11_bond_negatives, OP11_SQL),
+    "op12_byte_bpe": (op12_byte_bpe, None),
+    "op13_merkle_manifest": (op13_merkle_manifest, _op13_sql()),
 }
