@@ -11,8 +11,8 @@ broadcast or held whole, and the best rows per anchor are limited before they ar
 
 Rows with a null label, a null vector, or a null or non-finite component take no part. A row whose id is the anchor's is never its
 positive or negative; repeated rows count as often as they occur; equal anchors are one anchor. A null id comes last among ties and is no
-anchor. Vectors of different length are compared as if the shorter ended in zeros. Integer scores are exact; a score beyond 64 bits is
-reported as the nearest 64-bit number. An empty table gives no rows. Other columns are not read, whatever their names.
+anchor. Vectors of different length are compared as if the shorter ended in zeros. Integer scores are exact; a score that
+does not fit 64 bits raises an error. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TILE_ROWS = 8192
 GROUP_ANCHORS = 1024
 STEP = 4  # dimensions between two looks at the bounds
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
+MOST = (1 << 63) - 1
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, label_column: str, scale: int = 256,
@@ -175,10 +175,6 @@ def negatives_in(tile: Tile, anchor: dict, n: int, lowest: int, highest: int) ->
     return found
 
 
-def _clamped(score: int) -> int:
-    return min(max(score, LEAST), MOST)
-
-
 def _meet(anchors: DataFrame, tiles: DataFrame, group_anchors: int) -> tuple[DataFrame, DataFrame]:
     """Groups of anchors and tiles, keyed so that each pair of a group and a bucket of tiles meets once."""
     groups = max(1, -(-anchors.count() // group_anchors))
@@ -208,7 +204,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, id_column: str = "vec_id", v
         for row in there.to_pylist():
             tile = Tile(row)
             for a in queries:
-                out += [(a["number"], i, _clamped(s)) for i, s in positives_in(tile, a, n_positives)]
+                out += [(a["number"], i, s) for i, s in positives_in(tile, a, n_positives)]
         numbers, ids, scores = zip(*out) if out else ((), (), ())
         return pa.table({"number": pa.array(numbers, pa.int64()), "id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
 
@@ -225,7 +221,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, id_column: str = "vec_id", v
         for row in there.to_pylist():
             tile = Tile(row)
             for a in queries:
-                out += [(a["number"], p, i, _clamped(s)) for p, i, s in negatives_in(tile, a, n_negatives, lowest, highest)]
+                out += [(a["number"], p, i, s) for p, i, s in negatives_in(tile, a, n_negatives, lowest, highest)]
         columns = zip(*out) if out else ((),) * 4
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("number", "place", "id", "score"), columns)})
 

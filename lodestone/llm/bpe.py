@@ -1,9 +1,10 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Encoding. A task cuts its documents into pre-tokens and keeps, per block of documents, the distinct words of the block and one code per
-position. The blocks are written once. Words are exploded with their place in the block, each distinct word of the whole table is
-encoded once, and the ids are joined back by word; a word has one row per block, so no word is a hot key. A block then meets its words
-again and puts the ids in the order of the positions.
+Encoding. A task cuts its documents into pre-tokens and keeps, per block of documents, the distinct words of the block in the order of a
+hash and one code per position. The blocks are written once. Their words are dealt by ranges of the hash; all equal words of the table
+meet in one range, each is encoded once there, and the ids go back to the blocks they came from. A block then puts the ids in the order
+of its positions. A word is sent once per block, so no word is a hot key, and words travel as compressed lists, not as rows, because a
+row per word and block took more than four times the input. The number of ranges follows the bytes of all words, so a range has a bound.
 
 Decoding. Per batch of documents, the distinct ids are exploded with their positions and joined with the table of token bytes, which is
 bounded by the vocabulary and broadcast, so nothing is shuffled; the same task puts the bytes back by position.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import sys
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -33,7 +35,8 @@ from lodestone.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+RANGE_BYTES = 8 << 20
 LONG_TEXT = 1 << 24
 MOST_VOCABULARY_BYTES = 64 << 20
 
@@ -93,24 +96,52 @@ def gathered(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     return np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(total), ends
 
 
+def squeezed(values: np.ndarray | bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(values, asbytes=True)
+
+
+def spread(data: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(data, size, asbytes=True)
+
+
+def numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(spread(data, 4 * n), "<u4")
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+
+
+def cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def blocks_of(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block: ``block, docs, counts, words, codes``; codes are compressed 32-bit indices into words, in reading order."""
+    """One row per block: ``block, docs, counts`` (positions per document), ``n_codes, codes`` (a word's place per position),
+    ``n_words, word_bytes, sizes, words`` (distinct words in the order of their hash). Codes, sizes and words are compressed."""
     kind, replace = type_of(docs, "doc_id"), stand_ins()
+    names = ["block", "docs", "counts", "n_codes", "codes", "n_words", "word_bytes", "sizes", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, codec = Splitter(pattern, replace), pa.Codec("zstd", compression_level=1)
-        numbers = count(TaskContext.get().partitionId() << 32)
+        split = Splitter(pattern, replace)
+        following = count(TaskContext.get().partitionId() << 32)
         waiting: list[tuple] = []
         held = 0
 
         def block() -> pa.RecordBatch:
             index: dict[str, int] = defaultdict(count().__next__)
             coded = [np.fromiter(map(index.__getitem__, split(text)), "<u4") for _, text in waiting]
-            flat = np.concatenate(coded)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([next(numbers)]), pa.array([[d for d, _ in waiting]], pa.list_(key)), pa.array([[len(c) for c in coded]], pa.list_(pa.int64())),
-                 pa.array([list(index)], pa.list_(pa.string())), pa.array([codec.compress(flat, asbytes=True)]), pa.array([4 * len(flat)])],
-                ["block", "docs", "counts", "words", "codes", "codes_bytes"])
+            words = [w.encode() for w in index]
+            order = np.argsort(hashes(words), kind="stable")
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            words = [words[i] for i in order]
+            flat = place[np.concatenate(coded)]
+            data, sizes = b"".join(words), np.fromiter(map(len, words), "<u4", len(words))
+            row = [next(following), [d for d, _ in waiting], [len(c) for c in coded], len(flat), squeezed(flat), len(words), len(data), squeezed(sizes), squeezed(data)]
+            kinds = [None, pa.list_(key), pa.list_(pa.int64()), None, pa.binary(), None, None, pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in slices(batches, "text"):
             key = batch.schema.field("doc_id").type
@@ -123,46 +154,82 @@ def blocks_of(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) ->
         if waiting:
             yield block()
 
-    return arrow_map(docs, run, f"block long, docs array<{kind}>, counts array<long>, words array<string>, codes binary, codes_bytes long")
+    return arrow_map(docs, run, f"block long, docs array<{kind}>, counts array<long>, n_codes long, codes binary, n_words long, word_bytes long, "
+                                "sizes binary, words binary")
+
+
+_PARTS = "home long, first long, n_words long, word_bytes long, sizes binary, words binary"
 
 
-def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """``word, ids`` of distinct words; a word is never split."""
+def parts_of(blocks: DataFrame, ranges: int) -> DataFrame:
+    """The words of each block by range of their hash: ``range``, the block (``home``), the place of the part's first word, and the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = numbers(row["sizes"], row["n_words"])
+                words = cut(spread(row["words"], row["word_bytes"]), sizes)
+                owner = hashes(words).astype(np.int64) * ranges >> 32
+                owners, first = np.unique(owner, return_index=True)
+                out = []
+                for r, a, b in zip(owners.tolist(), first.tolist(), [*first[1:].tolist(), len(words)]):
+                    data = b"".join(words[a:b])
+                    out.append((r, row["block"], a, b - a, len(data), squeezed(sizes[a:b]), squeezed(data)))
+                columns = zip(*out) if out else [()] * 7
+                kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                                 ["range", "home", "first", "n_words", "word_bytes", "sizes", "words"])
+
+    return arrow_map(blocks.select("block", "n_words", "word_bytes", "sizes", "words"), run, f"range long, {_PARTS}")
+
+
+def encode_parts(parts: DataFrame, vocabulary: str) -> DataFrame:
+    """``home, first, n_words, n_ids, sizes, ids`` per part: ids per word and the ids. Each distinct word of a range is encoded once, whole."""
+
+    def run(table: pa.Table) -> pa.Table:
         import tiktoken
 
         whole = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks_of(vocabulary), special_tokens={}).encode_ordinary
-        for batch in batches:
-            ids = [np.array(whole(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    return words.mapInArrow(run, "word string, ids binary")
+        known: dict[bytes, bytes] = {}
+        out = []
+        for row in table.to_pylist():
+            ids = []
+            for word in cut(spread(row["words"], row["word_bytes"]), numbers(row["sizes"], row["n_words"])):
+                coded = known.get(word)
+                if coded is None:
+                    coded = known[word] = np.array(whole(word.decode()), "<u4").tobytes()
+                ids.append(coded)
+            data = b"".join(ids)
+            out.append((row["home"], row["first"], len(ids), len(data) // 4, squeezed(np.fromiter(map(len, ids), "<u4", len(ids)) // 4), squeezed(data)))
+        columns = zip(*out)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()] * 2)],
+                        ["home", "first", "n_words", "n_ids", "sizes", "ids"])
+
+    return parts.groupBy("range").applyInArrow(run, "home long, first long, n_words long, n_ids long, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, ids``: ids as little-endian unsigned 32-bit integers. ``vocabulary`` is a rank file present on every executor."""
+           block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``doc_id, ids``: ids as little-endian unsigned 32-bit integers. ``vocabulary`` is a rank file present on every executor.
+
+    ``range_bytes`` is the mean size of the words that one task encodes at a time.
+    """
     kind = type_of(docs, id_column)
     rows = docs.select(docs[f"`{id_column}`"].alias("doc_id"), text_or_empty(text_column).alias("text"))
     blocks = cut_lineage(blocks_of(rows, pattern, block_bytes))
-    exploded = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    coded = encode_words(exploded.select("word").distinct(), vocabulary)
-    resolved = exploded.join(coded, "word").select(F.col("block").alias("home"), "place", "ids")
+    ranges = max(1, -(-(blocks.agg(F.sum("word_bytes")).first()[0] or 0) // range_bytes))
+    resolved = encode_parts(parts_of(blocks, ranges), vocabulary)
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         head = left.to_pylist()[0]
-        order = pc.sort_indices(right, sort_keys=[("place", "ascending")])
-        ids = right.column("ids").take(order).combine_chunks()
-        sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
-        codes = np.frombuffer(pa.Codec("zstd").decompress(head["codes"], head["codes_bytes"]), "<u4")
-        picks, ends = gathered(codes, np.cumsum(sizes) - sizes, sizes)
-        last = np.cumsum(head["counts"])
-        doc_ends = np.concatenate([np.zeros(1, np.int64), ends])[last]
+        parts = right.sort_by("first").to_pylist()
+        sizes = np.concatenate([np.zeros(0, np.int64), *[numbers(p["sizes"], p["n_words"]) for p in parts]]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, "<u4"), *[numbers(p["ids"], p["n_ids"]) for p in parts]])
+        picks, ends = gathered(numbers(head["codes"], head["n_codes"]), np.cumsum(sizes) - sizes, sizes)
+        doc_ends = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum(head["counts"])]
         return pa.table({"doc_id": left.column("docs").combine_chunks().flatten(), "ids": binary_rows(flat[picks].view(np.uint8), 4 * doc_ends)})
 
-    return (blocks.drop("words").groupBy("block").cogroup(resolved.groupBy("home"))
+    return (blocks.select("block", "docs", "counts", "n_codes", "codes").groupBy("block").cogroup(resolved.groupBy("home"))
             .applyInArrow(reassemble, f"doc_id {kind}, ids binary"))
 
 

@@ -28,16 +28,22 @@ def packed(ids):
 def test_ids_are_those_of_the_library(spark, library, corner):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").unionByName(corner.select("doc_id", "text"))
     for size in (1, 60, 1 << 20):
-        got = sorted((repr(r.doc_id), bytes(r.ids)) for r in bpe.encode(docs.repartition(3), VOCABULARY, P.PATTERN, block_bytes=size).collect())
+        coded = bpe.encode(docs.repartition(3), VOCABULARY, P.PATTERN, block_bytes=size, range_bytes=size * 5)
+        got = sorted((repr(r.doc_id), bytes(r.ids)) for r in coded.collect())
         assert got == sorted((repr(r.doc_id), packed(library.encode_ordinary(r.text or ""))) for r in docs.collect())
 
 
-def test_each_distinct_word_is_encoded_once(spark):
+def test_equal_words_meet_and_are_sent_once_per_block(spark):
     docs = spark.createDataFrame([(i, "same same words again") for i in range(50)], "doc_id long, text string")
     blocks = bpe.blocks_of(docs.repartition(4), P.PATTERN, 60)
-    assert blocks.count() > 4 and all(len(set(r.words)) == len(r.words) for r in blocks.collect())
-    words = blocks.select(F.explode("words").alias("word")).distinct()
-    assert sorted(r.word for r in bpe.encode_words(words, VOCABULARY).collect()) == [" again", " same", " words", "same"]
+    assert blocks.count() > 4
+    ranges: dict[bytes, set] = {}
+    for r in bpe.parts_of(blocks, 3).collect():
+        words = bpe.cut(bpe.spread(r.words, r.word_bytes), bpe.numbers(r.sizes, r.n_words))
+        assert len(set(words)) == len(words)
+        for w in words:
+            ranges.setdefault(w, set()).add(r.range)
+    assert sorted(ranges) == [b" again", b" same", b" words", b"same"] and all(len(r) == 1 for r in ranges.values())
 
 
 def test_decoding_gives_the_bytes_back(spark, library):
