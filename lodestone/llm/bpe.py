@@ -20,7 +20,7 @@ import base64
 import sys
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -97,6 +97,9 @@ def gathered(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
 
 
 def squeezed(values: np.ndarray | bytes) -> bytes:
+    """Compressed bytes, or compressed 32-bit integers, by byte plane, as the upper planes are nearly constant."""
+    if isinstance(values, np.ndarray):
+        values = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     return pa.Codec("zstd", compression_level=1).compress(values, asbytes=True)
 
 
@@ -105,7 +108,7 @@ def spread(data: bytes, size: int) -> bytes:
 
 
 def numbers(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(spread(data, 4 * n), "<u4")
+    return np.ascontiguousarray(np.frombuffer(spread(data, 4 * n), np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -118,10 +121,11 @@ def cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
 
 
 def blocks_of(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block: ``block, docs, counts`` (positions per document), ``n_codes, codes`` (a word's place per position),
-    ``n_words, word_bytes, sizes, words`` (distinct words in the order of their hash). Codes, sizes and words are compressed."""
+    """One row per block: ``block, docs, counts`` (positions per document), ``n_codes, codes`` (per position, the frequency rank of
+    its word), ``places`` (a word's place by frequency rank), ``n_words, word_bytes, sizes, words`` (distinct words in the order of their
+    hash). Codes, places, sizes and words are compressed."""
     kind, replace = type_of(docs, "doc_id"), stand_ins()
-    names = ["block", "docs", "counts", "n_codes", "codes", "n_words", "word_bytes", "sizes", "words"]
+    names = ["block", "docs", "counts", "n_codes", "codes", "places", "n_words", "word_bytes", "sizes", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(pattern, replace)
@@ -134,13 +138,15 @@ def blocks_of(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) ->
             coded = [np.fromiter(map(index.__getitem__, split(text)), "<u4") for _, text in waiting]
             words = [w.encode() for w in index]
             order = np.argsort(hashes(words), kind="stable")
-            place = np.empty(len(order), "<u4")
+            place, rank = np.empty(len(order), "<u4"), np.empty(len(order), "<u4")
             place[order] = np.arange(len(order))
+            flat = np.concatenate(coded)
+            frequent = np.argsort(-np.bincount(flat, minlength=len(order)), kind="stable")
+            rank[frequent] = np.arange(len(order))
             words = [words[i] for i in order]
-            flat = place[np.concatenate(coded)]
             data, sizes = b"".join(words), np.fromiter(map(len, words), "<u4", len(words))
-            row = [next(following), [d for d, _ in waiting], [len(c) for c in coded], len(flat), squeezed(flat), len(words), len(data), squeezed(sizes), squeezed(data)]
-            kinds = [None, pa.list_(key), pa.list_(pa.int64()), None, pa.binary(), None, None, pa.binary(), pa.binary()]
+            row = [next(following), [d for d, _ in waiting], [len(c) for c in coded], len(flat), squeezed(rank[flat]), squeezed(place[frequent]), len(words), len(data), squeezed(sizes), squeezed(data)]
+            kinds = [None, pa.list_(key), pa.list_(pa.int64()), None, pa.binary(), pa.binary(), None, None, pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in slices(batches, "text"):
@@ -154,8 +160,8 @@ def blocks_of(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) ->
         if waiting:
             yield block()
 
-    return arrow_map(docs, run, f"block long, docs array<{kind}>, counts array<long>, n_codes long, codes binary, n_words long, word_bytes long, "
-                                "sizes binary, words binary")
+    return arrow_map(docs, run, f"block long, docs array<{kind}>, counts array<long>, n_codes long, codes binary, places binary, n_words long, "
+                                "word_bytes long, sizes binary, words binary")
 
 
 _PARTS = "home long, first long, n_words long, word_bytes long, sizes binary, words binary"
@@ -186,10 +192,14 @@ def parts_of(blocks: DataFrame, ranges: int) -> DataFrame:
 def encode_parts(parts: DataFrame, vocabulary: str) -> DataFrame:
     """``home, first, n_words, n_ids, sizes, ids`` per part: ids per word and the ids. Each distinct word of a range is encoded once, whole."""
 
+    coders: list[Callable] = []  # one per task, for all its ranges
+
     def run(table: pa.Table) -> pa.Table:
         import tiktoken
 
-        whole = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks_of(vocabulary), special_tokens={}).encode_ordinary
+        if not coders:
+            coders.append(tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks_of(vocabulary), special_tokens={}).encode_ordinary)
+        whole = coders[0]
         known: dict[bytes, bytes] = {}
         out = []
         for row in table.to_pylist():
@@ -200,7 +210,7 @@ def encode_parts(parts: DataFrame, vocabulary: str) -> DataFrame:
                     coded = known[word] = np.array(whole(word.decode()), "<u4").tobytes()
                 ids.append(coded)
             data = b"".join(ids)
-            out.append((row["home"], row["first"], len(ids), len(data) // 4, squeezed(np.fromiter(map(len, ids), "<u4", len(ids)) // 4), squeezed(data)))
+            out.append((row["home"], row["first"], len(ids), len(data) // 4, squeezed(np.fromiter(map(len, ids), "<u4", len(ids)) // 4), squeezed(np.frombuffer(data, "<u4"))))
         columns = zip(*out)
         return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()] * 2)],
                         ["home", "first", "n_words", "n_ids", "sizes", "ids"])
@@ -225,11 +235,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
         parts = right.sort_by("first").to_pylist()
         sizes = np.concatenate([np.zeros(0, np.int64), *[numbers(p["sizes"], p["n_words"]) for p in parts]]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, "<u4"), *[numbers(p["ids"], p["n_ids"]) for p in parts]])
-        picks, ends = gathered(numbers(head["codes"], head["n_codes"]), np.cumsum(sizes) - sizes, sizes)
+        picks, ends = gathered(numbers(head["places"], len(sizes))[numbers(head["codes"], head["n_codes"])], np.cumsum(sizes) - sizes, sizes)
         doc_ends = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum(head["counts"])]
         return pa.table({"doc_id": left.column("docs").combine_chunks().flatten(), "ids": binary_rows(flat[picks].view(np.uint8), 4 * doc_ends)})
 
-    return (blocks.select("block", "docs", "counts", "n_codes", "codes").groupBy("block").cogroup(resolved.groupBy("home"))
+    return (blocks.select("block", "docs", "counts", "n_codes", "codes", "places").groupBy("block").cogroup(resolved.groupBy("home"))
             .applyInArrow(reassemble, f"doc_id {kind}, ids binary"))
 
 

@@ -28,7 +28,7 @@ def packed(ids):
 def test_ids_are_those_of_the_library(spark, library, corner):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").unionByName(corner.select("doc_id", "text"))
     for size in (1, 60, 1 << 20):
-        coded = bpe.encode(docs.repartition(3), VOCABULARY, P.PATTERN, block_bytes=size, range_bytes=size * 5)
+        coded = bpe.encode(docs.repartition(3), VOCABULARY, P.PATTERN, block_bytes=size, range_bytes=3000)
         got = sorted((repr(r.doc_id), bytes(r.ids)) for r in coded.collect())
         assert got == sorted((repr(r.doc_id), packed(library.encode_ordinary(r.text or ""))) for r in docs.collect())
 
