@@ -103,18 +103,19 @@ def scan(tile: Tile, anchor: np.ndarray, alive: np.ndarray, keep) -> tuple[np.nd
     """
     dims = min(len(anchor), len(tile.columns))
     q = anchor[:dims]
-    big = dims * int(np.abs(q).max(initial=0)) * int(max(-tile.low[:dims].min(initial=0), tile.high[:dims].max(initial=0))) >= 1 << 61
+    big = dims * int(np.abs(q).max(initial=0)) * max(-int(tile.low[:dims].min(initial=0)), int(tile.high[:dims].max(initial=0))) >= 1 << 61
     if big:
         q = q.astype(object)
     order = np.argsort(-np.abs(q), kind="stable")
-    ends = np.stack([q * tile.low[:dims], q * tile.high[:dims]])[:, order]
+    ends = np.stack([q * side[:dims].astype(q.dtype) for side in (tile.low, tile.high)])[:, order]
     # What the dimensions from the d-th of the order on can still add, at least and at most.
     least, most = (np.append(np.cumsum(side[::-1])[::-1], 0) for side in (ends.min(0), ends.max(0)))
     rows = np.flatnonzero(alive)
     scores = np.zeros(len(rows), object if big else np.int64)
     for first in range(0, dims, STEP):
         for d in order[first: first + STEP]:
-            scores = scores + q[d] * (tile.columns[d] if len(rows) == len(tile.ids) else tile.columns[d][rows])
+            column = tile.columns[d] if len(rows) == len(tile.ids) else tile.columns[d][rows]
+            scores = scores + q[d] * (column.astype(object) if big else column)
         done = min(first + STEP, dims)
         stay = keep(rows, scores + least[done], scores + most[done])
         if not stay.all():

@@ -1,10 +1,14 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Encoding. A task cuts its documents into pre-tokens and keeps, per block of documents, the distinct words of the block in the order of a
-hash and one code per position. The blocks are written once. Their words are dealt by ranges of the hash; all equal words of the table
-meet in one range, each is encoded once there, and the ids go back to the blocks they came from. A block then puts the ids in the order
-of its positions. A word is sent once per block, so no word is a hot key, and words travel as compressed lists, not as rows, because a
-row per word and block took more than four times the input. The number of ranges follows the bytes of all words, so a range has a bound.
+Encoding. A task cuts its documents into pre-tokens and has, per block of documents, the distinct words of the block in the order of a
+hash and one code per position. The words are dealt by ranges of the hash; all equal words of the table meet in one range, each is
+encoded once there, and the ids go back to the blocks they came from. A block then puts the ids in the order of its positions. A word is
+sent once per block, so no word is a hot key, and words travel as compressed lists, not as rows, because a row per word and block took
+more than four times the input. The number of ranges follows the bytes of all texts, so a range has a bound.
+
+The documents are read twice, for the words and for the positions, as writing the positions down took as much disk as shuffling them.
+Both readings must give the same rows in the same order, as a scan of files does; a block whose readings differ raises an error, and
+``cut_lineage`` gives a frame that qualifies.
 
 Decoding. Per batch of documents, the distinct ids are exploded with their positions and joined with the table of token bytes, which is
 bounded by the vocabulary and broadcast, so nothing is shuffled; the same task puts the bytes back by position.
@@ -29,14 +33,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm.text import arrow_map, slices, text_or_empty, type_of
-from lodestone.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 32 << 20
 LONG_TEXT = 1 << 24
 MOST_VOCABULARY_BYTES = 64 << 20
 
@@ -120,77 +124,84 @@ def cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def blocks_of(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block: ``block, docs, counts`` (positions per document), ``n_codes, codes`` (per position, the frequency rank of
-    its word), ``places`` (a word's place by frequency rank), ``n_words, word_bytes, sizes, words`` (distinct words in the order of their
-    hash). Codes, places, sizes and words are compressed."""
+class Block:
+    """Documents of one block: positions per document, distinct words in the order of their hash, and the words of the positions."""
+
+    def __init__(self, number: int, rows: list[tuple], split: Splitter):
+        index: dict[str, int] = defaultdict(count().__next__)
+        coded = [np.fromiter(map(index.__getitem__, split(text)), "<u4") for _, text in rows]
+        words = [w.encode() for w in index]
+        self.number, self.docs, self.counts = number, [d for d, _ in rows], [len(c) for c in coded]
+        self.order = np.argsort(hashes(words), kind="stable")
+        self.words = [words[i] for i in self.order]
+        self.flat = np.concatenate(coded)
+        self.stamp = zlib.crc32(np.array(self.counts).tobytes(), zlib.crc32(b"".join(self.words)))
+
+    def positions(self) -> list:
+        """The block's row: codes are frequency ranks of words, ``places`` the place of a word in hash order by that rank."""
+        place, rank = np.empty(len(self.order), "<u4"), np.empty(len(self.order), "<u4")
+        place[self.order] = np.arange(len(self.order))
+        frequent = np.argsort(-np.bincount(self.flat, minlength=len(self.order)), kind="stable")
+        rank[frequent] = np.arange(len(self.order))
+        return [self.number, self.stamp, self.docs, self.counts, len(self.flat), squeezed(rank[self.flat]), squeezed(place[frequent])]
+
+    def parts(self, ranges: int) -> list[tuple]:
+        """The words by range of their hash: range, block, stamp, place of the first word, and the words."""
+        owners, first = np.unique(hashes(self.words).astype(np.int64) * ranges >> 32, return_index=True)
+        out = []
+        for r, a, b in zip(owners.tolist(), first.tolist(), [*first[1:].tolist(), len(self.words)]):
+            some = self.words[a:b]
+            data = b"".join(some)
+            out.append((r, self.number, self.stamp, a, b - a, len(data), squeezed(np.fromiter(map(len, some), "<u4", b - a)), squeezed(data)))
+        return out
+
+
+def blocks(batches: Iterator[pa.RecordBatch], pattern: str, replace: dict[int, int], block_bytes: int) -> Iterator[Block]:
+    split = Splitter(pattern, replace)
+    following = count(TaskContext.get().partitionId() << 32)
+    waiting: list[tuple] = []
+    held = 0
+    for batch in slices(batches, "text"):
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            waiting.append((doc, text))
+            held += len(text)
+            if held >= block_bytes:
+                yield Block(next(following), waiting, split)
+                waiting, held = [], 0
+    if waiting:
+        yield Block(next(following), waiting, split)
+
+
+def positions_of(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
+    """One row per block: ``block, stamp, docs, counts, n_codes, codes, places``, the last two compressed."""
     kind, replace = type_of(docs, "doc_id"), stand_ins()
-    names = ["block", "docs", "counts", "n_codes", "codes", "places", "n_words", "word_bytes", "sizes", "words"]
+    key = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern, replace)
-        following = count(TaskContext.get().partitionId() << 32)
-        waiting: list[tuple] = []
-        held = 0
-
-        def block() -> pa.RecordBatch:
-            index: dict[str, int] = defaultdict(count().__next__)
-            coded = [np.fromiter(map(index.__getitem__, split(text)), "<u4") for _, text in waiting]
-            words = [w.encode() for w in index]
-            order = np.argsort(hashes(words), kind="stable")
-            place, rank = np.empty(len(order), "<u4"), np.empty(len(order), "<u4")
-            place[order] = np.arange(len(order))
-            flat = np.concatenate(coded)
-            frequent = np.argsort(-np.bincount(flat, minlength=len(order)), kind="stable")
-            rank[frequent] = np.arange(len(order))
-            words = [words[i] for i in order]
-            data, sizes = b"".join(words), np.fromiter(map(len, words), "<u4", len(words))
-            row = [next(following), [d for d, _ in waiting], [len(c) for c in coded], len(flat), squeezed(rank[flat]), squeezed(place[frequent]), len(words), len(data), squeezed(sizes), squeezed(data)]
-            kinds = [None, pa.list_(key), pa.list_(pa.int64()), None, pa.binary(), pa.binary(), None, None, pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
-
-        for batch in slices(batches, "text"):
-            key = batch.schema.field("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                waiting.append((doc, text))
-                held += len(text)
-                if held >= block_bytes:
-                    yield block()
-                    waiting, held = [], 0
-        if waiting:
-            yield block()
-
-    return arrow_map(docs, run, f"block long, docs array<{kind}>, counts array<long>, n_codes long, codes binary, places binary, n_words long, "
-                                "word_bytes long, sizes binary, words binary")
-
-
-_PARTS = "home long, first long, n_words long, word_bytes long, sizes binary, words binary"
-
-
-def parts_of(blocks: DataFrame, ranges: int) -> DataFrame:
-    """The words of each block by range of their hash: ``range``, the block (``home``), the place of the part's first word, and the words."""
+        kinds = [pa.int64(), pa.int64(), pa.list_(key), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+        for block in blocks(batches, pattern, replace, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(block.positions(), kinds)],
+                                             ["block", "stamp", "docs", "counts", "n_codes", "codes", "places"])
+
+    return arrow_map(docs, run, f"block long, stamp long, docs array<{kind}>, counts array<long>, n_codes long, codes binary, places binary")
+
+
+def parts_of(docs: DataFrame, pattern: str, block_bytes: int, ranges: int) -> DataFrame:
+    """The distinct words of each block by range of their hash: ``range, home, stamp, first, n_words, word_bytes, sizes, words``."""
+    replace = stand_ins()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes = numbers(row["sizes"], row["n_words"])
-                words = cut(spread(row["words"], row["word_bytes"]), sizes)
-                owner = hashes(words).astype(np.int64) * ranges >> 32
-                owners, first = np.unique(owner, return_index=True)
-                out = []
-                for r, a, b in zip(owners.tolist(), first.tolist(), [*first[1:].tolist(), len(words)]):
-                    data = b"".join(words[a:b])
-                    out.append((r, row["block"], a, b - a, len(data), squeezed(sizes[a:b]), squeezed(data)))
-                columns = zip(*out) if out else [()] * 7
-                kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                                 ["range", "home", "first", "n_words", "word_bytes", "sizes", "words"])
-
-    return arrow_map(blocks.select("block", "n_words", "word_bytes", "sizes", "words"), run, f"range long, {_PARTS}")
+        kinds = [pa.int64()] * 6 + [pa.binary()] * 2
+        for block in blocks(batches, pattern, replace, block_bytes):
+            columns = zip(*block.parts(ranges)) if block.words else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             ["range", "home", "stamp", "first", "n_words", "word_bytes", "sizes", "words"])
+
+    return arrow_map(docs, run, "range long, home long, stamp long, first long, n_words long, word_bytes long, sizes binary, words binary")
 
 
 def encode_parts(parts: DataFrame, vocabulary: str) -> DataFrame:
-    """``home, first, n_words, n_ids, sizes, ids`` per part: ids per word and the ids. Each distinct word of a range is encoded once, whole."""
+    """``home, stamp, first, n_words, n_ids, sizes, ids`` per part: ids per word and the ids. Each distinct word of a range is encoded once, whole."""
 
     coders: list[Callable] = []  # one per task, for all its ranges
 
@@ -210,36 +221,37 @@ def encode_parts(parts: DataFrame, vocabulary: str) -> DataFrame:
                     coded = known[word] = np.array(whole(word.decode()), "<u4").tobytes()
                 ids.append(coded)
             data = b"".join(ids)
-            out.append((row["home"], row["first"], len(ids), len(data) // 4, squeezed(np.fromiter(map(len, ids), "<u4", len(ids)) // 4), squeezed(np.frombuffer(data, "<u4"))))
+            out.append((row["home"], row["stamp"], row["first"], len(ids), len(data) // 4, squeezed(np.fromiter(map(len, ids), "<u4", len(ids)) // 4), squeezed(np.frombuffer(data, "<u4"))))
         columns = zip(*out)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()] * 2)],
-                        ["home", "first", "n_words", "n_ids", "sizes", "ids"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.binary()] * 2)],
+                        ["home", "stamp", "first", "n_words", "n_ids", "sizes", "ids"])
 
-    return parts.groupBy("range").applyInArrow(run, "home long, first long, n_words long, n_ids long, sizes binary, ids binary")
+    return parts.groupBy("range").applyInArrow(run, "home long, stamp long, first long, n_words long, n_ids long, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text_column: str = "text",
            block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``doc_id, ids``: ids as little-endian unsigned 32-bit integers. ``vocabulary`` is a rank file present on every executor.
 
-    ``range_bytes`` is the mean size of the words that one task encodes at a time.
+    ``range_bytes`` of text, on average, stand behind the words that one task encodes at a time.
     """
     kind = type_of(docs, id_column)
     rows = docs.select(docs[f"`{id_column}`"].alias("doc_id"), text_or_empty(text_column).alias("text"))
-    blocks = cut_lineage(blocks_of(rows, pattern, block_bytes))
-    ranges = max(1, -(-(blocks.agg(F.sum("word_bytes")).first()[0] or 0) // range_bytes))
-    resolved = encode_parts(parts_of(blocks, ranges), vocabulary)
+    ranges = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
+    resolved = encode_parts(parts_of(rows, pattern, block_bytes, ranges), vocabulary)
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         head = left.to_pylist()[0]
         parts = right.sort_by("first").to_pylist()
         sizes = np.concatenate([np.zeros(0, np.int64), *[numbers(p["sizes"], p["n_words"]) for p in parts]]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, "<u4"), *[numbers(p["ids"], p["n_ids"]) for p in parts]])
+        if any(p["stamp"] != head["stamp"] for p in parts) or (head["n_codes"] and not parts):
+            raise ValueError("two readings of the documents differ: write them down first")
         picks, ends = gathered(numbers(head["places"], len(sizes))[numbers(head["codes"], head["n_codes"])], np.cumsum(sizes) - sizes, sizes)
         doc_ends = np.concatenate([np.zeros(1, np.int64), ends])[np.cumsum(head["counts"])]
         return pa.table({"doc_id": left.column("docs").combine_chunks().flatten(), "ids": binary_rows(flat[picks].view(np.uint8), 4 * doc_ends)})
 
-    return (blocks.select("block", "docs", "counts", "n_codes", "codes", "places").groupBy("block").cogroup(resolved.groupBy("home"))
+    return (positions_of(rows, pattern, block_bytes).groupBy("block").cogroup(resolved.groupBy("home"))
             .applyInArrow(reassemble, f"doc_id {kind}, ids binary"))
 
 

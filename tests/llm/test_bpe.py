@@ -35,10 +35,10 @@ def test_ids_are_those_of_the_library(spark, library, corner):
 
 def test_equal_words_meet_and_are_sent_once_per_block(spark):
     docs = spark.createDataFrame([(i, "same same words again") for i in range(50)], "doc_id long, text string")
-    blocks = bpe.blocks_of(docs.repartition(4), P.PATTERN, 60)
-    assert blocks.count() > 4
+    docs = docs.repartition(4)
+    assert bpe.positions_of(docs, P.PATTERN, 60).count() > 4
     ranges: dict[bytes, set] = {}
-    for r in bpe.parts_of(blocks, 3).collect():
+    for r in bpe.parts_of(docs, P.PATTERN, 60, 3).collect():
         words = bpe.cut(bpe.spread(r.words, r.word_bytes), bpe.numbers(r.sizes, r.n_words))
         assert len(set(words)) == len(words)
         for w in words:
@@ -46,6 +46,12 @@ def test_equal_words_meet_and_are_sent_once_per_block(spark):
     assert sorted(ranges) == [b" again", b" same", b" words", b"same"] and all(len(r) == 1 for r in ranges.values())
 
 
+def test_readings_that_differ_are_noticed(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.udf(lambda i: __import__("uuid").uuid4().hex, "string").asNondeterministic()("id").alias("text"))
+    with pytest.raises(Exception, match="two readings"):
+        bpe.encode(docs, VOCABULARY, P.PATTERN).collect()
+
+
 def test_decoding_gives_the_bytes_back(spark, library):
     rows = [(i, packed(library.encode_ordinary(t or ""))) for i, t in enumerate(TEXTS)] + [(None, None), (90, packed([0, 50256])), (91, packed([0, 1]))]
     coded = spark.createDataFrame(rows, "doc_id long, ids binary")
