@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone import vocab
 from lodestone.functions import columns as C
+from lodestone.operators import reach
 from lodestone.session import cut_lineage
 
 KEYS = vocab.KEYS
@@ -211,12 +212,11 @@ def reachable_pairs(starts: DataFrame, links: DataFrame, max_depth: int | None =
 
 
 def transitive_dependents(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Number of nodes that reach each target; ``targets`` restricts whose closure is computed."""
-    links = cut_lineage(edges.select(*KEYS, F.col("target_id").alias("node"), F.col("source_id").alias("neighbour")))
-    starts = (links.select(*KEYS, F.col("node").alias("start")).distinct() if targets is None
-              else targets.select(*KEYS, "start"))
-    pairs = reachable_pairs(starts, links)
-    return pairs.groupBy(*KEYS, "start").agg(F.count(F.lit(1)).alias("transitive_dependents"))
+    """Number of nodes that reach each target, by components and compressed sets; ``targets`` restricts what is reported."""
+    nodes, links = reach.numbered(edges)
+    named = (reach.reaching_counts(links).join(nodes, "node")
+             .select(*KEYS, F.col("id").alias("start"), F.col("n").alias("transitive_dependents")))
+    return named if targets is None else named.join(targets.select(*KEYS, "start"), ["start", *KEYS], "left_semi")
 
 
 # --------------------------------------------------------------------------- simple paths

@@ -153,24 +153,24 @@ SELECT start, n AS path_count, CASE WHEN n = 0 THEN concat('No downstream depend
 
 
 def transitive_dependents(spark: SparkSession, sf: str) -> DataFrame:
-    edges = GR.distinct_edges(W.schema_graph(spark, sf, supply=False))
+    edges = GR.distinct_edges(W.schema_graph(spark, sf))
     return GR.transitive_dependents(edges).select(F.col("start").alias("id"), "transitive_dependents")
 
 
 _CLOSURE = """pairs AS (SELECT target_id AS t, source_id AS n FROM links UNION SELECT p.t, l.source_id FROM pairs p JOIN links l ON l.target_id = p.n
  WHERE l.source_id <> p.t), clo AS (SELECT t AS id, count(*) AS transitive_dependents FROM pairs WHERE n <> t GROUP BY 1)"""
-TRANSITIVE = (f"WITH RECURSIVE {S.schema_graph(False)}, links AS (SELECT DISTINCT source_id, target_id FROM graph), {_CLOSURE} "
+TRANSITIVE = (f"WITH RECURSIVE {S.schema_graph()}, links AS (SELECT DISTINCT source_id, target_id FROM graph), {_CLOSURE} "
               "SELECT * FROM clo")
 
 
 def arch_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     facts = W.trade_nodes(spark, sf).select(*KEYS, F.col("id").alias("qualified_name"), F.col("label").alias("node_kind"))
-    out = A.hotspots(facts, W.schema_graph(spark, sf, supply=False))
+    out = A.hotspots(facts, W.schema_graph(spark, sf))
     return out.select("qualified_name", "node_kind", "fan_in", "fan_out", "transitive_dependents",
                       F.round("percentile", 6).alias("percentile"), "severity")
 
 
-ARCH_HOTSPOTS = f"""WITH RECURSIVE {S.schema_graph(False)}, links AS (SELECT DISTINCT source_id, target_id FROM graph WHERE rnk < 2), {_CLOSURE},
+ARCH_HOTSPOTS = f"""WITH RECURSIVE {S.schema_graph()}, links AS (SELECT DISTINCT source_id, target_id FROM graph WHERE rnk < 2 AND relationship IN ('CALLS', 'DEPENDS_ON', 'REQUESTS', 'IMPORTS')), {_CLOSURE},
  kinds AS (SELECT {S.ident('region','r_regionkey')} AS id, 'File' AS k FROM region UNION ALL SELECT {S.ident('nation','n_nationkey')}, 'Class' FROM nation
   UNION ALL SELECT {S.ident('customer','c_custkey')}, 'Function' FROM customer UNION ALL SELECT {S.ident('supplier','s_suppkey')}, 'Function' FROM supplier),
  ids AS (SELECT id FROM kinds UNION SELECT source_id FROM links UNION SELECT target_id FROM links),

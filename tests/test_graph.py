@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as GR
+from lodestone.operators import reach
 
 
 def ends(df):
@@ -175,3 +177,41 @@ def test_overview_and_neighbourhood(facts, edge_frame, start):
     near = GR.neighbourhood(start("f"), edges, GR.relation_whitelist(["CONTAINS", "EVIL"]))
     assert {(r.source_id, r.target_id) for r in near.collect()} == {("r", "f"), ("f", "x")}
     assert near.where(F.col("relationship") == "DEFINES").count() == 0
+
+
+def test_reach_counts_against_a_search(edge_frame):
+    """Random graphs with cycles, hubs and separate parts, one per snapshot; snapshots do not mix."""
+    rng = random.Random(11)
+    whole, expected = None, {}
+    for nodes, degree in ((14, 1.1), (12, 3.0)):
+        snapshot = f"s{nodes}"
+        pairs = {(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(int(nodes * degree))} | {(i, 0) for i in range(5, nodes, 3)}
+        edges = edge_frame(*[f"n{a} CALLS n{b}" for a, b in pairs], snapshot=snapshot)
+        whole = edges if whole is None else whole.unionByName(edges)
+        for n in range(nodes):
+            seen, todo = {n}, [n]
+            while todo:
+                new = {a for a, b in pairs if b == todo[-1]} - seen
+                todo.pop()
+                seen |= new
+                todo += new
+            if len(seen) > 1:
+                expected[snapshot, f"n{n}"] = len(seen) - 1
+    assert {(r.snapshot_id, r.start): r.transitive_dependents for r in GR.transitive_dependents(whole).collect()} == expected
+
+
+def test_sets_turn_into_bitmaps():
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for node, bucket, size in ((3, 0, 10), (3, 0, 4000), (3, 0, 3000), (3, 1, 1), (7, 0, 4096), (8, 0, 4095), (9, 2, 65536)):
+        values = np.sort(np.unique(np.append(rng.choice(65536, size, replace=False), [3] * (size == 10))))
+        want.setdefault((node, bucket), set()).update(values.tolist())
+        bitmap = np.zeros(65536, bool)
+        bitmap[values] = True
+        rows.append((node, bucket, values.astype(">u2").tobytes() if size < 4096 else np.packbits(bitmap).tobytes()))
+    for _ in range(2):  # the result of a union can be united again
+        out = reach.united(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows]).to_pylist()
+        assert {(r["node"], r["bucket"]): r["n"] for r in out} == {k: len(v) for k, v in want.items()}
+        assert {r["node"]: r["own"] for r in out if r["bucket"] == 0} == {k[0]: k[0] in v for k, v in want.items() if k[1] == 0}
+        assert [len(r["bits"]) for r in out] == [8192, 2, 8192, 8190, 8192]
+        rows = sorted([(r["node"], r["bucket"], r["bits"]) for r in out] * 2)
