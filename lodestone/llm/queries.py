@@ -91,7 +91,7 @@ def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_mentions")
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), surrogates.session_key(spark)).select("doc_id", "text", "n_mentions")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ number of digits, country code, a valid check digit where there was one, gender
 
 Distinct entities get distinct surrogates, and no surrogate equals a detected entity: proposals are compared in
 rounds over the table of distinct entities; the smallest entity keeps a contested proposal, the others make the next one.
+Where a format is used up or nearly so (all two-letter addresses of a domain are in the corpus), what is left after ``ATTEMPTS``
+rounds, or after two that settle nothing, is exchanged: surrogates stay distinct and differ from the entity they stand for, but are entities of other texts.
 
 A mention is looked up per distinct text, so copies cost one lookup, and only texts with mentions are shuffled.
 Null text stays null, empty text empty. Repeated rows are treated alike; an empty table gives no rows. All other
@@ -15,14 +17,19 @@ columns are kept; their names do not matter, except that ``mentions_column`` is
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.rank import ranked
 from lodestone.llm.text import text_or_empty, unused
 from lodestone.session import cut_lineage
 
+ATTEMPTS = 32
+KEY_SETTING = "spark.lodestone.surrogates.key"
+
 # Titles by gender, first names by script and gender, surnames by script.
 TITLES = {"male": ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "господин"],
           "female": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "госпожа"]}
@@ -165,22 +172,61 @@ def proposal(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
         kind.endswith("cyrillic"), name("cyrillic")).otherwise(name("latin"))
 
 
-def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (kind, entity). Every round settles at least one entity per contested proposal."""
+def shape(kind: Column, entity: Column) -> Column:
+    """What a surrogate keeps of an entity: the fixed part, the class of every other character, and whether a check digit is right."""
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(entity, "[0-9]", "0"), r"\p{Lu}", "A"), r"\p{IsCyrillic}", "я"), r"\p{Ll}", "a")
+    fixed = (F.when(kind == "email", F.substring_index(entity, ".", -1))
+             .when(kind == "phone", F.substring(entity, F.lit(1), F.greatest(F.length(entity) - 10, F.lit(0))))
+             .when(kind == "iban", F.substring(entity, F.lit(1), F.lit(2)))
+             .when(kind == "secret", F.concat(F.regexp_extract(entity, "^(?:AKIA|ghp_|sk-)", 0), entity.rlike("^[0-9a-f]+$").cast("string")))
+             .when(kind == "card", (_luhn(entity) == 0).cast("string")).otherwise(""))
+    # Names and addresses of machines take any surrogate of their kind.
+    return F.when(kind.startswith("name") | (kind == "ip"), "").otherwise(F.concat(fixed, F.lit(" "), classes))
+
+
+def assign(entities: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
+    """(kind, entity, surrogate) for distinct (kind, entity): rounds of proposals, then the exchange of what is left."""
     family = F.substring_index("kind", " ", 1)
     entities = cut_lineage(entities.select("kind", "entity").distinct())
     real = entities.select(family.alias("family"), F.lower("entity").alias("taken")).distinct()
-    todo, settled = entities.withColumn("attempt", F.lit(0)), None
-    while True:
+    todo, settled, idle = entities.withColumn("attempt", F.lit(0)), [], 0
+    for _ in range(attempts):
         made = cut_lineage(todo.withColumn("surrogate", proposal(F.col("kind"), F.col("entity"), F.col("attempt"), key)).withColumn("family", family).withColumn(
             "taken", F.lower("surrogate")))
-        used = real if settled is None else real.unionByName(settled.select(family.alias("family"), F.lower("surrogate").alias("taken")))
+        used = reduce(DataFrame.unionByName, [real, *[s.select(family.alias("family"), F.lower("surrogate").alias("taken")) for s in settled]])
         free = made.join(used, ["family", "taken"], "left_anti")
-        keeps = free.groupBy("family", "taken").agg(F.min(F.struct("kind", "entity", "surrogate")).alias("w")).select("w.*")
-        settled = cut_lineage(keeps if settled is None else settled.unionByName(keeps))
-        todo = made.join(settled, ["kind", "entity"], "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
+        settled.append(cut_lineage(free.groupBy("family", "taken").agg(F.min(F.struct("kind", "entity", "surrogate")).alias("w")).select("w.*")))
+        todo = cut_lineage(made.join(settled[-1], ["kind", "entity"], "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
         if todo.isEmpty():
-            return settled
+            return reduce(DataFrame.unionByName, settled)
+        idle = idle + 1 if settled[-1].isEmpty() else 0
+        if idle == 2:
+            break
+    return exchange(todo, reduce(DataFrame.unionByName, settled), key)
+
+
+def exchange(left: DataFrame, settled: DataFrame, key: str) -> DataFrame:
+    """Surrogates where a format is used up: the entities left over in a shape pass their own values on, in a keyed order, in a circle.
+
+    No surrogate is taken twice, as a settled one is no entity, and none is the entity it stands for. One that is alone in its shape
+    changes places with a settled entity: it takes that one's surrogate and lends its own value. Where there is none either, the
+    last proposal stands.
+    """
+    form = shape(F.col("kind"), F.col("entity")).alias("shape")
+    placed = cut_lineage(ranked(left.select("kind", "entity", form), ["kind", "shape"], [F.xxhash64(F.lit(key), F.col("entity")), F.col("entity")], "place"))
+    sizes = placed.groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"))
+    sized = placed.join(sizes, ["kind", "shape"])
+    circle = (sized.where("n > 1").withColumn("place", (F.col("place") + 1) % F.col("n"))
+              .join(placed.withColumnRenamed("entity", "surrogate"), ["kind", "shape", "place"]).select("kind", "entity", "surrogate"))
+    lone = sized.where("n = 1").select("kind", "shape", "entity")
+    partners = settled.select("kind", form, F.struct("entity", "surrogate").alias("p")).join(lone.select("kind", "shape"), ["kind", "shape"], "left_semi").groupBy(
+        "kind", "shape").agg(F.min("p").alias("p"))
+    swaps = cut_lineage(lone.join(partners, ["kind", "shape"], "left"))
+    last = proposal(F.col("kind"), F.col("entity"), F.lit(ATTEMPTS), key)
+    taken = swaps.select("kind", "entity", F.coalesce("p.surrogate", last).alias("surrogate"))
+    lent = swaps.where("p IS NOT NULL").select("kind", F.col("p.entity").alias("entity"), F.col("entity").alias("surrogate"))
+    kept = settled.join(lent, ["kind", "entity"], "left_anti").select("kind", "entity", "surrogate")
+    return reduce(DataFrame.unionByName, [kept, circle, taken, lent])
 
 
 def _render(mention: Column, surrogate: Column) -> Column:
@@ -192,8 +238,20 @@ def _render(mention: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind.isin("email", "name"), cased).otherwise(surrogate)
 
 
-def pseudonymise(docs: DataFrame, key: str = "surrogate-key", text_column: str = "text", mentions_column: str = "n_mentions") -> DataFrame:
-    """``docs`` with surrogates in the text column and the number of replaced mentions in ``mentions_column``."""
+def session_key(spark: SparkSession) -> str:
+    """The key in the session setting ``spark.lodestone.surrogates.key``; where unset, a random one that lasts as long as the session."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_column: str = "text", mentions_column: str = "n_mentions") -> DataFrame:
+    """``docs`` with surrogates in the text column and the number of replaced mentions in ``mentions_column``.
+
+    Who knows ``key`` can try entities against surrogates, so it is the caller's to keep; ``session_key`` reads or makes one.
+    """
+    if not key:
+        raise ValueError("surrogates need a key")
     text = text_or_empty(text_column)
     likely = text.rlike(HINT)
     h1, h2, payload, further = (unused(docs, n) for n in ("hash_1", "hash_2", "surrogates", "further"))

@@ -26,7 +26,7 @@ def test_stages_in_their_order(spark, documents):
     assert leaked and set(ids[2]) == set(ids[1]) - leaked
     assert sorted(ids[3]) == sorted(ids[2])
     assert kept[3].where(F.col("n_chars") != F.length("text")).count() == 0
-    assert surrogates.pseudonymise(kept[2]).where("n_mentions > 0").count() > 0
+    assert surrogates.pseudonymise(kept[2], "key").where("n_mentions > 0").count() > 0
     pieces = kept[4].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert sorted(r.doc_id for r in pieces) == sorted(ids[3]) and all(r.n == r.t for r in pieces)
 

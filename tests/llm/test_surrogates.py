@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import queries, surrogates
@@ -17,9 +18,9 @@ def luhn(digits):
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
 
 
-def run(spark, texts, **more):
+def run(spark, texts, key="key", **more):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    return {r.doc_id: r for r in surrogates.pseudonymise(docs, **more).collect()}
+    return {r.doc_id: r for r in surrogates.pseudonymise(docs, key, **more).collect()}
 
 
 def test_format_type_and_coreference(spark):
@@ -79,6 +80,31 @@ def test_distinct_entities_stay_distinct(spark):
     assert len(made) == 3000 == len({r.surrogate for r in made}) and not {r.surrogate for r in made} & {r.entity for r in made}
 
 
+def test_a_format_that_is_used_up(spark):
+    """All 26 x 26 addresses of one form, as entities and in texts; one address of another form alone; one digit left of a hundred."""
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = run(spark, {k: f"mail {m} now" for k, m in enumerate(mails)} | {1000: f"again {mails[5]}"})
+    shown = [got[k].text[5:-4] for k in range(676)]
+    assert sorted(shown) == mails and all(a != b for a, b in zip(shown, mails)) and got[1000].text == f"again {shown[5]}"
+    few = [("ssn", f"{i:02d}") for i in range(100)] + [("ssn", "7"), ("phone", "12345")]
+    made = {r.entity: r.surrogate for r in surrogates.assign(spark.createDataFrame(few, "kind string, entity string"), "k", attempts=2).collect()}
+    assert sorted(v for k, v in made.items() if len(k) == 2) == [f"{i:02d}" for i in range(100)] and all(k != v for k, v in made.items())
+    assert len(set(made.values())) == 102
+
+
+def test_one_left_over_changes_places(spark):
+    left = spark.createDataFrame([("ssn", "11")], "kind string, entity string")
+    settled = spark.createDataFrame([("ssn", "22", "90"), ("ssn", "33", "91"), ("ssn", "444", "555")], "kind string, entity string, surrogate string")
+    got = sorted((r.entity, r.surrogate) for r in surrogates.exchange(left, settled, "k").collect())
+    assert got == [("11", "90"), ("22", "11"), ("33", "91"), ("444", "555")]
+
+
+def test_a_key_is_needed(spark, nothing):
+    with pytest.raises(ValueError):
+        surrogates.pseudonymise(nothing, "")
+    assert surrogates.session_key(spark) == surrogates.session_key(spark)
+
+
 PRIVATE = r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|(?<![\d.])\d{16}(?!\d)|\b[0-9a-f]{40}\b|(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])"
 
 
@@ -104,7 +130,7 @@ def test_query_leaves_no_private_data_and_nothing_else_changed(spark, documents)
 
 
 def test_corner_cases(corner, nothing):
-    out = surrogates.pseudonymise(corner)
+    out = surrogates.pseudonymise(corner, "key")
     assert out.count() == corner.count() and out.columns == [*corner.columns, "n_mentions"]
     assert sorted((r.text or "") for r in out.collect()) == sorted((r.text or "") for r in corner.collect())
-    assert surrogates.pseudonymise(nothing).count() == 0
+    assert surrogates.pseudonymise(nothing, "key").count() == 0
