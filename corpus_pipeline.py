@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; the number of characters follows the text."""
-    replaced = surrogates.pseudonymise(docs, mentions_column="_mentions").drop("_mentions")
+    replaced = surrogates.pseudonymise(docs, surrogates.session_key(spark), mentions_column="_mentions").drop("_mentions")
     return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else replaced
 
 
