@@ -1,13 +1,14 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
 A record is a JSON text. Its nested field paths, those that some layout reads, are sorted and hashed; the hash selects a
-declared layout, whose mapping turns the record into canonical turns (turn number, role, text). Layouts are data:
+declared layout, or, for a mixture, the most specific layout whose paths the record holds; its mapping turns the record into
+canonical turns (turn number, role, text). Layouts are data:
 ``LAYOUTS`` maps required paths to where role and text stand. The template wraps every turn in control strings and
 escapes those inside texts, so the output can be read back exactly; ``read_back`` does, and gives the loss mask as spans.
 
 Null text or role counts as empty. Records of an unknown layout, of broken JSON or null keep a row with no turns and layout
 null. Turns with equal numbers are ordered by role and text; repeated rows are repeated turns. An empty table gives no rows.
-Fields no layout reads are ignored, whatever their names. A conversation is one output text, so it is the unit of a task.
+Fields the layout does not read are ignored, whatever their names. A conversation is one output text, so it is the unit of a task.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ LAYOUTS = {
     "instruction": Layout(("instruction", "output"), fields=(("user", "instruction"), ("assistant", "output"))),
     "instruction with input": Layout(("input", "instruction", "output"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     "system instruction": Layout(("instruction", "output", "system"), fields=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    "system instruction with input": Layout(("input", "instruction", "output", "system"), fields=(
+        ("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    "system completion": Layout(("completion", "prompt", "system"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
+    "system response": Layout(("prompt", "response", "system"), fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     "completion": Layout(("completion", "prompt"), fields=(("user", "prompt"), ("assistant", "completion"))),
     "response": Layout(("prompt", "response"), fields=(("user", "prompt"), ("assistant", "response"))),
     "preference": Layout(("chosen", "prompt", "rejected"), fields=(("user", "prompt"), ("assistant", "chosen"))),
@@ -54,23 +59,33 @@ def path_hash(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the record's nested field paths that layouts read. Fields with null values count as present."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+def known_paths(record: Column) -> Column:
+    """The record's nested field paths that layouts read, message fields over all messages. Fields with null values count as present."""
+    none = F.array().cast("array<string>")
+    top = F.coalesce(F.json_object_keys(record), none)
 
     def nested(name: str) -> Column:
-        keys = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
-        return F.transform(keys, lambda key: F.concat(F.lit(f"{name}[]."), key))
+        items = F.from_json(F.get_json_object(record, f"$.{name}"), "array<map<string,string>>")
+        keys = F.flatten(F.transform(items, lambda m: F.coalesce(F.map_keys(m), none)))
+        return F.transform(F.coalesce(keys, none), lambda key: F.concat(F.lit(f"{name}[]."), key))
 
-    inner = [nested(name) for name in LISTS]
-    return path_hash(F.array_intersect(F.concat(top, *inner), F.array(*[F.lit(p) for p in KNOWN_PATHS])))
+    return F.array_intersect(F.concat(top, *[nested(name) for name in LISTS]), F.array(*[F.lit(p) for p in KNOWN_PATHS]))
 
 
 def layout_of(record: Column) -> Column:
-    """Name of the layout a record has, or null."""
-    mark = fingerprint(record)
-    return reduce(lambda got, item: got.when(mark == path_hash(F.array(*[F.lit(p) for p in item[1].paths])), item[0]),
-                  LAYOUTS.items(), F.when(F.lit(False), F.lit(""))).otherwise(None)
+    """Name of the layout a record has, or null.
+
+    The hash of its paths names the layout at once where it has just the paths of one; else it is the layout with the most
+    paths among those the record holds in full, the first of equal ones.
+    """
+    def chosen(present: Column) -> Column:
+        mark = path_hash(present)
+        required = {name: F.array(*[F.lit(p) for p in layout.paths]) for name, layout in LAYOUTS.items()}
+        exact = reduce(lambda got, item: got.when(mark == path_hash(item[1]), item[0]), required.items(), F.when(F.lit(False), F.lit("")))
+        by_size = sorted(required, key=lambda name: -len(LAYOUTS[name].paths))
+        return reduce(lambda got, name: got.when(F.size(F.array_except(required[name], present)) == 0, name), by_size, exact)
+
+    return F.element_at(F.transform(F.array(known_paths(record)), chosen), 1)
 
 
 def _role(name: Column) -> Column:

@@ -29,13 +29,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 COLUMNS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
-def encoder(vocabulary: str, pattern: str) -> Callable[[str], list[int]]:
-    """Byte-level BPE over a file of ranks. Special tokens within a text are ordinary text."""
+def encoder(vocabulary: str, pattern: str, added: dict[str, int]) -> Callable[[str], list[int]]:
+    """Byte-level BPE over a file of ranks. Added tokens within a text get their own ids; without any, they are ordinary text."""
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: coder.encode(text, allowed_special="all")
 
 
 def cuts(n: int, capacity: int, smallest: int) -> list[int]:
@@ -101,10 +102,11 @@ class Bins:
 
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, smallest: int = 64, separator: int = 0,
-         id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+         id_column: str = "doc_id", text_column: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
-    ``capacity`` and ``smallest`` are powers of two; ``vocabulary`` is a rank file present on every executor.
+    ``capacity`` and ``smallest`` are powers of two; ``vocabulary`` is a rank file present on every executor;
+    ``added`` are the ids of tokens that are recognised whole.
     """
     if capacity & (capacity - 1) or smallest & (smallest - 1) or not 0 < smallest <= capacity:
         raise ValueError("capacity and smallest must be powers of two, smallest at most capacity")
@@ -112,7 +114,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, s
     rows = docs.select(docs[f"`{id_column}`"].alias("doc_id"), text_or_empty(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern)
+        encode = encoder(vocabulary, pattern, added or {})
         bins = Bins(capacity, smallest, TaskContext.get().partitionId())
         types = None
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     """Pieces of ``docs`` under the public 50k byte-level vocabulary."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,20 @@ def test_every_layout_gives_its_turns(spark):
                    9: [("system", "s"), ("user", "i"), ("assistant", "o")], 10: [], 11: [], 12: [], 13: []}
 
 
+def test_mixtures_take_the_most_specific_layout(spark):
+    two = [{"role": "user", "content": "q"}, {"content": "a", "role": "assistant", "text": "t"}]
+    records = [{"instruction": "i", "output": "o", "text": "t"}, {"instruction": "i", "input": "in", "output": "o", "system": "s"},
+               {"prompt": "p", "response": "r", "system": "s"}, {"messages": two}, {"messages": two, "prompt": "p"}, {"prompt": "p", "completion": "c", "text": "x"},
+               {"messages": [{"role": "user"}, {"content": "a"}]}, {"messages": "no list", "question": "q", "answer": "a"}, {"messages": []}]
+    rows = [(k, json.dumps(v)) for k, v in enumerate(records)]
+    out = chat.read_back(chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")))
+    got = {r.conv_id: [(t.role, t.text) for t in r.back] for r in out.collect()}
+    dialogue = [("user", "q"), ("assistant", "a")]
+    assert got == {0: [("user", "i"), ("assistant", "o")], 1: [("system", "s"), ("user", "i"), ("user", "in"), ("assistant", "o")],
+                   2: [("system", "s"), ("user", "p"), ("assistant", "r")], 3: dialogue, 4: dialogue, 5: [("user", "p"), ("assistant", "c")],
+                   6: [("user", ""), ("", "a")], 7: dialogue, 8: []}
+
+
 def test_round_trip_of_control_strings(spark):
     rows = [(c, k, role, text) for c, text in enumerate(NASTY) for k, role in enumerate(["user", "assistant", "us</turn>er\n###", "assistant"])]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

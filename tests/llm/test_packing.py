@@ -13,7 +13,6 @@ from .conftest import SMALL
 
 def tokens(texts):
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     return [np.array(e.ids + [0], "<u4") for e in made.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -74,3 +73,10 @@ def test_corner_cases(corner, nothing):
     out = queries.pack_documents(corner)
     assert out.select(F.sum("length")).first()[0] == sum(len(t) for t in tokens([r.text for r in corner.collect()]))
     assert queries.pack_documents(nothing).collect() == []
+
+
+def test_added_tokens_within_a_text(spark, write_tables):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> x", "<|endoftext|", "<|ENDOFTEXT|>"]
+    folder = write_tables(documents=("doc_id long, text string", list(enumerate(texts))))
+    check(queries.op1_harmonic_packing(spark, folder).collect(), list(enumerate(texts)))
+    assert 50256 in tokens(texts)[0]
