@@ -357,17 +357,33 @@ def cyclic_core(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return core
 
 
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """Confirmed edges of the relationships cycles are made of, one row per pair, without loops."""
+    confirmed = edges.where(F.col("relationship").isin(vocab.CYCLE_RELATIONSHIPS)
+                            & F.col("resolution").isin(vocab.CONFIRMED)
+                            & (F.col("source_id") != F.col("target_id")))
+    return confirmed.groupBy(*KEYS, "source_id", "target_id").agg(F.collect_set("relationship").alias("_types"))
+
+
+def _described_cycles(closed: DataFrame) -> DataFrame:
+    path = F.array_join("members", "->")
+    arrows = F.array_join(F.concat("members", F.array(F.element_at("members", 1))), " -> ")
+    size = F.size("members")
+    return closed.select(
+        *KEYS, F.concat(F.lit("cycle:"), path).alias("cycle_id"), "members",
+        F.array_sort("types").alias("relationship_types"),
+        F.when(size == 2, "medium").otherwise("high").alias("severity"),
+        F.concat(F.lit("Circular dependency involving "), size.cast("string"), F.lit(" components: "), arrows)
+        .alias("description"))
+
+
 def cycles(edges: DataFrame, max_length: int | None = 5) -> DataFrame:
     """Elementary cycles of at least two nodes, each once, its smallest node first.
 
     Paths grow only through nodes greater than their start, so a cycle is found exactly once, in
     canonical rotation. ``max_length=None`` searches until no path can grow.
     """
-    confirmed = edges.where(F.col("relationship").isin(vocab.CYCLE_RELATIONSHIPS)
-                            & F.col("resolution").isin(vocab.CONFIRMED)
-                            & (F.col("source_id") != F.col("target_id")))
-    typed = confirmed.groupBy(*KEYS, "source_id", "target_id").agg(F.collect_set("relationship").alias("_types"))
-    core = cyclic_core(cut_lineage(typed))
+    core = cyclic_core(cut_lineage(cycle_edges(edges)))
     links = core.select(*KEYS, F.col("source_id").alias("end"), F.col("target_id").alias("_next"), "_types")
     level = core.where(F.col("source_id") < F.col("target_id")).select(
         *KEYS, F.col("source_id").alias("start"), F.col("target_id").alias("end"),
@@ -387,15 +403,50 @@ def cycles(edges: DataFrame, max_length: int | None = 5) -> DataFrame:
             "members", F.concat("members", F.array("end")))
         if (max_length is not None and length > max_length) or level.isEmpty():
             break
-    path = F.array_join("members", "->")
-    arrows = F.array_join(F.concat("members", F.array(F.element_at("members", 1))), " -> ")
-    size = F.size("members")
-    return _unite(closed).select(
-        *KEYS, F.concat(F.lit("cycle:"), path).alias("cycle_id"), "members",
-        F.array_sort("types").alias("relationship_types"),
-        F.when(size == 2, "medium").otherwise("high").alias("severity"),
-        F.concat(F.lit("Circular dependency involving "), size.cast("string"), F.lit(" components: "), arrows)
-        .alias("description"))
+    return _described_cycles(_unite(closed))
+
+
+def closing_cycles(edges: DataFrame) -> DataFrame:
+    """One shortest cycle for every closing edge, of whatever length: cycles without an enumeration of all.
+
+    Every cycle has a smallest node, and an edge that comes back to it from a greater one. For each
+    such edge the result holds the shortest cycle it closes among the nodes from its target up;
+    of equally short ones the first in the order of their nodes. Each cycle appears once, its
+    smallest node first. Every cycle of the graph has its closing edge among the rows, so a graph
+    has rows exactly where it has cycles.
+
+    Strongly connected components are found first, and only edges inside one are followed: a
+    breadth-first search per target of a closing edge, all of them level by level in one plan, one path per
+    (start, node). The work is bounded by starts times edges of their component.
+    """
+    typed = cut_lineage(cycle_edges(edges))
+    nodes, numbers = reach.numbered(typed)
+    members = cut_lineage(nodes.join(reach.components(numbers), "node").select(*KEYS, "id", "component"))
+    inside = cut_lineage(
+        typed.join(members.select(*KEYS, F.col("id").alias("source_id"), F.col("component").alias("_from")), ["source_id", *KEYS])
+        .join(members.select(*KEYS, F.col("id").alias("target_id"), F.col("component").alias("_to")), ["target_id", *KEYS])
+        .where("_from = _to").select(*KEYS, "source_id", "target_id", "_types"))
+    closing = inside.where(F.col("source_id") > F.col("target_id")).select(
+        *KEYS, F.col("target_id").alias("start"), F.col("source_id").alias("end"), "_types")
+    links = inside.select(*KEYS, F.col("source_id").alias("end"), F.col("target_id").alias("_next"), "_types")
+    level = cut_lineage(
+        inside.where(F.col("source_id") < F.col("target_id"))
+        .select(*KEYS, F.col("source_id").alias("start"), F.col("target_id").alias("end"),
+                F.array("source_id", "target_id").alias("members"), F.col("_types").alias("types"))
+        .join(closing.select(*KEYS, "start").distinct(), ["start", *KEYS], "left_semi"))
+    found = []
+    while not level.isEmpty():
+        found.append(level)
+        seen = _unite(found).select(*KEYS, "start", "end")
+        grown = (level.join(links, ["end", *KEYS]).where(F.col("_next") > F.col("start"))
+                 .select(*KEYS, "start", F.col("_next").alias("end"),
+                         F.struct(F.concat("members", F.array("_next")).alias("members"),
+                                  F.array_sort(F.array_union("types", "_types")).alias("types")).alias("path")))
+        level = cut_lineage(grown.join(seen, ["start", "end", *KEYS], "left_anti").groupBy(*KEYS, "start", "end")
+                            .agg(F.min("path").alias("path")).select(*KEYS, "start", "end", "path.members", "path.types"))
+    paths = _unite(found) if found else level
+    closed = paths.join(closing, ["start", "end", *KEYS]).select(*KEYS, "members", F.array_union("types", "_types").alias("types"))
+    return _described_cycles(closed)
 
 
 def closed_trails(edges: DataFrame, max_length: int = 5) -> DataFrame:

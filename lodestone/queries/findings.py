@@ -341,7 +341,7 @@ def _regressions(spark: SparkSession, sf: str) -> DataFrame:
     facts = _status_facts(spark, sf)
     pair = W.status_pair(spark)
     frames = {
-        "cycles": GR.cycles(edges, max_length=3),
+        "cycles": GR.closing_cycles(edges),
         "violations": A.layer_violations(facts, edges),
         "hotspots": A.hotspot_degrees(facts, edges).withColumnRenamed("id", "qualified_name"),
         "orphans": A.orphans(facts, edges),
@@ -358,8 +358,9 @@ def regressions(spark: SparkSession, sf: str) -> DataFrame:
 def _status(snap: str, name: str) -> str:
     return f"""{name}e AS (SELECT source_id, relationship, target_id, min(rnk) AS rnk FROM edges WHERE snapshot_id = '{snap}' GROUP BY 1, 2, 3),
  {name}c AS (SELECT DISTINCT source_id AS s, target_id AS t FROM {name}e WHERE relationship IN ('CALLS', 'DEPENDS_ON', 'IMPORTS') AND rnk < 2 AND source_id <> target_id),
- {name}cy AS (SELECT concat('cycle:', a.s, '->', a.t) AS cid, a.s AS m, concat(a.s, ' -> ', a.t, ' -> ', a.s) AS p, 'medium' AS sev FROM {name}c a JOIN {name}c b ON a.t = b.s AND b.t = a.s WHERE a.s < a.t
-   UNION ALL SELECT concat('cycle:', a.s, '->', a.t, '->', b.t), a.s, concat(a.s, ' -> ', a.t, ' -> ', b.t, ' -> ', a.s), 'high' FROM {name}c a JOIN {name}c b ON a.t = b.s JOIN {name}c c ON b.t = c.s AND c.t = a.s WHERE a.s < a.t AND a.s < b.t),
+ {name}l AS (SELECT *, CAST([] AS VARCHAR[]) AS types FROM {name}c), {S.closing_paths(name + 'p', name + 'l')},
+ {name}cy AS (SELECT concat('cycle:', array_to_string(members, '->')) AS cid, members[1] AS m, concat(array_to_string(members, ' -> '), ' -> ', members[1]) AS p,
+   CASE WHEN len(members) = 2 THEN 'medium' ELSE 'high' END AS sev FROM {name}p p JOIN {name}c c ON c.s = p.node AND c.t = p.start),
  {name}h AS (SELECT DISTINCT source_id AS s, target_id AS t FROM {name}e WHERE relationship IN ('CALLS', 'DEPENDS_ON', 'REQUESTS', 'IMPORTS') AND rnk < 2 AND source_id <> target_id),
  {name}fi AS (SELECT t AS q, count(*) AS n FROM {name}h GROUP BY 1), {name}fo AS (SELECT s AS q, count(*) AS n FROM {name}h GROUP BY 1),
  {name}d AS (SELECT qualified_name AS q, coalesce(fi.n, 0) AS fi, coalesce(fo.n, 0) AS fo FROM facts LEFT JOIN {name}fi fi ON fi.q = qualified_name LEFT JOIN {name}fo fo ON fo.q = qualified_name),
@@ -383,23 +384,35 @@ _REGRESSIONS = f"""{S.EDGES}, {_FACTS}, {_status('F', 'b')}, {_status('O', 't')}
  UNION ALL SELECT 'resolution_regression', concat('resolution_regression:', t.source_id, '->', t.relationship, '->', t.target_id), 'medium', t.source_id,
    concat('Resolution confidence of relationship ''', t.source_id, '->', t.relationship, '->', t.target_id, ''' degraded from ''exact'' to ''', {_LABEL.format('t.rnk')}, '''.') FROM te t JOIN be b ON b.source_id = t.source_id AND b.relationship = t.relationship AND b.target_id = t.target_id WHERE b.rnk = 0 AND t.rnk > 0)"""
 _REGRESSIONS = _REGRESSIONS.replace("FROM tob WHERE", 'FROM "to" WHERE').replace("\n to AS", '\n "to" AS')
-REGRESSIONS = f"WITH {_REGRESSIONS} SELECT * FROM reg"
+REGRESSIONS = f"WITH RECURSIVE {_REGRESSIONS} SELECT * FROM reg"
 
 
 def change_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk of the order windows, with the module graph's regressions of all six kinds counted to the same comparison."""
     entities, rels = _entity_diff(spark, sf), _relationship_diff(spark, sf)
-    found = E.dependency_growth(rels, 1).unionByName(E.resolution_regressions(rels))
+    columns = [*E.PAIR, "regression_type"]
+    graph = _regressions(spark, sf).select("repository_id", "regression_type").join(window_pair(spark), "repository_id")
+    found = (E.dependency_growth(rels, 1).select(*columns).unionByName(E.resolution_regressions(rels).select(*columns))
+             .unionByName(graph.select(*columns)))
     return E.change_risk(entities, rels, found).select(
         "risk_level", "score", F.array_join("reasons", "|").alias("reasons"))
 
 
-CHANGE_RISK = f"""WITH {_WINDOWED}, g AS (SELECT source_id, count(*) FILTER (in_b) AS o, count(*) FILTER (in_t) AS n FROM rd WHERE relationship IN ('DEPENDS_ON', 'CALLS') GROUP BY 1),
- k AS (SELECT (SELECT count(*) FROM g WHERE n - o >= 1 AND o > 0) AS growths, (SELECT count(*) FROM rd WHERE resolution_changed AND old_resolution = 'exact') AS degraded,
+CHANGE_RISK = f"""WITH RECURSIVE {_REGRESSIONS}, {_WINDOWED}, g AS (SELECT source_id, count(*) FILTER (in_b) AS o, count(*) FILTER (in_t) AS n FROM rd WHERE relationship IN ('DEPENDS_ON', 'CALLS') GROUP BY 1),
+ kinds AS (SELECT regression_type AS kind, count(*) AS n FROM reg GROUP BY 1),
+ k AS (SELECT (SELECT count(*) FROM g WHERE n - o >= 1 AND o > 0) + coalesce((SELECT n FROM kinds WHERE kind = 'dependency_growth'), 0) AS growths,
+  (SELECT count(*) FROM rd WHERE resolution_changed AND old_resolution = 'exact') + coalesce((SELECT n FROM kinds WHERE kind = 'resolution_regression'), 0) AS degraded,
+  coalesce((SELECT n FROM kinds WHERE kind = 'new_cycle'), 0) AS cycles, coalesce((SELECT n FROM kinds WHERE kind = 'new_architecture_violation'), 0) AS violations,
+  coalesce((SELECT n FROM kinds WHERE kind = 'hotspot_growth'), 0) AS hotspots,
   (SELECT count(*) FROM (SELECT target_id FROM rd WHERE in_b AND target_id IN (SELECT qualified_name FROM ed WHERE change_type = 'removed') GROUP BY 1 HAVING count(*) >= 2)) AS removed,
   (SELECT count(*) FROM ed WHERE change_type = 'modified' AND old_layer IS DISTINCT FROM new_layer) AS layers)
-SELECT CASE WHEN removed > 0 THEN 'high' WHEN growths + degraded + layers > 0 THEN 'medium' ELSE 'low' END AS risk_level,
- CAST(least(100, removed * 30 + CASE WHEN growths > 0 THEN 15 ELSE 0 END + CASE WHEN degraded > 0 THEN 15 ELSE 0 END + CASE WHEN layers > 0 THEN 10 ELSE 0 END) AS INT) AS score,
- concat_ws('|', CASE WHEN removed > 0 THEN concat('Removed ', removed, ' heavily depended-on component(s)') END,
+SELECT CASE WHEN cycles + violations + removed > 0 THEN 'high' WHEN hotspots + growths + degraded + layers > 0 THEN 'medium' ELSE 'low' END AS risk_level,
+ CAST(least(100, CASE WHEN cycles > 0 THEN 40 ELSE 0 END + CASE WHEN violations > 0 THEN 35 ELSE 0 END + removed * 30 + CASE WHEN hotspots > 0 THEN 20 ELSE 0 END
+  + CASE WHEN growths > 0 THEN 15 ELSE 0 END + CASE WHEN degraded > 0 THEN 15 ELSE 0 END + CASE WHEN layers > 0 THEN 10 ELSE 0 END) AS INT) AS score,
+ concat_ws('|', CASE WHEN cycles > 0 THEN concat('Introduced ', cycles, ' new circular dependency cycle(s)') END,
+  CASE WHEN violations > 0 THEN concat('Introduced ', violations, ' new architectural violation(s)') END,
+  CASE WHEN removed > 0 THEN concat('Removed ', removed, ' heavily depended-on component(s)') END,
+  CASE WHEN hotspots > 0 THEN concat('Materially increased coupling on ', hotspots, ' dependency hotspot(s)') END,
   CASE WHEN growths > 0 THEN concat('Significant dependency coupling growth in ', growths, ' component(s)') END,
   CASE WHEN degraded > 0 THEN concat('Resolution confidence degraded on ', degraded, ' architectural relationship(s)') END,
   CASE WHEN layers > 0 THEN concat('Architectural layer changed for ', layers, ' component(s)') END) AS reasons FROM k"""

@@ -64,3 +64,16 @@ TRADE = f"""bought AS (SELECT {ident('customer','o_custkey')} AS source_id, {ide
    UNION ALL SELECT {ident('nation','c_nationkey')}, {ident('customer','c_custkey')} FROM customer
    UNION ALL SELECT {ident('nation','s_nationkey')}, {ident('supplier','s_suppkey')} FROM supplier),
  members AS (SELECT a, m FROM contains UNION SELECT x.a, y.m FROM contains x JOIN contains y ON x.m = y.a)"""
+
+
+def closing_paths(name: str, links: str) -> str:
+    """Recursive part: the first shortest path (start, node, members, types) through nodes above its start.
+
+    ``links`` has s, t and the list ``types``; a path is wanted only where an edge can come back to its start.
+    """
+    return f"""{name}(start, node, members, types) USING KEY (start, node) AS (
+ SELECT s, t, [s, t], types FROM {links} WHERE s < t AND s IN (SELECT t FROM {links} WHERE s > t)
+ UNION SELECT start, node, best.members, best.types FROM (
+  SELECT g.start, l.t AS node, min(struct_pack(members := list_append(g.members, l.t), types := list_concat(g.types, l.types))) AS best
+  FROM {name} g JOIN {links} l ON l.s = g.node LEFT JOIN recurring.{name} k ON k.start = g.start AND k.node = l.t
+  WHERE l.t > g.start AND k.start IS NULL GROUP BY 1, 2))"""

@@ -46,7 +46,7 @@ TRADE_FOCUS = ("nation:3", "region:1", "supplier:4", "customer:11")
 
 def impact_members(spark: SparkSession, sf: str) -> DataFrame:
     """Impact through contained members: a nation reaches what its customers call."""
-    out = GR.impact(W.start_nodes(spark, *TRADE_FOCUS), W.trade_graph(spark, sf), "both", max_depth=1)
+    out = GR.impact(W.start_nodes(spark, *TRADE_FOCUS), W.trade_graph(spark, sf), "both")
     return out.select("start", "direction", "node", "distance", "category", "resolution")
 
 
@@ -66,7 +66,7 @@ IMPACT_MEMBERS = f"""WITH {_trade_impact()} SELECT start, direction, node, 1 AS
 
 def impact_containers(spark: SparkSession, sf: str) -> DataFrame:
     edges = W.trade_graph(spark, sf)
-    found = GR.impact(W.start_nodes(spark, *TRADE_FOCUS), edges, "both", max_depth=1)
+    found = GR.impact(W.start_nodes(spark, *TRADE_FOCUS), edges, "both")
     return GR.impact_containers(found, W.trade_nodes(spark, sf), edges).drop(*KEYS)
 
 
@@ -77,7 +77,7 @@ IMPACT_CONTAINERS = f"WITH {_trade_impact()}, {_KINDS} SELECT * FROM cont"
 
 def impact_summary(spark: SparkSession, sf: str) -> DataFrame:
     edges = W.trade_graph(spark, sf)
-    found = GR.impact(W.start_nodes(spark, *TRADE_FOCUS), edges, "both", max_depth=1)
+    found = GR.impact(W.start_nodes(spark, *TRADE_FOCUS), edges, "both")
     return GR.impact_summary(found, GR.impact_containers(found, W.trade_nodes(spark, sf), edges)).drop(*KEYS)
 
 
@@ -91,6 +91,26 @@ IMPACT_SUMMARY = f"""WITH {_trade_impact()}, {_KINDS} SELECT start,
 FROM imp GROUP BY start"""
 
 
+def impact_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Direct and indirect callers and callees of the focus entities over the whole schema graph, to the end."""
+    edges = W.schema_graph(spark, sf)
+    found = GR.cut_lineage(GR.impact(W.start_nodes(spark, *FOCUS), edges, "both"))
+    nodes = W.trade_nodes(spark, sf)
+    return GR.impact_summary(found, GR.impact_containers(found, nodes, edges)).drop(*KEYS)
+
+
+IMPACT_COUNTS = f"""WITH imp AS (SELECT 'upstream' AS direction, * FROM ({_bfs_sql("target_id", "source_id")})
+  UNION ALL SELECT 'downstream', * FROM ({_bfs_sql("source_id", "target_id")})),
+ own AS (SELECT DISTINCT start, node FROM imp WHERE category <> 'unresolved'),
+ aff AS (SELECT start, count(*) FILTER (node LIKE 'region:%') AS files, count(*) FILTER (node LIKE 'nation:%') AS classes FROM own GROUP BY 1)
+SELECT start, count(*) FILTER (direction = 'upstream' AND category = 'direct') AS direct_callers, count(*) FILTER (direction = 'upstream' AND category = 'indirect') AS indirect_callers,
+ count(*) FILTER (direction = 'downstream' AND category = 'direct') AS direct_callees, count(*) FILTER (direction = 'downstream' AND category = 'indirect') AS indirect_callees,
+ max(distance) AS actual_depth_reached, count(DISTINCT node) FILTER (category = 'unresolved') AS unresolved_references,
+ coalesce(any_value(files), 0) AS affected_files, CAST(0 AS BIGINT) AS affected_modules, coalesce(any_value(classes), 0) AS affected_classes, count(*) + 2 AS nodes_visited,
+ (count(*) FILTER (direction = 'upstream') + 1 >= 500) OR (count(*) FILTER (direction = 'downstream') + 1 >= 500) AS truncated
+FROM imp LEFT JOIN aff USING (start) GROUP BY start"""
+
+
 def _flat(paths: DataFrame, *extra: str) -> DataFrame:
     return paths.select("start", *extra, "end", "length", "confidence", F.array_join("nodes", ">").alias("path"))
 
@@ -100,8 +120,7 @@ def traverse_downstream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def traverse_upstream(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(GR.traverse(W.start_nodes(spark, "supplier:0", "nation:3"), W.schema_graph(spark, sf), "upstream",
-                             max_depth=2))
+    return _flat(GR.traverse(W.start_nodes(spark, "supplier:0", "nation:3"), W.schema_graph(spark, sf), "upstream"))
 
 
 def _paths_sql(starts: tuple, near: str, far: str, depth: int) -> str:
@@ -114,7 +133,7 @@ def _paths_sql(starts: tuple, near: str, far: str, depth: int) -> str:
 _SELECT_PATH = """SELECT start, "end", length, CASE WHEN w > 0 THEN 'inferred' ELSE 'exact' END AS confidence,
  path[2:length(path) - 1] AS path FROM p"""
 TRAVERSE_DOWN = f"WITH RECURSIVE {_paths_sql(('order:5', 'customer:11'), 'source_id', 'target_id', 5)} {_SELECT_PATH} WHERE length > 0"
-TRAVERSE_UP = f"WITH RECURSIVE {_paths_sql(('supplier:0', 'nation:3'), 'target_id', 'source_id', 2)} {_SELECT_PATH} WHERE length > 0"
+TRAVERSE_UP = f"WITH RECURSIVE {_paths_sql(('supplier:0', 'nation:3'), 'target_id', 'source_id', 9)} {_SELECT_PATH} WHERE length > 0"
 
 
 def dependency_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,11 +202,26 @@ SELECT s.id AS qualified_name, coalesce(k, 'Node') AS node_kind, fan_in, fan_out
 
 
 def cycles(spark: SparkSession, sf: str) -> DataFrame:
-    out = GR.cycles(W.module_edges(spark, sf), max_length=4)
+    """Cycles of any length: the shortest one for each closing edge."""
+    out = GR.closing_cycles(W.module_edges(spark, sf))
     return out.select("cycle_id", F.array_join("relationship_types", ",").alias("relationship_types"), "severity", "description")
 
 
 CYCLES = f"""WITH RECURSIVE {S.EDGES}, e AS (SELECT source_id AS s, target_id AS t, list_sort(list(DISTINCT relationship)) AS types FROM edges
+  WHERE relationship IN ('CALLS', 'DEPENDS_ON', 'IMPORTS') AND rnk < 2 AND source_id <> target_id GROUP BY 1, 2), {S.closing_paths('p', 'e')}
+SELECT concat('cycle:', array_to_string(members, '->')) AS cycle_id, array_to_string(list_sort(list_distinct(list_concat(p.types, e.types))), ',') AS relationship_types,
+ CASE WHEN len(members) = 2 THEN 'medium' ELSE 'high' END AS severity,
+ concat('Circular dependency involving ', len(members), ' components: ', array_to_string(members, ' -> '), ' -> ', members[1]) AS description
+FROM p JOIN e ON e.s = p.node AND e.t = p.start"""
+
+
+def elementary_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """All cycles of at most four modules: here the length asked for is the feature."""
+    out = GR.cycles(W.module_edges(spark, sf), max_length=4)
+    return out.select("cycle_id", F.array_join("relationship_types", ",").alias("relationship_types"), "severity", "description")
+
+
+ELEMENTARY_CYCLES = f"""WITH RECURSIVE {S.EDGES}, e AS (SELECT source_id AS s, target_id AS t, list_sort(list(DISTINCT relationship)) AS types FROM edges
   WHERE relationship IN ('CALLS', 'DEPENDS_ON', 'IMPORTS') AND rnk < 2 AND source_id <> target_id AND source_id IN (SELECT target_id FROM edges) GROUP BY 1, 2),
  p AS (SELECT s AS start, t AS e, [s, t] AS members, types, false AS done FROM e WHERE s < t
   UNION ALL SELECT p.start, e.t, CASE WHEN e.t = p.start THEN p.members ELSE list_append(p.members, e.t) END,
@@ -261,6 +295,7 @@ QUERIES = {
     "impact_members": (impact_members, IMPACT_MEMBERS),
     "impact_containers": (impact_containers, IMPACT_CONTAINERS),
     "impact_summary": (impact_summary, IMPACT_SUMMARY),
+    "impact_counts": (impact_counts, IMPACT_COUNTS),
     "callers": (callers, CALLERS),
     "traverse_downstream": (traverse_downstream, TRAVERSE_DOWN),
     "traverse_upstream": (traverse_upstream, TRAVERSE_UP),
@@ -270,6 +305,7 @@ QUERIES = {
     "transitive_dependents": (transitive_dependents, TRANSITIVE),
     "arch_hotspots": (arch_hotspots, ARCH_HOTSPOTS),
     "cycles": (cycles, CYCLES),
+    "elementary_cycles": (elementary_cycles, ELEMENTARY_CYCLES),
     "overview_subgraph": (overview_subgraph, OVERVIEW),
     "expand_node": (expand_node, EXPAND_NODE),
     "graph_context": (graph_context, GRAPH_CONTEXT),

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -108,6 +110,30 @@ def test_long_ring_without_length_bound(edge_frame):
     assert GR.cycles(edge_frame(*ring), max_length=None).first().description.startswith("Circular dependency involving 9 components")
 
 
+def test_closing_cycles_follow_rings_of_any_length(edge_frame):
+    ring = [f"n{i:02d} CALLS n{(i + 1) % 12:02d}" for i in range(12)]
+    both = edge_frame(*ring, "n03 IMPORTS n01", "n05 CALLS tail", "head CALLS n05").unionByName(
+        edge_frame("n03 CALLS n01", "a CALLS a", "a CALLS b unresolved", "b CALLS a", snapshot="s2"))
+    got = {(c.snapshot_id, tuple(c.members), tuple(c.relationship_types), c.severity) for c in GR.closing_cycles(both).collect()}
+    assert got == {("s1", tuple(f"n{i:02d}" for i in range(12)), ("CALLS",), "high"),
+                   ("s1", ("n01", "n02", "n03"), ("CALLS", "IMPORTS"), "high")}
+    assert GR.closing_cycles(edge_frame("A CALLS B", "B CALLS C")).count() == 0
+    assert GR.closing_cycles(both.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [7, 11])
+def test_closing_cycles_against_brute_force(edge_frame, seed):
+    pairs = [(a, b) for a, b in random_edges(seed) if a != b]
+    edges = edge_frame(*[f"v{a} IMPORTS v{b}" for a, b in pairs] * 2)
+    best = {}
+    for size in range(2, 10):
+        for walk in itertools.permutations(range(9), size):
+            if walk[0] == min(walk) and all(pair in pairs for pair in zip(walk, walk[1:] + walk[:1])):
+                best.setdefault((walk[-1], walk[0]), walk)  # shorter ones come first, then the order of nodes
+    assert sorted(tuple(c.members) for c in GR.closing_cycles(edges).collect()) == sorted(
+        tuple(f"v{x}" for x in walk) for walk in best.values())
+
+
 def random_edges(seed, nodes=9, count=22):
     rnd = random.Random(seed)
     pairs = [(a, b) for a in range(nodes) for b in range(nodes)]
