@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import vocab
 from lodestone.functions import columns as C
-from lodestone.operators import graph
+from lodestone.operators import graph, reach
 
 PAIR = [vocab.REPO, "baseline_snapshot_id", "target_snapshot_id"]
 COMPARED_FIELDS = ["architecture_role", "architecture_layer", "file_path"]
@@ -219,24 +219,24 @@ def regressions(relationships: DataFrame, baseline_arch: dict[str, DataFrame],
 
 
 def change_impact(entities: DataFrame, relationships: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Blast radius of every changed entity on the target edges, both directions, few hops."""
+    """Blast radius of every changed entity on the target edges, both directions, few hops.
+
+    What lies within reach is counted by compressed sets for all nodes at once; no table of (start, node) pairs arises.
+    """
     keyed = {c: PAIR[i] for i, c in enumerate(PAIR)}
     snap = F.concat_ws("\u0001", keyed["baseline_snapshot_id"], keyed["target_snapshot_id"]).alias(vocab.SNAP)
     # Both inputs are read several times below; the diffs behind them are not repeated.
     live = graph.cut_lineage(relationships.where("in_target").select(vocab.REPO, snap, "source_id", "target_id").distinct())
-    links = (live.select(*vocab.KEYS, F.col("source_id").alias("node"), F.col("target_id").alias("neighbour"))
-             .unionByName(live.select(*vocab.KEYS, F.col("target_id").alias("node"),
-                                      F.col("source_id").alias("neighbour"))).distinct())
     changed = graph.cut_lineage(entities.where(F.col("change_type") != "unchanged").select(*PAIR, "qualified_name", "change_type"))
-    starts = changed.select(vocab.REPO, snap, F.col("qualified_name").alias("start"))
-    pairs = graph.reachable_pairs(starts, graph.cut_lineage(links), max_depth)
-    reach = pairs.groupBy(*vocab.KEYS, "start").agg(F.count(F.lit(1)).alias("transitive_impacted"))
+    nodes, links = reach.numbered(live)
+    around = (nodes.join(reach.counts_within(links, max_depth), "node")
+              .select(*vocab.KEYS, F.col("id").alias("start"), F.col("n").alias("transitive_impacted")))
     into = live.groupBy(*vocab.KEYS, F.col("target_id").alias("start")).agg(F.count(F.lit(1)).alias("direct_dependents"))
     out = live.groupBy(*vocab.KEYS, F.col("source_id").alias("start")).agg(
         F.count(F.lit(1)).alias("direct_dependencies"))
     keys = ["start", *vocab.KEYS]
     joined = (changed.select(*PAIR, snap, F.col("qualified_name").alias("start"), "change_type")
-              .join(into, keys, "left").join(out, keys, "left").join(reach, keys, "left")
+              .join(into, keys, "left").join(out, keys, "left").join(around, keys, "left")
               .na.fill(0, ["direct_dependents", "direct_dependencies", "transitive_impacted"]))
     return joined.select(
         *PAIR, F.col("start").alias("changed_entity"), "change_type", "direct_dependents", "direct_dependencies",

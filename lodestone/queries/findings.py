@@ -234,14 +234,12 @@ def window_entities(spark: SparkSession, sf: str) -> DataFrame:
     return customers.unionByName(endpoints)
 
 
-def window_relationships(spark: SparkSession, sf: str, nations: bool = True) -> DataFrame:
+def window_relationships(spark: SparkSession, sf: str) -> DataFrame:
     repo = F.when(F.col("o_custkey").isNotNull(), W.REPOSITORY).alias("repository_id")
     status = F.when(F.col("o_orderstatus") == "F", "exact").when(F.col("o_orderstatus") == "O", "inferred").otherwise("unresolved")
     handled = _windowed_orders(spark, sf).select(
         repo, "snapshot_id", W.ident("endpoint:GET:/orders", "o_orderkey").alias("source_id"),
         F.lit("HANDLED_BY").alias("relationship"), W.ident("customer", "o_custkey").alias("target_id"), status.alias("resolution"))
-    if not nations:
-        return handled
     segment = W.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     level = F.when(F.col("n") >= 6, "exact").when(F.col("n") >= 4, "inferred").otherwise("unresolved")
     member = _customer_roles(spark, sf).join(segment, "o_custkey").select(
@@ -274,8 +272,8 @@ def _entity_diff(spark: SparkSession, sf: str) -> DataFrame:
     return E.entity_diff(*_two(window_entities(spark, sf), window_pair(spark)))
 
 
-def _relationship_diff(spark: SparkSession, sf: str, nations: bool = True) -> DataFrame:
-    return E.relationship_diff(*_two(window_relationships(spark, sf, nations), window_pair(spark)))
+def _relationship_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return E.relationship_diff(*_two(window_relationships(spark, sf), window_pair(spark)))
 
 
 def entity_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,17 +314,21 @@ UNION ALL SELECT concat(CASE WHEN better THEN 'resolution_improved:' ELSE 'resol
 
 
 def change_impact(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers with their orders: undirected reach of every changed entity, five hops."""
-    out = E.change_impact(_entity_diff(spark, sf), _relationship_diff(spark, sf, nations=False))
+    """Orders, customers and nations: undirected reach of every changed entity, five hops."""
+    out = E.change_impact(_entity_diff(spark, sf), _relationship_diff(spark, sf))
     return out.drop(*E.PAIR)
 
 
-CHANGE_IMPACT = f"""WITH {_WINDOWED}, live AS (SELECT source_id AS s, target_id AS t FROM rd WHERE in_t AND relationship = 'HANDLED_BY'),
- din AS (SELECT t AS q, count(*) AS n FROM live GROUP BY 1)
-SELECT qualified_name AS changed_entity, change_type, coalesce(din.n, 0) AS direct_dependents, CASE WHEN live.s IS NULL THEN 0 ELSE 1 END AS direct_dependencies,
- coalesce(din.n, own.n, 0) AS transitive_impacted, least(5, coalesce(din.n, own.n, 0)) AS impact_depth,
- coalesce(din.n, 0) + CASE WHEN live.s IS NULL THEN 0 ELSE 1 END + coalesce(din.n, own.n, 0) AS blast_radius_score
-FROM ed LEFT JOIN din ON din.q = qualified_name LEFT JOIN live ON live.s = qualified_name LEFT JOIN din own ON own.q = live.t WHERE change_type <> 'unchanged'"""
+# An order, its customer and their nation are at most four hops from any other of that nation, so five hops see all of it.
+CHANGE_IMPACT = f"""WITH {_WINDOWED}, live AS (SELECT DISTINCT source_id AS s, target_id AS t FROM rd WHERE in_t),
+ din AS (SELECT t AS q, count(*) AS n FROM live GROUP BY 1), dout AS (SELECT s AS q, count(*) AS n FROM live GROUP BY 1),
+ home AS (SELECT s AS q, t AS nation FROM live WHERE t LIKE 'nation:%' UNION ALL SELECT l.s, m.t FROM live l JOIN live m ON m.s = l.t),
+ sizes AS (SELECT nation, count(*) AS n FROM home GROUP BY 1)
+SELECT qualified_name AS changed_entity, change_type, coalesce(din.n, 0) AS direct_dependents, coalesce(dout.n, 0) AS direct_dependencies,
+ coalesce(sizes.n, 0) AS transitive_impacted, least(5, coalesce(sizes.n, 0)) AS impact_depth,
+ coalesce(din.n, 0) + coalesce(dout.n, 0) + coalesce(sizes.n, 0) AS blast_radius_score
+FROM ed LEFT JOIN din ON din.q = qualified_name LEFT JOIN dout ON dout.q = qualified_name LEFT JOIN home ON home.q = qualified_name
+ LEFT JOIN sizes USING (nation) WHERE change_type <> 'unchanged'"""
 
 
 # --------------------------------------------- module graph in two snapshots, F and O

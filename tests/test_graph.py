@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as GR
+from lodestone.operators import reach as RE
 from lodestone.operators import reach
 
 
@@ -241,3 +242,24 @@ def test_sets_turn_into_bitmaps():
         assert {r["node"]: r["own"] for r in out if r["bucket"] == 0} == {k[0]: k[0] in v for k, v in want.items() if k[1] == 0}
         assert [len(r["bits"]) for r in out] == [8192, 2, 8192, 8190, 8192]
         rows = sorted([(r["node"], r["bucket"], r["bits"]) for r in out] * 2)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+def test_nodes_within_hops_against_brute_force(spark, depth):
+    rnd = random.Random(depth)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(30)] + [(100, 101), (70000, 70001), (70001, 140000), (7, 7), (100, 101)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    expected = {}
+    for node in near:
+        seen = {node}
+        for _ in range(depth):
+            seen |= {y for x in seen for y in near[x]}
+        expected[node] = len(seen) - 1
+    links = spark.createDataFrame(pairs, "s long, t long")
+    rows = RE.counts_within(links, depth).collect()
+    assert len(rows) == len(expected) and {r.node: r.n for r in rows} == expected
+    assert RE.counts_within(links.limit(0), depth).count() == 0
