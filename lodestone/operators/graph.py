@@ -7,10 +7,10 @@ level, not the whole loop. Sizes are only read back as row counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import count
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,9 @@ from lodestone.session import cut_lineage
 
 KEYS = vocab.KEYS
 
+# Frontiers up to this many bytes go to every task; a larger one meets the edges by a shuffle.
+SMALL_FRONTIER = 8 << 20
+
 
 def distinct_edges(edges: DataFrame, relationships: list[str] | None = None,
                    confidences: list[str] | None = None, drop_loops: bool = True) -> DataFrame:
@@ -47,8 +50,34 @@ def _unite(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+# ----------------------------------------------------------------------------- frontiers
+
+def _frontier(level: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """Nodes of a written level and its number of rows; meant for broadcast only where their bytes were counted to be few."""
+    nodes = level.select(*KEYS, F.col(column).alias("node"))
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("node")), F.lit(0)).alias("b")).first()
+    return (F.broadcast(nodes) if size.b + 64 * size.n <= SMALL_FRONTIER else nodes.distinct()), size.n
+
+
+def _touching(edges: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
+    """Edges whose ``side`` end is one of ``nodes``: only these leave the scan where the nodes are few."""
+    return edges.join(nodes.withColumnRenamed("node", side), [side, *KEYS], "left_semi")
+
+
 # ------------------------------------------------------------------ impact (breadth first)
 
+def _members_of(contains: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(ancestor, member) pairs one or two CONTAINS hops below the given nodes; None where these contain nothing."""
+    one = cut_lineage(_touching(contains, nodes, "source_id").select(
+        *KEYS, F.col("source_id").alias("ancestor"), F.col("target_id").alias("member")))
+    below, found = _frontier(one, "member")
+    if not found:
+        return None
+    two = (_touching(contains, below, "source_id").select(*KEYS, F.col("source_id").alias("member"), "target_id")
+           .join(one, ["member", *KEYS]).select(*KEYS, "ancestor", F.col("target_id").alias("member")))
+    return cut_lineage(one.unionByName(two).distinct())
+
+
 def containment_pairs(contains: DataFrame) -> DataFrame:
     """(ancestor, member) pairs one or two CONTAINS hops apart."""
     one = contains.select(*KEYS, F.col("source_id").alias("ancestor"), F.col("target_id").alias("member"))
@@ -57,22 +86,23 @@ def containment_pairs(contains: DataFrame) -> DataFrame:
     return one.unionByName(two).distinct()
 
 
-def impact_neighbours(edges: DataFrame, direction: str) -> DataFrame:
-    """(node, neighbour, rank) for impact analysis: direct edges, and edges of contained members."""
+def impact_neighbours(edges: DataFrame, direction: str, nodes: DataFrame) -> DataFrame:
+    """(node, neighbour, rank) of the given nodes: their direct edges, and edges of what they contain."""
     near, far = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
     rank = C.confidence_rank(F.col("resolution")).alias("rank")
-    direct = (edges.where(F.col("relationship").isin(vocab.IMPACT_RELATIONSHIPS))
-              .select(*KEYS, F.col(near).alias("node"), F.col(far).alias("neighbour"), rank))
-    members = containment_pairs(edges.where(F.col("relationship") == "CONTAINS"))
-    lifted = (
-        edges.where(F.col("relationship").isin(vocab.MEMBER_IMPACT_RELATIONSHIPS))
-        .select(*KEYS, F.col(near).alias("member"), F.col(far).alias("neighbour"), rank)
-        .join(members, ["member", *KEYS])
-        .where((F.col("neighbour") != F.col("ancestor")) & (F.col("neighbour") != F.col("member")))
-        .select(*KEYS, F.col("ancestor").alias("node"), "neighbour", "rank")
-    )
+    found = (_touching(edges.where(F.col("relationship").isin(vocab.IMPACT_RELATIONSHIPS)), nodes, near)
+             .select(*KEYS, F.col(near).alias("node"), F.col(far).alias("neighbour"), rank))
+    members = _members_of(edges.where(F.col("relationship") == "CONTAINS"), nodes)
+    if members is not None:
+        inner, _ = _frontier(members, "member")
+        found = found.unionByName(
+            _touching(edges.where(F.col("relationship").isin(vocab.MEMBER_IMPACT_RELATIONSHIPS)), inner, near)
+            .select(*KEYS, F.col(near).alias("member"), F.col(far).alias("neighbour"), rank)
+            .join(members, ["member", *KEYS])
+            .where((F.col("neighbour") != F.col("ancestor")) & (F.col("neighbour") != F.col("member")))
+            .select(*KEYS, F.col("ancestor").alias("node"), "neighbour", "rank"))
     # The strongest of parallel edges is met first, so the weaker ones can never matter.
-    return direct.unionByName(lifted).groupBy(*KEYS, "node", "neighbour").agg(F.min("rank").alias("rank"))
+    return found.groupBy(*KEYS, "node", "neighbour").agg(F.min("rank").alias("rank"))
 
 
 def _depths(bound: int | None) -> Iterable[int]:
@@ -82,9 +112,10 @@ def _depths(bound: int | None) -> Iterable[int]:
     return count(1) if bound is None else range(1, bound + 1)
 
 
-def breadth_first(starts: DataFrame, neighbours: DataFrame, max_depth: int | None = None) -> DataFrame:
+def breadth_first(starts: DataFrame, neighbours: Callable[[DataFrame], DataFrame], max_depth: int | None = None) -> DataFrame:
     """First visit of every node reachable from each start.
 
+    ``neighbours`` gives (node, neighbour, rank) of the nodes it is handed: each level reads edges of its frontier only.
     ``trail`` lists (rank, node) per hop. Comparing trails compares queue positions level by
     level, so the smallest trail is the visit a queue would make first. A node first met through
     an unresolved edge is reported but not expanded. Returns ``start, node, distance, edge_rank,
@@ -97,8 +128,11 @@ def breadth_first(starts: DataFrame, neighbours: DataFrame, max_depth: int | Non
     visited = starts.select(*KEYS, "start", F.col("start").alias("node"))
     levels: list[DataFrame] = []
     for depth in _depths(max_depth):
+        nodes, found = _frontier(frontier, "node")
+        if not found:
+            break
         step = (
-            frontier.join(neighbours, ["node", *KEYS])
+            frontier.join(neighbours(nodes), ["node", *KEYS])
             .select(*KEYS, "start", F.col("neighbour").alias("node"), F.col("rank").alias("edge_rank"),
                     F.greatest("path_rank", "rank").alias("path_rank"),
                     F.concat("trail", F.array(F.struct(F.col("rank").cast("int").alias("rank"),
@@ -128,7 +162,7 @@ def impact(starts: DataFrame, edges: DataFrame, direction: str = "both", max_dep
     sides = ["upstream", "downstream"] if direction == "both" else [direction]
     found = []
     for side in sides:
-        visits = breadth_first(starts, cut_lineage(impact_neighbours(edges, side)), max_depth)
+        visits = breadth_first(starts, partial(impact_neighbours, edges, side), max_depth)
         category = (F.when(F.col("edge_rank") == 2, "unresolved")
                     .when(F.col("distance") == 1, "direct").otherwise("indirect"))
         found.append(visits.select(
@@ -221,9 +255,10 @@ def transitive_dependents(edges: DataFrame, targets: DataFrame | None = None) ->
 
 # --------------------------------------------------------------------------- simple paths
 
-def _path_edges(edges: DataFrame, relationships: list[str] | None, upstream: bool) -> DataFrame:
-    kept = edges if relationships is None else edges.where(F.col("relationship").isin(relationships))
+def _path_edges(edges: DataFrame, upstream: bool, nodes: DataFrame | None = None) -> DataFrame:
+    """Edges as steps from ``end`` to ``_next``, one per edge identity; those that leave ``nodes`` where given."""
     near, far = ("target_id", "source_id") if upstream else ("source_id", "target_id")
+    kept = edges if nodes is None else _touching(edges, nodes, near)
     return strongest_edges(kept).select(
         *KEYS, F.col(near).alias("end"), F.col(far).alias("_next"),
         F.struct(F.col("source_id").alias("source"), F.col("relationship").alias("relationship"),
@@ -257,32 +292,58 @@ def _finish(paths: DataFrame) -> DataFrame:
 def traverse(starts: DataFrame, edges: DataFrame, direction: str = "downstream",
              relationships: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """Every simple path (no repeated node) from each start, of at most ``max_depth`` edges where that is given."""
-    relationships = relationships or vocab.TRAVERSAL_RELATIONSHIPS
+    kept = edges.where(F.col("relationship").isin(relationships or vocab.TRAVERSAL_RELATIONSHIPS))
     sides = ["downstream", "upstream"] if direction == "both" else [direction]
     levels = []
     for side in sides:
-        links = cut_lineage(_path_edges(edges, relationships, side == "upstream"))
         level = _first_level(starts)
         for _ in _depths(max_depth):
-            level = cut_lineage(_extend(level, links))
-            if level.isEmpty():
+            nodes, found = _frontier(level, "end")
+            if not found:
                 break
+            level = cut_lineage(_extend(level, _path_edges(kept, side == "upstream", nodes)))
             levels.append(level.withColumn("direction", F.lit(side)))
     if not levels:
         return _finish(_first_level(starts).limit(0).withColumn("direction", F.lit(sides[0])))
     return _finish(_unite(levels))
 
 
+def edges_between(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Edges that may lie on a path from a start to a goal, found from both ends.
+
+    The end with fewer nodes at its frontier advances by one edge, until both together have gone ``max_depth`` edges, or one end has
+    nothing left. An edge of a path of that length is then out of a node the starts' end has opened, or into one the goals' end has.
+    """
+    frontier, size, opened, gone = {}, {}, {}, 0
+    for near, column in (("source_id", "start"), ("target_id", "goal")):
+        opened[near] = [cut_lineage(pairs.select(*KEYS, F.col(column).alias("node")).distinct())]
+        frontier[near], size[near] = _frontier(opened[near][0], "node")
+    met = []
+    while min(size.values()) > 0 and (max_depth is None or gone < max_depth):
+        near = min(size, key=size.get)
+        far = "target_id" if near == "source_id" else "source_id"
+        met.append(cut_lineage(strongest_edges(_touching(edges, frontier[near], near))))
+        reached = met[-1].select(*KEYS, F.col(far).alias("node")).distinct().join(
+            _unite(opened[near]), ["node", *KEYS], "left_anti")
+        opened[near].append(cut_lineage(reached))
+        frontier[near], size[near] = _frontier(opened[near][-1], "node")
+        gone += 1
+    return _unite(met) if met else strongest_edges(edges.limit(0))
+
+
 def find_paths(pairs: DataFrame, edges: DataFrame, relationships: list[str] | None = None,
                max_depth: int | None = None) -> DataFrame:
     """Every simple path between each (start, goal) pair; a path ends at its goal.
 
-    Partial paths are kept only while their end can still reach the goal within the remaining
-    hops, which a bounded backward search from the goals decides first.
+    Only edges met from both ends are searched. Partial paths are kept only while their end can still reach the goal within the
+    remaining hops, which a backward search over these edges decides first.
     """
-    links = cut_lineage(_path_edges(edges, relationships, upstream=False))
-    useful = _hops_to_goal(pairs, links, max_depth)
-    wanted = pairs.where(F.col("start") != F.col("goal")).select(*KEYS, "start", "goal").distinct()
+    if max_depth is not None and max_depth < 0:
+        raise ValueError("a depth cannot be below zero")
+    wanted = cut_lineage(pairs.where(F.col("start") != F.col("goal")).select(*KEYS, "start", "goal").distinct())
+    kept = edges if relationships is None else edges.where(F.col("relationship").isin(relationships))
+    links = cut_lineage(_path_edges(edges_between(wanted, kept, max_depth), upstream=False))
+    useful = _hops_to_goal(wanted, links, max_depth)
     open_paths = _first_level(wanted.select(*KEYS, "start").distinct()).join(wanted, ["start", *KEYS])
     hits = []
     for depth in _depths(max_depth):
@@ -326,16 +387,21 @@ def http_chains(starts: DataFrame, edges: DataFrame, max_depth: int | None = Non
     A chain needs at least two edges; a path cut off at ``max_depth`` or ending among visited
     nodes is not a chain.
     """
-    links = cut_lineage(_path_edges(edges, vocab.HTTP_CHAIN_RELATIONSHIPS, upstream=False))
-    sources = links.select(*KEYS, "end").distinct()
-    level = _first_level(starts)
-    chains = []
-    for depth in _depths(None if max_depth is None else max_depth - 1):
-        level = cut_lineage(_extend(level, links))
-        if level.isEmpty():
+    if max_depth is not None and max_depth < 1:
+        raise ValueError("a chain cannot be that short")
+    kept = edges.where(F.col("relationship").isin(vocab.HTTP_CHAIN_RELATIONSHIPS))
+    level, chains, depth = _first_level(starts), [], 0
+    while True:
+        nodes, found = _frontier(level, "end")
+        if not found:
             break
+        links = cut_lineage(_path_edges(kept, False, nodes))
         if depth >= 2:
-            chains.append(level.join(sources, ["end", *KEYS], "left_anti"))
+            chains.append(level.join(links.select(*KEYS, "end").distinct(), ["end", *KEYS], "left_anti"))
+        depth += 1
+        if depth == max_depth:
+            break
+        level = cut_lineage(_extend(level, links))
     if not chains:
         return _finish(_first_level(starts).limit(0))
     return _finish(_unite(chains))

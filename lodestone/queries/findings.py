@@ -514,6 +514,19 @@ ISSUE_PRESENCE = f"""WITH {_SKIPS} SELECT sn.y AS snapshot_id, k.issue_key, sn.a
  LEFT JOIN sk ON sk.y = sn.y AND sk.issue_key = k.issue_key"""
 
 
+def issue_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Years in a row in which a skip is present; a skip that comes back starts a run of its own."""
+    return X.issue_runs(ST.year_snapshots(spark, sf), _yearly_skips(spark, sf)).drop("repository_id")
+
+
+ISSUE_RUNS = f"""WITH {_SKIPS}, nu AS (SELECT y, row_number() OVER (ORDER BY analyzed_at, y) AS n, count(*) OVER () AS c FROM sn),
+ g AS (SELECT issue_key, y, n, c, n - row_number() OVER (PARTITION BY issue_key ORDER BY n) AS i FROM sk JOIN nu USING (y)),
+ r AS (SELECT issue_key, i, arg_min(y, n) AS first_snapshot_id, arg_max(y, n) AS last_snapshot_id, count(*) AS snapshots, max(n) = max(c) AS ongoing
+  FROM g GROUP BY 1, 2)
+SELECT issue_key, row_number() OVER (PARTITION BY issue_key ORDER BY i) AS run, first_snapshot_id, last_snapshot_id, snapshots,
+ i > min(i) OVER (PARTITION BY issue_key) AS reintroduced, ongoing FROM r"""
+
+
 def entity_history(spark: SparkSession, sf: str) -> DataFrame:
     return X.entity_history(_entity_diff(spark, sf), _relationship_diff(spark, sf), "customer:11").select("fact_type", "reason")
 
@@ -546,5 +559,6 @@ QUERIES = {
     "drift_moderate": (drift_moderate, DRIFT_MODERATE),
     "issue_origins": (issue_origins, ISSUE_ORIGINS),
     "issue_presence": (issue_presence, ISSUE_PRESENCE),
+    "issue_runs": (issue_runs, ISSUE_RUNS),
     "entity_history": (entity_history, ENTITY_HISTORY),
 }

@@ -274,6 +274,16 @@ CALLERS = f"""WITH {_trade_impact()} SELECT node, CASE rnk WHEN 0 THEN 'exact' E
  WHERE start = 'supplier:4' AND direction = 'upstream' AND rnk < 2"""
 
 
+def callees(spark: SparkSession, sf: str) -> DataFrame:
+    """Direct confirmed callees of one customer."""
+    out = GR.impact(W.start_nodes(spark, "customer:11"), W.trade_graph(spark, sf), "downstream", max_depth=1)
+    return out.where(F.col("category") != "unresolved").select("node", "resolution")
+
+
+CALLEES = f"""WITH {_trade_impact()} SELECT node, CASE rnk WHEN 0 THEN 'exact' ELSE 'inferred' END AS resolution FROM imp
+ WHERE start = 'customer:11' AND direction = 'downstream' AND rnk < 2"""
+
+
 def subgraph_filter(spark: SparkSession, sf: str) -> DataFrame:
     return GR.filter_subgraph(W.trade_nodes(spark, sf), GR.strongest_edges(W.trade_graph(spark, sf)),
                               ["Class", "File"], ["CONTAINS", "CALLS"]).select("source_id", "relationship", "target_id")
@@ -297,6 +307,7 @@ QUERIES = {
     "impact_summary": (impact_summary, IMPACT_SUMMARY),
     "impact_counts": (impact_counts, IMPACT_COUNTS),
     "callers": (callers, CALLERS),
+    "callees": (callees, CALLEES),
     "traverse_downstream": (traverse_downstream, TRAVERSE_DOWN),
     "traverse_upstream": (traverse_upstream, TRAVERSE_UP),
     "dependency_paths": (dependency_paths, DEPENDENCY_PATHS),

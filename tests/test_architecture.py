@@ -167,6 +167,17 @@ def test_issue_origin(facts, spark):
     assert present == {"s1": False, "s2": True, "s3": True}
 
 
+def test_issue_runs(spark):
+    """Present, gone, back to the end; another issue once; ties in time by snapshot; repeated rows count once."""
+    snapshots = spark.createDataFrame([("repo", f"s{i}", min(i, 4)) for i in range(1, 6)],
+                                      "repository_id string, snapshot_id string, analyzed_at int")
+    rows = [("repo", s, "x") for s in ("s1", "s2", "s4", "s5", "s5")] + [("repo", "s3", "y")]
+    issues = spark.createDataFrame(rows, "repository_id string, snapshot_id string, issue_key string")
+    got = sorted(tuple(r)[1:] for r in X.issue_runs(snapshots, issues).collect())
+    assert got == [("x", 1, "s1", "s2", 2, False, False), ("x", 2, "s4", "s5", 2, True, True), ("y", 1, "s3", "s3", 1, False, False)]
+    assert X.issue_runs(snapshots, issues.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("query,status,name", [
     ("Shop.Orders.OrderService", "resolved", "Shop.Orders.OrderService"), ("POST /api/v1/orders", "resolved", "endpoint:POST:/api/v1/orders"),
     ("post api/v1/orders", "resolved", "endpoint:POST:/api/v1/orders"), ("OrderService", "resolved", "Shop.Orders.OrderService"),

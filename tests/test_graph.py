@@ -50,6 +50,19 @@ def test_find_paths(edge_frame, facts):
     assert GR.find_paths(facts("start string, goal string", [("A", "A")]), edge_frame("A CALLS B", "B CALLS A")).count() == 0
 
 
+@pytest.mark.parametrize("small", [8 << 20, 0])
+def test_paths_meet_between_the_ends(edge_frame, facts, monkeypatch, small):
+    """A hub on either side is not opened; a frontier too large to broadcast gives the same paths."""
+    monkeypatch.setattr(GR, "SMALL_FRONTIER", small)
+    lines = ["A CALLS B", "A CALLS B inferred", "B CALLS C", "C CALLS D", "B CALLS X", "X CALLS D", "D CALLS A", "C CALLS B"]
+    edges = edge_frame(*lines, *[f"n{i} CALLS D" for i in range(20)], *[f"m{i} CALLS n{i}" for i in range(20)])
+    pairs = facts("start string, goal string", [("A", "D"), ("A", "D"), ("D", "B")])
+    rows = sorted((r.start, r.end, r.nodes[1:], r.confidence) for r in GR.find_paths(pairs, edges, max_depth=3).collect())
+    assert rows == [("A", "D", ["B", "C", "D"], "exact"), ("A", "D", ["B", "X", "D"], "exact"), ("D", "B", ["A", "B"], "exact")]
+    met = {(r.source_id, r.target_id) for r in GR.edges_between(pairs.where("start = 'A'"), edges, 3).collect()}
+    assert {("A", "B"), ("B", "C"), ("B", "X"), ("C", "D"), ("X", "D")} <= met and not any(s.startswith("m") for s, _ in met)
+
+
 def test_http_chain(edge_frame, start):
     edges = edge_frame(
         "CheckoutButton CALLS checkoutClient", "checkoutClient REQUESTS endpoint:POST:/api/v1/orders",
