@@ -97,7 +97,9 @@ def gathered(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     lengths = sizes[codes]
     ends = np.cumsum(lengths, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(total), ends
+    picks = np.repeat(starts[codes] - (ends - lengths), lengths)
+    picks += np.arange(total)
+    return picks, ends
 
 
 def squeezed(values: np.ndarray | bytes) -> bytes:
@@ -166,8 +168,10 @@ def blocks(batches: Iterator[pa.RecordBatch], pattern: str, replace: dict[int, i
             waiting.append((doc, text))
             held += len(text)
             if held >= block_bytes:
-                yield Block(next(following), waiting, split)
+                block = Block(next(following), waiting, split)
                 waiting, held = [], 0
+                yield block
+                del block  # the next one is built without it
     if waiting:
         yield Block(next(following), waiting, split)
 
@@ -182,6 +186,7 @@ def positions_of(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
         for block in blocks(batches, pattern, replace, block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(block.positions(), kinds)],
                                              ["block", "stamp", "docs", "counts", "n_codes", "codes", "places"])
+            del block
 
     return arrow_map(docs, run, f"block long, stamp long, docs array<{kind}>, counts array<long>, n_codes long, codes binary, places binary")
 
@@ -196,6 +201,7 @@ def parts_of(docs: DataFrame, pattern: str, block_bytes: int, ranges: int) -> Da
             columns = zip(*block.parts(ranges)) if block.words else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                              ["range", "home", "stamp", "first", "n_words", "word_bytes", "sizes", "words"])
+            del block, columns
 
     return arrow_map(docs, run, "range long, home long, stamp long, first long, n_words long, word_bytes long, sizes binary, words binary")
 
@@ -242,7 +248,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         head = left.to_pylist()[0]
-        parts = right.sort_by("first").to_pylist()
+        parts = sorted(right.to_pylist(), key=lambda p: p["first"])
         sizes = np.concatenate([np.zeros(0, np.int64), *[numbers(p["sizes"], p["n_words"]) for p in parts]]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, "<u4"), *[numbers(p["ids"], p["n_ids"]) for p in parts]])
         if any(p["stamp"] != head["stamp"] for p in parts) or (head["n_codes"] and not parts):

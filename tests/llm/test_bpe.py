@@ -79,3 +79,31 @@ def test_query_against_the_library(spark, library, write_tables):
     want = [(i, len(ids), hashlib.sha256(packed(ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
             for i, t in enumerate(TEXTS) for ids in [library.encode_ordinary(t or "")]]
     assert got == want
+
+
+def test_a_block_is_gone_before_the_next_is_built(monkeypatch):
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    alive = []
+
+    class Watched(bpe.Block):
+        def __init__(self, *args):
+            gc.collect()
+            assert not any(r() is not None for r in alive)
+            super().__init__(*args)
+            alive.append(weakref.ref(self))
+
+    monkeypatch.setattr(bpe, "Block", Watched)
+    monkeypatch.setattr(bpe.TaskContext, "get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "text": ["one two", "three four", "five"]})
+    made = bpe.blocks(iter([batch]), P.PATTERN, {}, 1)
+    for _ in range(3):
+        block = next(made)
+        assert block.words
+        if len(alive) < 3:
+            assert not made.gi_frame.f_locals["waiting"]  # nor are its texts held while it is read
+        del block
+    assert len(alive) == 3
