@@ -276,3 +276,17 @@ def test_nodes_within_hops_against_brute_force(spark, depth):
     rows = RE.counts_within(links, depth).collect()
     assert len(rows) == len(expected) and {r.node: r.n for r in rows} == expected
     assert RE.counts_within(links.limit(0), depth).count() == 0
+
+
+def test_numbers_have_no_gaps_and_small_sets_are_one_row(edge_frame):
+    edges = edge_frame(*[f"a{i} CALLS b{i % 7}" for i in range(200)]).repartition(9)
+    nodes, _ = RE.numbered(edges)
+    assert sorted(r.node for r in nodes.collect()) == list(range(207))
+    scattered = [5, 70000, 1 << 20, (1 << 24) - 1]
+    bits = np.array(scattered, ">u4").tobytes()
+    whole = np.packbits(np.arange(1 << 24) % 3 == 0).tobytes()
+    out = RE.united(np.array([70000, 70000, 90000, 90000, 90000]), np.array([0, 0, 0, 0, 1]), [bits, bits[:8], whole, bits, bits], RE.WIDE).to_pylist()
+    some = sum(x % 3 != 0 for x in scattered)
+    assert [(r["node"], r["bucket"], r["n"], r["own"]) for r in out] == [
+        (70000, 0, 4, True), (90000, 0, (1 << 24) // 3 + 1 + some, True), (90000, 1, 4, False)]
+    assert out[0]["bits"] == bits and len(out[1]["bits"]) == 1 << 21
