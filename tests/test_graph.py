@@ -290,3 +290,27 @@ def test_numbers_have_no_gaps_and_small_sets_are_one_row(edge_frame):
     assert [(r["node"], r["bucket"], r["n"], r["own"]) for r in out] == [
         (70000, 0, 4, True), (90000, 0, (1 << 24) // 3 + 1 + some, True), (90000, 1, 4, False)]
     assert out[0]["bits"] == bits and len(out[1]["bits"]) == 1 << 21
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
+def test_components_seen_whole_hold_no_sets(spark, depth, monkeypatch):
+    """Stars of stars are settled by their hub; a long path, and a ring as wide as the bound, stay with the sets."""
+    tree = [(10 + i, 0) for i in range(6)] + [(100 + i, 10 + i % 6) for i in range(25)]
+    path = [(200 + i, 201 + i) for i in range(8)]
+    ring = [(300 + i, 300 + (i + 1) % 9) for i in range(9)] + [(310, 311)]
+    near = {}
+    for a, b in tree + path + ring:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    expected = {}
+    for node in near:
+        seen = {node}
+        for _ in range(depth):
+            seen |= {y for x in seen for y in near[x]}
+        expected[node] = len(seen) - 1
+    held = []
+    whole = RE._set_counts
+    monkeypatch.setattr(RE, "_set_counts", lambda both, linked, inner, leaves, d: held.extend(r.s for r in inner.collect()) or whole(both, linked, inner, leaves, d))
+    rows = RE.counts_within(spark.createDataFrame(tree + path + ring, "s long, t long"), depth).collect()
+    assert len(rows) == len(expected) and {r.node: r.n for r in rows} == expected
+    assert (0 in held) == (depth < 4)
