@@ -314,3 +314,15 @@ def test_components_seen_whole_hold_no_sets(spark, depth, monkeypatch):
     rows = RE.counts_within(spark.createDataFrame(tree + path + ring, "s long, t long"), depth).collect()
     assert len(rows) == len(expected) and {r.node: r.n for r in rows} == expected
     assert (0 in held) == (depth < 4)
+
+
+def test_short_cycles_end_the_search(edge_frame, monkeypatch):
+    """A ring of edges both ways: every closing edge closes a cycle of two, so no search goes round the ring."""
+    steps = [(i, (i + 1) % 40) for i in range(40)]
+    edges = edge_frame(*[f"n{a:02d} CALLS n{b:02d}" for a, b in steps], *[f"n{b:02d} CALLS n{a:02d}" for a, b in steps])
+    written = []
+    cut = GR.cut_lineage
+    monkeypatch.setattr(GR, "cut_lineage", lambda df: written.append(df) or cut(df))
+    rows = GR.closing_cycles(edges).collect()
+    assert sorted(tuple(r.members) for r in rows) == sorted(tuple(f"n{x:02d}" for x in sorted(p)) for p in steps)
+    assert len(written) < 15
