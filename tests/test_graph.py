@@ -109,6 +109,31 @@ def test_members_carry_impact_to_their_container(edge_frame, start):
     assert got == {"other": ("direct", 1, "exact")}
 
 
+def test_frontier_parts_by_kind(edge_frame, facts, monkeypatch):
+    """A kind with few ids is broadcast beside one with many; edges between other kinds leave by range."""
+    monkeypatch.setattr(GR, "SMALL_FRONTIER", 300)
+    nodes = facts("node string", [(f"c:{i}",) for i in range(20)] + [("s:1",), ("s:2",), ("\u00fcber",), (None,)])
+    front, n = GR._frontier(nodes, "node")
+    assert n == 24 and sorted(ids.count() for ids, _ in front.parts) == [3, 20]
+    edges = edge_frame("c:3 CALLS s:1", "c:7 CALLS s:9", "x CALLS c:5", "b CALLS a", "\u00fcber CALLS z", "s:2 CALLS s:1")
+    by = {side: sorted((r.source_id, r.target_id) for r in GR._touching(edges, front, side).collect()) for side in ("source_id", "target_id")}
+    assert by == {"source_id": [("c:3", "s:1"), ("c:7", "s:9"), ("s:2", "s:1"), ("\u00fcber", "z")],
+                  "target_id": [("c:3", "s:1"), ("s:2", "s:1"), ("x", "c:5")]}
+    for most in (16, 1):
+        monkeypatch.setattr(GR, "MAX_RANGES", most)
+        (_, few), (_, many) = GR._frontier(nodes, "node")[0].parts
+        assert edges.where(many(F.col("source_id"))).count() == 2
+        assert edges.where(few(F.col("source_id"))).count() == (2 if most == 16 else 3)
+
+
+@pytest.mark.parametrize("small", [8 << 20, 300, 0])
+def test_impact_is_the_same_for_any_parts(edge_frame, start, monkeypatch, small):
+    monkeypatch.setattr(GR, "SMALL_FRONTIER", small)
+    lines = ["f CONTAINS k", *[f"k CONTAINS m{i}" for i in range(12)], *[f"m{i} CALLS s{i % 3}" for i in range(12)], "s1 CALLS t", "k CALLS s7 inferred"]
+    got = impact_of(edge_frame, start, lines, "f")
+    assert got == {**{f"s{i}": ("direct", 1, "exact") for i in range(3)}, "s7": ("direct", 1, "inferred"), "t": ("indirect", 2, "exact")}
+
+
 def test_cycles(edge_frame):
     two = GR.cycles(edge_frame("ServiceA CALLS ServiceB", "ServiceB DEPENDS_ON ServiceA")).collect()
     assert [(c.cycle_id, c.severity, c.relationship_types) for c in two] == [("cycle:ServiceA->ServiceB", "medium", ["CALLS", "DEPENDS_ON"])]
