@@ -196,3 +196,14 @@ def test_explanations(facts, edge_frame):
     assert cycle.detailed_reasons[0] == "Dependency cycle path: A -> B -> A"
     orphan = A.orphans(facts(FACT, [("Lonely", "Class", "unknown", "unknown", "f", "java")]), edge_frame("A CALLS B"))
     assert X.explain_orphans(orphan).first().summary == "Component 'Lonely' is identified as a candidate orphan."
+
+
+def test_layers_are_looked_up_once_per_id_and_not_broadcast(facts, edge_frame):
+    known = facts("qualified_name string, layer string", [("A", "domain"), ("A.in", "application"), ("B", "unknown")])
+    edges = edge_frame("A.run CALLS B", "A.run CALLS B", "A.in DEPENDS_ON A", "B.x CALLS A.in.go", "A CALLS Z", "A CALLS B unresolved")
+    found = A.layered_edges(known, edges)
+    got = sorted((r.source_id, r.source_name, r.source_layer, r.target_id, r.target_name, r.target_layer) for r in found.collect())
+    assert got == [("A.in", "A.in", "application", "A", "A", "domain"), ("A.run", "A", "domain", "B", "B", "unknown"),
+                   ("B.x", "B", "unknown", "A.in.go", "A.in", "application")]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert not any("BroadcastHashJoin" in line and "LeftOuter" in line for line in plan.splitlines())
