@@ -134,6 +134,16 @@ def test_impact_is_the_same_for_any_parts(edge_frame, start, monkeypatch, small)
     assert got == {**{f"s{i}": ("direct", 1, "exact") for i in range(3)}, "s7": ("direct", 1, "inferred"), "t": ("indirect", 2, "exact")}
 
 
+def test_edges_at_focus_are_found_before_grouping(spark, edge_frame, start):
+    edges = edge_frame("A CALLS B inferred", "A CALLS B", "B CALLS C", "C CALLS A", "C CALLS D")
+    near = GR.strongest_edges(GR.edges_at(start("A", "B"), edges))
+    got = sorted((r.focus, r.source_id, r.target_id, r.resolution) for r in GR.neighbourhood(start("A", "B"), near).collect())
+    assert got == [("A", "A", "B", "exact"), ("A", "C", "A", "exact"), ("B", "A", "B", "exact"), ("B", "B", "C", "exact")]
+    from lodestone.queries import traversal
+    for query in (traversal.expand_node, traversal.graph_context):
+        assert "LeftSemi" in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cycles(edge_frame):
     two = GR.cycles(edge_frame("ServiceA CALLS ServiceB", "ServiceB DEPENDS_ON ServiceA")).collect()
     assert [(c.cycle_id, c.severity, c.relationship_types) for c in two] == [("cycle:ServiceA->ServiceB", "medium", ["CALLS", "DEPENDS_ON"])]
