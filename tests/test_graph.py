@@ -134,6 +134,19 @@ def test_impact_is_the_same_for_any_parts(edge_frame, start, monkeypatch, small)
     assert got == {**{f"s{i}": ("direct", 1, "exact") for i in range(3)}, "s7": ("direct", 1, "inferred"), "t": ("indirect", 2, "exact")}
 
 
+def test_last_level_is_not_moved_to_find_nothing(edge_frame, start, monkeypatch):
+    """Edges none of which can leave the last, shuffled frontier end the search without a further level."""
+    monkeypatch.setattr(GR, "SMALL_FRONTIER", 0)
+    written, cut = [], GR.cut_lineage
+    monkeypatch.setattr(GR, "cut_lineage", lambda df: written.append(1) or cut(df))
+    edges = edge_frame("a CALLS b", "b CALLS c1", "b CALLS c2 inferred")
+    assert ends(GR.traverse(start("a"), edges)) == [("a", "b", 1), ("a", "c1", 2), ("a", "c2", 2)] and len(written) == 2
+    written.clear()
+    got = {r.node: r.distance for r in GR.impact(start("a"), edges, "downstream").collect()}
+    assert got == {"b": 1, "c1": 2, "c2": 2} and len(written) == 2
+    assert ends(GR.traverse(start("z"), edges)) == [] and GR.impact(start("z"), edges, "downstream").count() == 0
+
+
 def test_edges_at_focus_are_found_before_grouping(spark, edge_frame, start):
     edges = edge_frame("A CALLS B inferred", "A CALLS B", "B CALLS C", "C CALLS A", "C CALLS D")
     near = GR.strongest_edges(GR.edges_at(start("A", "B"), edges))
