@@ -34,15 +34,28 @@ def consecutive_pairs(snapshots: DataFrame) -> DataFrame:
             .select(vocab.REPO, "baseline_snapshot_id", F.col(vocab.SNAP).alias("target_snapshot_id")))
 
 
-def _sides(baseline: DataFrame, target: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    b = baseline.select(*PAIR, *keys, F.lit(True).alias("in_baseline"), *[F.col(v).alias(f"old_{v}") for v in values])
-    t = target.select(*PAIR, *keys, F.lit(True).alias("in_target"), *[F.col(v).alias(f"new_{v}") for v in values])
-    return b.join(t, [*keys, *PAIR], "full_outer").na.fill(False, ["in_baseline", "in_target"])
+def paired(baseline: DataFrame, target: DataFrame, keys: list[str], values: list[str], over: list[str] = PAIR,
+           tasks: int = 1) -> DataFrame:
+    """Both sides of each key, values as ``old_`` and ``new_``.
+
+    Keys may be numbers that stand for names: a shuffle and a sort then hold a fraction of the bytes, and names are made for the
+    rows that are kept. A single comparison needs no ``over``. More than one of ``tasks`` deals the rows over at least so many;
+    left alone, Spark packs partitions by their compressed bytes, so a task's rows grow with the input.
+    """
+    b = baseline.select(*over, *keys, F.lit(True).alias("in_baseline"), *[F.col(v).alias(f"old_{v}") for v in values])
+    t = target.select(*over, *keys, F.lit(True).alias("in_target"), *[F.col(v).alias(f"new_{v}") for v in values])
+    if tasks > 1:
+        b, t = b.repartition(tasks, *keys, *over), t.repartition(tasks, *keys, *over)
+    return b.join(t, [*keys, *over], "full_outer").na.fill(False, ["in_baseline", "in_target"])
 
 
 def entity_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
     """added / removed / modified / unchanged per entity, with the changed fields as a map."""
-    both = _sides(baseline, target, ["qualified_name"], ["entity_kind", *COMPARED_FIELDS])
+    return entity_states(paired(baseline, target, ["qualified_name"], ["entity_kind", *COMPARED_FIELDS]))
+
+
+def entity_states(both: DataFrame) -> DataFrame:
+    """``entity_diff`` of entities that are paired already."""
     changed = F.filter(
         F.array(*[F.when(~F.col(f"old_{f}").eqNullSafe(F.col(f"new_{f}")),
                          F.struct(F.lit(f).alias("field"), F.col(f"old_{f}").alias("old"),
@@ -61,7 +74,11 @@ def entity_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
 
 def relationship_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
     """added / removed / unchanged per edge; a changed confidence alone leaves it unchanged."""
-    both = _sides(baseline, target, ["source_id", "relationship", "target_id"], ["resolution"])
+    return relationship_states(paired(baseline, target, ["source_id", "relationship", "target_id"], ["resolution"]))
+
+
+def relationship_states(both: DataFrame) -> DataFrame:
+    """``relationship_diff`` of edges that are paired already."""
     change = (F.when(~F.col("in_baseline"), "added").when(~F.col("in_target"), "removed").otherwise("unchanged"))
     moved = F.col("in_baseline") & F.col("in_target") & (F.col("old_resolution") != F.col("new_resolution"))
     return both.select(
@@ -309,7 +326,7 @@ def metric_diff(baseline: DataFrame, target: DataFrame) -> DataFrame:
     Entity state needs all metrics of the entity, so it is a small aggregate joined back.
     """
     keys = ["entity_type", "entity_name", "metric_name"]
-    both = _sides(baseline, target, keys, ["metric_value"])
+    both = paired(baseline, target, keys, ["metric_value"])
     old, new = F.col("old_metric_value"), F.col("new_metric_value")
     state = both.groupBy(*PAIR, "entity_type", "entity_name").agg(
         F.bool_or("in_baseline").alias("b"), F.bool_or("in_target").alias("t"),
@@ -328,7 +345,7 @@ def edge_lifecycle(baseline: DataFrame, target: DataFrame) -> DataFrame:
     def compared(df: DataFrame) -> DataFrame:
         return df.where(F.col("relationship").isin(vocab.COMPARED_RELATIONSHIPS))
 
-    both = _sides(compared(baseline), compared(target), ["source_id", "relationship", "target_id"], ["resolution"])
+    both = paired(compared(baseline), compared(target), ["source_id", "relationship", "target_id"], ["resolution"])
     state = (F.when(~F.col("in_target"), "REMOVED").when(~F.col("in_baseline"), "ADDED")
              .when(~F.col("old_resolution").eqNullSafe(F.col("new_resolution")), "MODIFIED"))
     return both.withColumn("state", state).where(F.col("state").isNotNull()).select(

@@ -207,3 +207,44 @@ def test_layers_are_looked_up_once_per_id_and_not_broadcast(facts, edge_frame):
                    ("B.x", "B", "unknown", "A.in.go", "A.in", "application")]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert not any("BroadcastHashJoin" in line and "LeftOuter" in line for line in plan.splitlines())
+
+
+def test_windows_are_paired_by_number_over_tasks_that_follow_the_rows(spark, monkeypatch):
+    from lodestone.queries import findings
+    monkeypatch.setattr(findings, "ORDERS_PER_TASK", 100, raising=False)
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    plan = findings.semantic_changes(spark, sf)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    joins = [line for line in plan if "FullOuter" in line]
+    assert len(joins) == 4 and not any(name in line for line in joins for name in ("qualified_name", "source_id", "snapshot_id"))
+    dealt = [line for line in plan if "REPARTITION_BY_NUM" in line]
+    assert len(dealt) == 6 and all(f", {-(-orders // 100)})" in line for line in dealt)
+
+
+@pytest.mark.parametrize("rows", [500_000, 2])
+def test_windows_paired_by_number_equal_those_paired_by_name(spark, tmp_path, monkeypatch, rows):
+    from collections import Counter
+
+    from lodestone.queries import findings
+    monkeypatch.setattr(findings, "ORDERS_PER_TASK", rows, raising=False)
+    placed = [(1, 1, "F", "1995-01-01"), (2, 1, "O", "1997-06-01"), (2, 1, "F", "1998-06-01"), (2, 7, None, "1996-06-01"),
+              (3, None, "F", "1998-01-01"), (4, 9, "F", "2000-12-31"), (5, 2, "P", None), (None, 2, "O", "1998-01-01"),
+              (6, 2, "O", "1999-01-01"), (7, 3, "F", "2001-01-01"), (8, 3, "F", "1996-01-01"), (9, 5, "F", "1997-01-01"),
+              *[(k, 4, "F", f"{1995 + k % 5}-05-05") for k in range(20, 30)]]
+    (spark.createDataFrame(placed, "o_orderkey long, o_custkey long, o_orderstatus string, day string")
+     .withColumn("o_orderdate", F.col("day").cast("timestamp_ntz")).drop("day").write.parquet(f"{tmp_path}/orders.parquet"))
+    people = [(1, "BUILDING", 1), (1, "MACHINERY", 2), (1, "BUILDING", 1), (2, None, 3), (3, "FURNITURE", None), (4, "BUILDING", 5),
+              (5, "HOUSEHOLD", None), (None, "BUILDING", 6), (8, "BUILDING", 7)]
+    spark.createDataFrame(people, "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    sf, pair = str(tmp_path), findings.window_pair(spark)
+
+    def bag(df):
+        return Counter(str(sorted(r.asDict(True).items())) for r in df.collect())
+
+    by_name = (E.entity_diff(*findings._two(findings.window_entities(spark, sf), pair)),
+               E.relationship_diff(*findings._two(findings.window_relationships(spark, sf), pair)))
+    by_number = findings._entity_diff(spark, sf), findings._relationship_diff(spark, sf)
+    for a, b in zip(by_name, by_number):
+        assert a.columns == b.columns and [f.dataType for f in a.schema] == [f.dataType for f in b.schema]
+        assert bag(a) == bag(b) and len(bag(a)) > 5
+    assert bag(E.semantic_changes(*by_name)) == bag(E.semantic_changes(*by_number))
