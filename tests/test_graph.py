@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph as GR
 from lodestone.operators import reach as RE
-from lodestone.operators import reach
+from lodestone.operators import reach, shortest
 
 
 def ends(df):
@@ -183,6 +183,53 @@ def test_closing_cycles_follow_rings_of_any_length(edge_frame):
     assert GR.closing_cycles(both.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 30, 2 << 20])
+def test_shortest_paths_of_numbers_against_brute_force(held, monkeypatch):
+    """Whatever is held at a time, splits change no path."""
+    monkeypatch.setattr(shortest, "HELD", held)
+    for seed in range(40):
+        rng = random.Random(seed)
+        n = rng.randint(2, 30)
+        edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 4 * n))})
+        s, t = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+        wanted, want = sorted((b, a) for a, b in edges if a > b), {}
+        for start, end in wanted:
+            level, seen = {start: (start,)}, {start}
+            while level and end not in level:
+                grown: dict = {}
+                for node, way in level.items():
+                    for a, b in edges:
+                        if a == node and b > start and b not in seen:
+                            grown[b] = min(grown.get(b, (n,)), (*way, b))
+                seen |= set(grown)
+                level = grown
+            if end in level:
+                want[start, end] = level[end]
+        got = [(wanted[k], tuple(way)) for places, ways in shortest.search(
+            np.array([w[0] for w in wanted], int), np.array([w[1] for w in wanted], int), shortest.neighbours(s, t, n), shortest.neighbours(t, s, n))
+            for k, way in zip(places.tolist(), ways.tolist())]
+        assert len(got) == len(want) and dict(got) == want, seed
+
+
+def test_closing_cycles_of_a_small_component_take_no_job_per_level(edge_frame, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a component of few edges is searched by joins")
+
+    monkeypatch.setattr(GR, "shortest_above", refuse)
+    edges = edge_frame("R0 CALLS R1", "R1 IMPORTS R2", "R2 CALLS R0", "R0 CALLS Z9")
+    assert [tuple(r.members) for r in GR.closing_cycles(edges).collect()] == [("R0", "R1", "R2")]
+
+
+def test_shortest_paths_in_tasks_equal_those_by_joins(spark):
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(8) << 33, rng.randrange(8) << 33) for _ in range(18)})
+    links = spark.createDataFrame(edges, "s long, t long")
+    wanted = links.where("s > t").selectExpr("t AS start", "s AS end")
+    found = [sorted(map(tuple, f(wanted, links).select("start", "end", F.array_join("members", ",")).collect())) for f in (shortest.paths, GR.shortest_above)]
+    assert found[0] == found[1] and found[0]
+    assert shortest.paths(wanted.limit(0), links.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("seed", [7, 11])
 def test_closing_cycles_against_brute_force(edge_frame, seed):
     pairs = [(a, b) for a, b in random_edges(seed) if a != b]
