@@ -218,14 +218,17 @@ def resolution_regressions(relationships: DataFrame) -> DataFrame:
         {"old_resolution": old, "new_resolution": new, "target_id": F.col("target_id")})
 
 
-def regressions(relationships: DataFrame, baseline_arch: dict[str, DataFrame],
-                target_arch: dict[str, DataFrame]) -> DataFrame:
-    """All six regression kinds; the architecture frames are keyed by the comparison already."""
+def regressions(relationships: DataFrame, baseline_arch: dict[str, DataFrame], target_arch: dict[str, DataFrame],
+                depending: DataFrame | None = None) -> DataFrame:
+    """All six regression kinds; the architecture frames are keyed by the comparison already.
+
+    ``depending`` may hold the calls and dependencies of ``relationships``, where these can be had without the rest.
+    """
     parts = [
         new_cycles(baseline_arch["cycles"], target_arch["cycles"]),
         new_violations(baseline_arch["violations"], target_arch["violations"]),
         hotspot_growth(baseline_arch["hotspots"], target_arch["hotspots"]),
-        dependency_growth(relationships),
+        dependency_growth(relationships if depending is None else depending),
         newly_orphaned(baseline_arch["orphans"], target_arch["orphans"]),
         resolution_regressions(relationships),
     ]

@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Edges of a graph that goes to every task: 4 bytes each way.
 MOST_EDGES = 4 << 20
 # Pairs in hand at a time, rows that several pairs hold at most, pairs of a task, tasks.
-PAIRS, HELD, TASK_PAIRS, MOST_TASKS = 4096, 2 << 20, 1024, 4096
+PAIRS, HELD, TASK_PAIRS, MOST_TASKS = 4096, 2 << 20, 4096, 4096
 
 
 def neighbours(near: np.ndarray, far: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
