@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone import vocab
 from lodestone.functions import columns as C
 from lodestone.operators import graph, reach
+from lodestone.session import cut_lineage
 
 PAIR = [vocab.REPO, "baseline_snapshot_id", "target_snapshot_id"]
 COMPARED_FIELDS = ["architecture_role", "architecture_layer", "file_path"]
@@ -246,8 +247,8 @@ def change_impact(entities: DataFrame, relationships: DataFrame, max_depth: int
     keyed = {c: PAIR[i] for i, c in enumerate(PAIR)}
     snap = F.concat_ws("\u0001", keyed["baseline_snapshot_id"], keyed["target_snapshot_id"]).alias(vocab.SNAP)
     # Both inputs are read several times below; the diffs behind them are not repeated.
-    live = graph.cut_lineage(relationships.where("in_target").select(vocab.REPO, snap, "source_id", "target_id").distinct())
-    changed = graph.cut_lineage(entities.where(F.col("change_type") != "unchanged").select(*PAIR, "qualified_name", "change_type"))
+    live = cut_lineage(relationships.where("in_target").select(vocab.REPO, snap, "source_id", "target_id").distinct())
+    changed = cut_lineage(entities.where(F.col("change_type") != "unchanged").select(*PAIR, "qualified_name", "change_type"))
     nodes, links = reach.numbered(live)
     around = (nodes.join(reach.counts_within(links, max_depth), "node")
               .select(*vocab.KEYS, F.col("id").alias("start"), F.col("n").alias("transitive_impacted")))
@@ -279,9 +280,10 @@ def change_risk(entities: DataFrame, relationships: DataFrame, regression_facts:
         kind("hotspot_growth", "hotspots"), kind("dependency_growth", "growths"),
         kind("resolution_regression", "degraded"))
     removed = removed_dependents(entities, relationships).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("removed"))
-    layers = entities.where(F.col("change_type") == "modified").groupBy(*PAIR).agg(
-        F.count_if(~F.col("old_architecture_layer").eqNullSafe(F.col("new_architecture_layer"))).alias("layers"))
-    all_pairs = (entities.select(*PAIR).distinct().unionByName(relationships.select(*PAIR).distinct()).distinct())
+    # One reading of the entities gives their comparisons as well.
+    layers = cut_lineage(entities.groupBy(*PAIR).agg(F.count_if(
+        (F.col("change_type") == "modified") & ~F.col("old_architecture_layer").eqNullSafe(F.col("new_architecture_layer"))).alias("layers")))
+    all_pairs = layers.select(*PAIR).unionByName(relationships.select(*PAIR).distinct()).distinct()
     names = ["cycles", "violations", "removed", "hotspots", "growths", "degraded", "layers"]
     row = (all_pairs.join(counted, PAIR, "left").join(removed, PAIR, "left").join(layers, PAIR, "left")
            .na.fill(0, names))

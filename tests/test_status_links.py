@@ -37,5 +37,5 @@ def test_links_named_are_the_strongest_edges(spark, lines):
 def test_relationships_paired_by_number_equal_those_paired_by_name(spark, lines, tasks):
     edges = GR.strongest_edges(W.status_edges(spark, lines))
     by_name = E.relationship_diff(*Q._two(edges, W.status_pair(spark)))
-    by_number = Q._status_rels(W.status_links(spark, lines), tasks)
+    by_number = Q._status_rels(Q._status_links(spark, lines), tasks)
     assert bag(by_number) == bag(by_name.select(by_number.columns)) and by_number.where("resolution_changed").count()
